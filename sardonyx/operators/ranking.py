@@ -19,21 +19,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sardonyx import config as C
+from sardonyx.session import materialize
 
 
 def two_level_rank(df: DataFrame, by: Sequence[str], key: str = "row_key", out: str = "rank",
                    eligible: Column | None = None, hex_digits: int = C.RANK_BUCKET_HEX,
-                   per_stratum: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   per_stratum: Callable[[DataFrame], DataFrame] | None = None,
+                   materialize_input: bool = True) -> DataFrame:
     """Add a 0-based rank of ``key`` within ``by`` (NULL for rows not ``eligible``).
 
     ``key`` must be a lower-case hex string (md5).  ``per_stratum`` may map the
     stratum sizes ``(by..., n)`` to extra per-stratum columns (quotas); they are
     attached through the same join as the offsets, so no extra row shuffle.
+    The input is read twice (sizes, then ranks); with ``materialize_input`` it
+    is written once to the checkpoint folder so upstream work is not repeated.
     """
     by = list(by)
     elig = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
-    d = (df.withColumn("_bucket", F.substring(F.col(key), 1, hex_digits))
-           .withColumn("_elig", elig))
+    d = df.withColumns({"_bucket": F.substring(F.col(key), 1, hex_digits), "_elig": elig})
+    if materialize_input:
+        d = materialize(d, "rank-input")
     counts = d.filter("_elig").groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bucket",

@@ -36,10 +36,34 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_PREPARED: dict[tuple, str] = {}
+
+
 def flagged(spark: SparkSession, sf_dir: str, max_samples: int = C.MAX_FORUM_SAMPLES) -> DataFrame:
+    """The flagged corpus of a scale folder, prepared once per session as a written table.
+
+    Downstream jobs (splits, vocabulary, training, reports) read the table, as
+    a production pipeline would read its prepared corpus.
+    """
+    from sardonyx.session import write_table
+
+    key = (spark.sparkContext.applicationId, sf_dir, max_samples)
+    path = _PREPARED.get(key)
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - folder removed: prepare again
+            _PREPARED.pop(key, None)
     h = flag_headlines(T.headline_rows(spark, sf_dir), T.BOUND_URL_RULES)
     f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, max_samples)
-    return flagged_corpus(h, f)
+    path = write_table(flagged_corpus(h, f), "flagged-corpus")
+    _PREPARED[key] = path
+    return spark.read.parquet(path)
+
+
+def forget_prepared() -> None:
+    """Drop the per-session memo (the bench does this to time every query from the tables)."""
+    _PREPARED.clear()
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,3 +198,185 @@ def minibatches_q(spark, sf_dir):
     d = dense_ids(labelled_corpus(spark, sf_dir), ["split"])
     d = minibatches(d, "row_no", batch_size_for("split"))
     return d.groupBy("split", "batch_id").agg(F.count(F.lit(1)).alias("batch_rows"))
+
+
+# ---------------------------------------------------------------------------
+# Losses and predictions on fixed logits (embeddings x constant vectors)
+# ---------------------------------------------------------------------------
+
+from sardonyx.functions.numeric import softmax  # noqa: E402
+from sardonyx.operators import losses as L  # noqa: E402
+from sardonyx.operators import metrics as MX  # noqa: E402
+from sardonyx.operators import scoring as S  # noqa: E402
+
+_LOGITS_SQL = O.logits_ctes()
+
+
+@register("cross_entropy", _LOGITS_SQL + """
+SELECT vec_id, sarc_label, domain_label, round(sarcasm_loss, 6) AS sarcasm_loss,
+       round(domain_loss, 6) AS domain_loss FROM losses""")
+def cross_entropy_q(spark, sf_dir):
+    d = L.head_losses(T.logit_rows(spark, sf_dir))
+    return d.select("vec_id", "sarc_label", "domain_label", F.round("sarcasm_loss", 6).alias("sarcasm_loss"),
+                    F.round("domain_loss", 6).alias("domain_loss"))
+
+
+@register("combined_loss", _LOGITS_SQL + """
+SELECT vec_id, round(total_loss, 6) AS total_loss FROM losses""")
+def combined_loss_q(spark, sf_dir):
+    d = L.head_losses(T.logit_rows(spark, sf_dir))
+    return d.select("vec_id", F.round("total_loss", 6).alias("total_loss"))
+
+
+@register("batch_mean_loss", _LOGITS_SQL + f"""
+, numbered AS (SELECT *, row_number() OVER (ORDER BY row_key) - 1 AS row_no FROM losses),
+per AS (SELECT CAST(floor(row_no / {2 * C.BATCH_SIZE}) AS BIGINT) AS batch_id, avg(total_loss) AS t,
+               avg(sarcasm_loss) AS s, avg(domain_loss) AS d FROM numbered GROUP BY 1)
+SELECT count(*) AS n_batches, round(avg(t), 6) AS mean_total_loss,
+       round(avg(s), 6) AS mean_sarcasm_loss, round(avg(d), 6) AS mean_domain_loss FROM per""")
+def batch_mean_loss_q(spark, sf_dir):
+    d = L.head_losses(T.logit_rows(spark, sf_dir))
+    d = dense_ids(d, [], "row_key", "row_no")
+    d = minibatches(d, "row_no", 2 * C.BATCH_SIZE)
+    return L.batch_mean_loss(d)
+
+
+def _probs(spark, sf_dir):
+    d = T.logit_rows(spark, sf_dir)
+    return d.select("vec_id", softmax("sarcasm_logits").alias("sarcasm_probs"),
+                    softmax("domain_logits").alias("domain_probs"))
+
+
+@register("softmax_predictions", _LOGITS_SQL + """
+SELECT vec_id, round(sp[2], 4) AS sarcasm_score, sp[2] > 0.5 AS is_sarcastic, dom_name AS domain,
+       round(dp[dom_idx + 1], 4) AS domain_confidence FROM preds""")
+def softmax_predictions_q(spark, sf_dir):
+    p = S.predictions(_probs(spark, sf_dir), keep=["vec_id"])
+    return p.drop("all_domain_scores")
+
+
+@register("domain_score_long", _LOGITS_SQL + f"""
+, longf AS (SELECT vec_id, unnest(range(0, {len(C.DOMAIN_LABELS)})) AS idx, dp FROM preds),
+scored AS (SELECT vec_id, idx, round(dp[idx + 1], 4) AS score FROM longf)
+SELECT vec_id, dim.domain, score,
+       CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, idx ASC) AS INTEGER) AS rank,
+       repeat('{C.BAR_FULL}', CAST(floor(score * {C.DOMAIN_BAR_CELLS}) AS INTEGER))
+         || repeat('{C.BAR_EMPTY}', {C.DOMAIN_BAR_CELLS} - CAST(floor(score * {C.DOMAIN_BAR_CELLS}) AS INTEGER)) AS bar
+FROM scored JOIN {O.DOMAIN_DIM_AS_DIM} ON dim.domain_idx = scored.idx""")
+def domain_score_long_q(spark, sf_dir):
+    return S.ranked_domain_scores(_probs(spark, sf_dir), keep=["vec_id"])
+
+
+@register("score_cards", _LOGITS_SQL + f"""
+, c AS (SELECT vec_id, round(sp[2], 4) AS score4, sp[2] > 0.5 AS flag, dom_name,
+               round(dp[dom_idx + 1], 4) AS conf4 FROM preds),
+c2 AS (SELECT *, CAST(floor(score4 * {C.SCORE_BAR_CELLS}) AS INTEGER) AS cells,
+              CAST(floor((CAST(round(conf4 * 10000) AS BIGINT) + 5) / 10) AS BIGINT) AS tenths FROM c)
+SELECT vec_id, CASE WHEN flag THEN '{C.VERDICT_YES}' ELSE '{C.VERDICT_NO}' END AS verdict,
+       repeat('{C.BAR_FULL}', cells) || repeat('{C.BAR_EMPTY}', {C.SCORE_BAR_CELLS} - cells) AS score_bar,
+       printf('%.4f', score4) AS score_text, upper(dom_name) AS domain_upper,
+       CAST(CAST(floor(tenths / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(tenths % 10 AS VARCHAR) || '%'
+         AS confidence_text
+FROM c2""")
+def score_cards_q(spark, sf_dir):
+    p = S.predictions(_probs(spark, sf_dir), keep=["vec_id"])
+    return S.score_cards(p, keep=["vec_id"])
+
+
+# ---------------------------------------------------------------------------
+# Evaluation tables on hash scores (labels x documents)
+# ---------------------------------------------------------------------------
+
+_SCORED_SQL = O.scored_ctes()
+
+
+@register("confusion", _SCORED_SQL + """
+SELECT g.label, g.pred, count(s.doc_id) AS n
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS g(label, pred)
+LEFT JOIN scored s ON s.label = g.label AND s.pred = g.pred GROUP BY 1, 2""")
+def confusion_q(spark, sf_dir):
+    return MX.confusion(T.scored_rows(spark, sf_dir))
+
+
+@register("confusion_pct", _SCORED_SQL + """
+, cm AS (SELECT g.label, g.pred, count(s.doc_id) AS n
+  FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS g(label, pred)
+  LEFT JOIN scored s ON s.label = g.label AND s.pred = g.pred GROUP BY 1, 2)
+SELECT label, pred, n, round(CASE WHEN sum(n) OVER (PARTITION BY label) = 0 THEN NULL
+       ELSE CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE) * 100.0 END, 6) AS pct
+FROM cm""")
+def confusion_pct_q(spark, sf_dir):
+    return MX.confusion_pct(T.scored_rows(spark, sf_dir))
+
+
+@register("accuracy_f1", _SCORED_SQL + O.class_stats_sql() + """
+SELECT round(acc, 6) AS accuracy,
+       round(CASE WHEN total = 0 THEN 0.0 ELSE (f0 * s0 + f1 * s1) / total END, 6) AS f1_weighted,
+       total AS n FROM st""")
+def accuracy_f1_q(spark, sf_dir):
+    return MX.accuracy_f1(T.scored_rows(spark, sf_dir))
+
+
+@register("classification_report", _SCORED_SQL + O.class_stats_sql() + f"""
+, rep AS (
+  SELECT '{C.CLASS_NAMES[0]}' AS row_name, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM st
+  UNION ALL SELECT '{C.CLASS_NAMES[1]}', p1, r1, f1, s1 FROM st
+  UNION ALL SELECT 'accuracy', NULL, NULL, acc, total FROM st
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, total FROM st
+  UNION ALL SELECT 'weighted avg',
+    CASE WHEN total = 0 THEN 0.0 ELSE (p0 * s0 + p1 * s1) / total END,
+    CASE WHEN total = 0 THEN 0.0 ELSE (r0 * s0 + r1 * s1) / total END,
+    CASE WHEN total = 0 THEN 0.0 ELSE (f0 * s0 + f1 * s1) / total END, total FROM st)
+SELECT row_name, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1_score, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM rep""")
+def classification_report_q(spark, sf_dir):
+    return MX.classification_report(T.scored_rows(spark, sf_dir))
+
+
+@register("roc_points", _SCORED_SQL + O.roc_groups_sql() + """
+, kept AS (SELECT score AS threshold, fps, tps, n_pos, n_neg FROM grp
+           WHERE prev_pos IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg),
+allp AS (SELECT * FROM kept UNION ALL
+         SELECT 'inf'::DOUBLE, 0, 0, max(n_pos), max(n_neg) FROM grp)
+SELECT threshold, CAST(fps AS BIGINT) AS fps, CAST(tps AS BIGINT) AS tps,
+       round(CASE WHEN n_neg = 0 THEN NULL ELSE fps / n_neg END, 6) AS fpr,
+       round(CASE WHEN n_pos = 0 THEN NULL ELSE tps / n_pos END, 6) AS tpr,
+       0.5 AS decision_threshold FROM allp""")
+def roc_points_q(spark, sf_dir):
+    return MX.roc_points(T.scored_rows(spark, sf_dir))
+
+
+@register("roc_auc", _SCORED_SQL + O.roc_groups_sql() + """
+SELECT round(CASE WHEN max(n_pos) = 0 OR max(n_neg) = 0 THEN NULL
+             ELSE sum(CAST(neg AS DOUBLE) * CAST(2 * tps - pos AS DOUBLE)) / (2.0 * max(n_pos) * max(n_neg)) END, 6)
+       AS auc, CAST(max(n_pos) AS BIGINT) AS n_pos, CAST(max(n_neg) AS BIGINT) AS n_neg FROM grp""")
+def roc_auc_q(spark, sf_dir):
+    return MX.roc_auc(T.scored_rows(spark, sf_dir))
+
+
+_DOMAIN_ACC_SQL = _SCORED_SQL + f"""
+, per AS (SELECT domain_idx, count(CASE WHEN label = pred THEN 1 END) AS correct, count(*) AS n
+          FROM scored GROUP BY domain_idx),
+da AS (SELECT dim.domain_idx, dim.domain,
+              CASE WHEN coalesce(per.n, 0) > 0 THEN CAST(per.correct AS DOUBLE) / per.n ELSE 0.0 END AS acc,
+              CAST(coalesce(per.n, 0) AS BIGINT) AS n
+       FROM {O.DOMAIN_DIM_AS_DIM} LEFT JOIN per ON per.domain_idx = dim.domain_idx)"""
+
+
+@register("domain_accuracy", _DOMAIN_ACC_SQL + f"""
+SELECT CAST(domain_idx AS INTEGER) AS domain_idx, domain, round(acc, 6) AS accuracy, n,
+       CASE WHEN acc >= {C.TIER_GOOD} THEN 'good' WHEN acc >= {C.TIER_FAIR} THEN 'fair' ELSE 'poor' END AS tier
+FROM da""")
+def domain_accuracy_q(spark, sf_dir):
+    return MX.domain_accuracy(T.scored_rows(spark, sf_dir))
+
+
+@register("domain_accuracy_mean", _DOMAIN_ACC_SQL + """
+SELECT round(avg(round(acc, 6)), 6) AS mean_accuracy, count(*) AS n_domains FROM da""")
+def domain_accuracy_mean_q(spark, sf_dir):
+    return MX.domain_accuracy_mean(MX.domain_accuracy(T.scored_rows(spark, sf_dir)))
+
+
+@register("score_histogram", _SCORED_SQL + O.histogram_sql())
+def score_histogram_q(spark, sf_dir):
+    return MX.score_histogram(T.scored_rows(spark, sf_dir))

@@ -129,3 +129,112 @@ corpus AS (
 
 def with_corpus(body: str, max_samples: int = C.MAX_FORUM_SAMPLES) -> str:
     return f"WITH {corpus_ctes(max_samples)} {body}"
+
+
+def _dot(weights: Sequence[float]) -> str:
+    w = "[" + ", ".join(f"{x!r}::DOUBLE" for x in weights) + "]"
+    n = len(weights)
+    return (f"list_reduce(list_transform(range({n}), lambda j: CAST(embedding[j + 1] AS DOUBLE) * {w}[j + 1]),"
+            f" lambda a, b: a + b)")
+
+
+def _lse(z: str) -> str:
+    return f"(list_max({z}) + ln(list_reduce(list_transform({z}, lambda x: exp(x - list_max({z}))), lambda a, b: a + b)))"
+
+
+def _softmax(z: str) -> str:
+    total = f"list_reduce(list_transform({z}, lambda x: exp(x - list_max({z}))), lambda a, b: a + b)"
+    return f"list_transform({z}, lambda x: exp(x - list_max({z})) / {total})"
+
+
+def logits_ctes() -> str:
+    """CTEs ``logits``, ``losses`` and ``preds`` over ``embeddings``."""
+    sl = "[" + ", ".join(_dot(w) for w in SARCASM_WEIGHTS) + "]"
+    dl = "[" + ", ".join(_dot(w) for w in DOMAIN_WEIGHTS) + "]"
+    return f"""WITH logits AS (
+  SELECT vec_id, CAST(label % 2 AS INTEGER) AS sarc_label,
+         CAST(label % {len(C.DOMAIN_LABELS)} AS INTEGER) AS domain_label,
+         {sl} AS sl, {dl} AS dl, {row_key('emb', 'vec_id')} AS row_key
+  FROM embeddings),
+losses AS (
+  SELECT vec_id, sarc_label, domain_label, row_key,
+         {_lse('sl')} - sl[sarc_label + 1] AS sarcasm_loss,
+         {_lse('dl')} - dl[domain_label + 1] AS domain_loss,
+         {C.SARCASM_LOSS_WEIGHT!r}::DOUBLE * ({_lse('sl')} - sl[sarc_label + 1])
+           + {C.DOMAIN_LOSS_WEIGHT!r}::DOUBLE * ({_lse('dl')} - dl[domain_label + 1]) AS total_loss
+  FROM logits),
+probs AS (SELECT vec_id, {_softmax('sl')} AS sp, {_softmax('dl')} AS dp FROM logits),
+preds AS (
+  SELECT probs.*, CAST(list_position(dp, list_max(dp)) - 1 AS INTEGER) AS dom_idx, dim.domain AS dom_name
+  FROM probs JOIN {DOMAIN_DIM_AS_DIM} ON dim.domain_idx = list_position(dp, list_max(dp)) - 1)
+"""
+
+
+def scored_ctes() -> str:
+    """CTE ``scored(doc_id, label, score, pred, domain, domain_idx)`` from labels x documents."""
+    lookup = values_table(sorted(BOUND_LOOKUP.items()), ["lookup_key", "lookup_domain"])
+    return f"""WITH sbase AS (
+  SELECT l.doc_id, l.quality, coalesce(t.lookup_domain, 'general') AS domain
+  FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id
+  LEFT JOIN {lookup} ON t.lookup_key = {strip('d.source')}),
+scored AS (
+  SELECT doc_id, CAST(quality AS INTEGER) AS label,
+         0.7::DOUBLE * {hash_unit('doc_id')} + 0.3::DOUBLE * CAST(quality AS DOUBLE) AS score,
+         CAST((0.7::DOUBLE * {hash_unit('doc_id')} + 0.3::DOUBLE * CAST(quality AS DOUBLE)) > 0.5 AS INTEGER) AS pred,
+         sbase.domain, CAST(coalesce(dim.domain_idx, {C.GENERAL_INDEX}) AS INTEGER) AS domain_idx
+  FROM sbase LEFT JOIN {DOMAIN_DIM_AS_DIM} ON dim.domain = sbase.domain)
+"""
+
+
+def class_stats_sql(src: str = "scored") -> str:
+    def div(a, b):
+        return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+    return f"""
+, cnt AS (SELECT count(CASE WHEN label = 0 AND pred = 0 THEN 1 END) AS tn,
+                 count(CASE WHEN label = 0 AND pred = 1 THEN 1 END) AS fp,
+                 count(CASE WHEN label = 1 AND pred = 0 THEN 1 END) AS fn,
+                 count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) AS tp FROM {src}),
+st AS (SELECT {div('tn', 'tn + fn')} AS p0, {div('tn', 'tn + fp')} AS r0, {div('2 * tn', '2 * tn + fp + fn')} AS f0,
+              tn + fp AS s0, {div('tp', 'tp + fp')} AS p1, {div('tp', 'tp + fn')} AS r1,
+              {div('2 * tp', '2 * tp + fp + fn')} AS f1, tp + fn AS s1,
+              {div('tn + tp', 'tn + fp + fn + tp')} AS acc, tn + fp + fn + tp AS total FROM cnt)
+"""
+
+
+def roc_groups_sql(src: str = "scored") -> str:
+    return f"""
+, rg AS (SELECT CAST(score AS DOUBLE) AS score, count(CASE WHEN label = 1 THEN 1 END) AS pos,
+                count(CASE WHEN label <> 1 THEN 1 END) AS neg FROM {src} GROUP BY 1),
+grp AS (SELECT score, pos, neg,
+               CAST(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS tps,
+               CAST(sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS fps,
+               lead(pos) OVER (ORDER BY score DESC) AS next_pos, lead(neg) OVER (ORDER BY score DESC) AS next_neg,
+               lag(pos) OVER (ORDER BY score DESC) AS prev_pos,
+               CAST(sum(pos) OVER () AS DOUBLE) AS n_pos, CAST(sum(neg) OVER () AS DOUBLE) AS n_neg FROM rg)
+"""
+
+
+def histogram_sql(src: str = "scored", bins: int = C.HISTOGRAM_BINS) -> str:
+    nb = f"{float(bins)!r}::DOUBLE"
+
+    def edge(i):
+        return f"(CASE WHEN ({i}) >= {bins} THEN hi ELSE CAST({i} AS DOUBLE) * ((hi - lo) / {nb}) + lo END)"
+    return f"""
+, hs AS (SELECT label, min(CAST(score AS DOUBLE)) AS lo0, max(CAST(score AS DOUBLE)) AS hi0,
+                count(score) AS total FROM {src} WHERE label IN (0, 1) AND score IS NOT NULL GROUP BY label),
+hst AS (SELECT label, total, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+               CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM hs),
+hrows AS (SELECT s.label, CAST(s.score AS DOUBLE) AS x, hst.lo, hst.hi FROM {src} s JOIN hst ON hst.label = s.label
+          WHERE s.score IS NOT NULL),
+hb0 AS (SELECT *, floor((x - lo) / (hi - lo) * {nb}) AS raw FROM hrows),
+hb1 AS (SELECT *, CAST(CASE WHEN raw >= {bins} THEN {bins - 1} ELSE raw END AS INTEGER) AS i0 FROM hb0),
+hb2 AS (SELECT *, CASE WHEN x < {edge('i0')} THEN i0 - 1 ELSE i0 END AS i1 FROM hb1),
+hb3 AS (SELECT *, CASE WHEN x >= {edge('i1 + 1')} AND i1 <> {bins - 1} THEN i1 + 1 ELSE i1 END AS bin FROM hb2),
+hcnt AS (SELECT label, bin, count(*) AS n FROM hb3 GROUP BY 1, 2),
+hgrid AS (SELECT hst.*, unnest(range(0, {bins})) AS bin FROM hst),
+hh AS (SELECT hgrid.label, hgrid.bin, hgrid.total, {edge('hgrid.bin')} AS lo_e, {edge('hgrid.bin + 1')} AS hi_e,
+              CAST(coalesce(hcnt.n, 0) AS BIGINT) AS n
+       FROM hgrid LEFT JOIN hcnt ON hcnt.label = hgrid.label AND hcnt.bin = hgrid.bin)
+SELECT label, CAST(bin AS INTEGER) AS bin, round(lo_e, 6) AS bin_lo, round(hi_e, 6) AS bin_hi, n,
+       round(CAST(n AS DOUBLE) / (hi_e - lo_e) / CAST(total AS DOUBLE), 6) AS density,
+       0.5 AS decision_threshold FROM hh"""

@@ -56,3 +56,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the checkpoint folder and read it back.
+
+    Used where a plan reads the same input twice (count pass + rank pass):
+    the input is computed once, lineage is cut (a lost executor re-reads the
+    shared files instead of recomputing upstream joins) and the count pass
+    reads only the columns it needs.
+    """
+    return df.sparkSession.read.parquet(write_table(df, name))
+
+
+def write_table(df, name: str) -> str:
+    """Write ``df`` as parquet to a fresh folder under the checkpoint folder; return the path."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return path

@@ -38,9 +38,10 @@ def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "te
     to UNK; rows without tokens encode as ``[CLS, SEP, PAD...]``.
     """
     keep = [*keys, *carry]
-    toks = tokens(text)
-    d = df.select(*keep, F.size(toks).alias("n_tokens"),
-                  F.posexplode_outer(F.slice(toks, 1, max_len - 2)).alias("pos", "token"))
+    # Tokenise once per row (the array feeds both the count and the explode).
+    t = df.select(*keep, tokens(text).alias("_toks"))
+    t = t.select(*keep, F.size("_toks").alias("n_tokens"), F.slice("_toks", 1, max_len - 2).alias("_kept"))
+    d = t.select(*keep, "n_tokens", F.posexplode_outer("_kept").alias("pos", "token"))
     v = F.broadcast(vocab.select("token", "token_id"))
     j = d.join(v, "token", "left")
     pair = F.when(F.col("pos").isNotNull(),

@@ -380,3 +380,100 @@ def domain_accuracy_mean_q(spark, sf_dir):
 @register("score_histogram", _SCORED_SQL + O.histogram_sql())
 def score_histogram_q(spark, sf_dir):
     return MX.score_histogram(T.scored_rows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Vocabulary and fixed-length encoding
+# ---------------------------------------------------------------------------
+
+from sardonyx.operators import encode as EN  # noqa: E402
+
+
+def _vocab(c: DataFrame) -> DataFrame:
+    return EN.build_vocabulary(c.filter(F.col("split") == "train"))
+
+
+@register("vocabulary", O.with_corpus(O.vocab_ctes() + " SELECT token, n, token_id FROM voc"))
+def vocabulary_q(spark, sf_dir):
+    return _vocab(labelled_corpus(spark, sf_dir))
+
+
+def encoded(spark, sf_dir) -> DataFrame:
+    c = labelled_corpus(spark, sf_dir)
+    return EN.encode(c, _vocab(c), keys=["origin", "row_id"], carry=["split", "label", "domain_idx"])
+
+
+@register("encoded_sequences", O.with_corpus(O.encoded_ctes() + """
+SELECT origin, row_id, split, label, domain_idx, n_tokens, array_to_string(input_ids, ',') AS input_ids,
+       array_to_string(attention_mask, ',') AS attention_mask FROM enc"""))
+def encoded_sequences_q(spark, sf_dir):
+    e = encoded(spark, sf_dir)
+    return e.select("origin", "row_id", "split", "label", "domain_idx", "n_tokens",
+                    F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"))
+
+
+_ML = C.MAX_SEQ_LENGTH
+
+
+@register("encoding_violations", O.with_corpus(O.encoded_ctes() + f"""
+, chk AS (SELECT count(*) AS n_rows,
+   count(CASE WHEN len(input_ids) <> {_ML} THEN 1 END) AS ids_length,
+   count(CASE WHEN len(attention_mask) <> {_ML} THEN 1 END) AS mask_length,
+   count(CASE WHEN len(list_filter(attention_mask, lambda x: x NOT IN (0, 1))) > 0 THEN 1 END) AS mask_binary,
+   count(CASE WHEN len(list_filter(range(1, {_ML}), lambda i: attention_mask[i + 1] > attention_mask[i])) > 0
+         THEN 1 END) AS mask_prefix,
+   count(CASE WHEN input_ids[1] <> {C.CLS_ID} THEN 1 END) AS cls_first,
+   count(CASE WHEN input_ids[CAST(list_sum(attention_mask) AS BIGINT)] <> {C.SEP_ID} THEN 1 END) AS sep_after_tokens,
+   count(CASE WHEN len(list_filter(range(1, {_ML} + 1),
+         lambda i: attention_mask[i] = 0 AND input_ids[i] <> {C.PAD_ID})) > 0 THEN 1 END) AS pad_where_masked
+  FROM enc)
+SELECT rule, n_rows, CAST(n_violations AS BIGINT) AS n_violations FROM chk
+UNPIVOT (n_violations FOR rule IN (ids_length, mask_length, mask_binary, mask_prefix, cls_first,
+                                   sep_after_tokens, pad_where_masked))"""))
+def encoding_violations_q(spark, sf_dir):
+    return EN.encoding_violations(encoded(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Epoch history (fixed-logit path over the embeddings splits)
+# ---------------------------------------------------------------------------
+
+from sardonyx.operators import history as H  # noqa: E402
+from sardonyx.plans.epochs import logit_path_history  # noqa: E402
+
+_HIST_SQL = _LOGITS_SQL + O.history_ctes()
+_ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in H.HISTORY_METRICS)
+
+
+def path_history(spark, sf_dir) -> DataFrame:
+    return logit_path_history(T.logit_rows(spark, sf_dir))
+
+
+@register("epoch_history", _HIST_SQL + f"""
+SELECT epoch, {_ROUNDED}, round(epoch_time_sec, 1) AS epoch_time_sec FROM hist""")
+def epoch_history_q(spark, sf_dir):
+    return H.epoch_log(path_history(spark, sf_dir))
+
+
+@register("training_curves", _HIST_SQL + f"""
+, lg AS (SELECT epoch, {_ROUNDED} FROM hist)
+SELECT epoch, regexp_extract(col, '^[a-z]+_(.*)$', 1) AS metric, regexp_extract(col, '^([a-z]+)_', 1) AS split,
+       value FROM lg UNPIVOT (value FOR col IN (train_loss, val_loss, train_f1, val_f1, train_acc, val_acc))""")
+def training_curves_q(spark, sf_dir):
+    return H.training_curves(H.epoch_log(path_history(spark, sf_dir)))
+
+
+@register("best_epoch", _HIST_SQL + """
+SELECT epoch AS best_epoch, round(val_f1, 6) AS best_val_f1 FROM hist WHERE val_f1 > 0
+ORDER BY val_f1 DESC, epoch ASC LIMIT 1""")
+def best_epoch_q(spark, sf_dir):
+    b = H.best_epoch(path_history(spark, sf_dir))
+    return b.select("best_epoch", F.round("best_val_f1", 6).alias("best_val_f1"))
+
+
+@register("best_epoch_rounded", _HIST_SQL + """
+SELECT epoch AS best_epoch, round(val_f1, 4) AS val_f1_rounded FROM hist
+ORDER BY round(val_f1, 4) DESC, epoch ASC LIMIT 1""")
+def best_epoch_rounded_q(spark, sf_dir):
+    return H.best_epoch_rounded(H.epoch_log(path_history(spark, sf_dir)))

@@ -238,3 +238,78 @@ hh AS (SELECT hgrid.label, hgrid.bin, hgrid.total, {edge('hgrid.bin')} AS lo_e,
 SELECT label, CAST(bin AS INTEGER) AS bin, round(lo_e, 6) AS bin_lo, round(hi_e, 6) AS bin_hi, n,
        round(CAST(n AS DOUBLE) / (hi_e - lo_e) / CAST(total AS DOUBLE), 6) AS density,
        0.5 AS decision_threshold FROM hh"""
+
+
+TOKEN_RE = C.TOKEN_SPLIT_REGEX
+
+
+def tokens_sql(expr: str) -> str:
+    return f"list_filter(string_split_regex(lower({expr}), '{TOKEN_RE}'), lambda x: x <> '')"
+
+
+def vocab_ctes(size: int = C.VOCAB_SIZE) -> str:
+    return f"""
+, vt AS (SELECT unnest({tokens_sql('text')}) AS token FROM corpus WHERE split = 'train'),
+vc AS (SELECT token, count(*) AS n FROM vt GROUP BY token),
+vr AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token ASC) AS rn FROM vc),
+voc AS (SELECT token, n, CAST(rn + {C.FIRST_TOKEN_ID - 1} AS INTEGER) AS token_id FROM vr
+        WHERE rn <= {size - C.FIRST_TOKEN_ID})"""
+
+
+def encoded_ctes(max_len: int = C.MAX_SEQ_LENGTH) -> str:
+    k = max_len - 2
+    return vocab_ctes() + f"""
+, et AS (SELECT origin, row_id, split, label, domain_idx, {tokens_sql('text')} AS toks FROM corpus),
+ex AS (SELECT origin, row_id, split, label, domain_idx, CAST(len(toks) AS INTEGER) AS n_tokens,
+              list_slice(toks, 1, {k}) AS kept FROM et),
+ux AS (SELECT origin, row_id, unnest(kept) AS token, unnest(range(1, len(kept) + 1)) AS pos FROM ex),
+idl AS (SELECT ux.origin, ux.row_id, list(coalesce(voc.token_id, {C.UNK_ID}) ORDER BY pos) AS ids
+        FROM ux LEFT JOIN voc ON voc.token = ux.token GROUP BY 1, 2),
+enc AS (SELECT ex.origin, ex.row_id, split, label, domain_idx, n_tokens,
+               [{C.CLS_ID}] || coalesce(idl.ids, []) || [{C.SEP_ID}]
+                 || list_transform(range({k} - len(coalesce(idl.ids, []))), lambda x: {C.PAD_ID}) AS input_ids,
+               list_transform(range(len(coalesce(idl.ids, [])) + 2), lambda x: 1)
+                 || list_transform(range({k} - len(coalesce(idl.ids, []))), lambda x: 0) AS attention_mask
+        FROM ex LEFT JOIN idl ON idl.origin = ex.origin AND idl.row_id = ex.row_id)"""
+
+
+def history_ctes(epochs: int = C.NUM_EPOCHS) -> str:
+    """CTE ``hist`` (unrounded history) of the fixed-logit path; needs ``logits_ctes``."""
+    def div(a, b):
+        return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+    zs = (f"list_transform(sl, lambda z, i: z * (CAST(epoch AS DOUBLE) / {float(epochs)!r}::DOUBLE)"
+          f" + CASE WHEN i = 2 THEN CAST(2 - epoch AS DOUBLE) * 0.25::DOUBLE ELSE 0.0::DOUBLE END)")
+    zd = f"list_transform(dl, lambda z: z * (CAST(epoch AS DOUBLE) / {float(epochs)!r}::DOUBLE))"
+    metrics = ["loss", "sarc_loss", "acc", "f1"]
+    cols = ", ".join(f"max(CASE WHEN split = '{s}' THEN {m} END) AS {s}_{m}"
+                     for s in ("train", "val") for m in metrics)
+    return f"""
+, esz AS (SELECT sarc_label AS label, count(*) AS n FROM logits GROUP BY 1),
+{quota_ctes('esz', 'eq')},
+esplit AS (
+  SELECT l.*, CASE WHEN rk < q.n_test THEN 'test' WHEN rk < q.n_test + q.n_val THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY sarc_label ORDER BY row_key) - 1 AS rk FROM logits) l
+  JOIN eq_quota q ON q.label = l.sarc_label),
+ebatch AS (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY split ORDER BY row_key) - 1)
+         / CASE WHEN split = 'train' THEN {C.BATCH_SIZE} ELSE {2 * C.BATCH_SIZE} END) AS BIGINT) AS batch_id
+  FROM esplit),
+eep AS (SELECT *, unnest(range(1, {epochs + 1})) AS epoch FROM ebatch WHERE split IN ('train', 'val')),
+ez AS (SELECT epoch, split, batch_id, sarc_label, domain_label, {zs} AS zs, {zd} AS zd FROM eep),
+eloss AS (SELECT epoch, split, batch_id, sarc_label, {_lse('zs')} - zs[sarc_label + 1] AS s_loss,
+                 {_lse('zd')} - zd[domain_label + 1] AS d_loss,
+                 CAST(list_position(zs, list_max(zs)) - 1 AS INTEGER) AS pred FROM ez),
+eb AS (SELECT epoch, split, batch_id,
+              avg({C.SARCASM_LOSS_WEIGHT!r}::DOUBLE * s_loss + {C.DOMAIN_LOSS_WEIGHT!r}::DOUBLE * d_loss) AS t,
+              avg(s_loss) AS s,
+              count(CASE WHEN sarc_label = 0 AND pred = 0 THEN 1 END) AS tn,
+              count(CASE WHEN sarc_label = 0 AND pred = 1 THEN 1 END) AS fp,
+              count(CASE WHEN sarc_label = 1 AND pred = 0 THEN 1 END) AS fn,
+              count(CASE WHEN sarc_label = 1 AND pred = 1 THEN 1 END) AS tp FROM eloss GROUP BY 1, 2, 3),
+es AS (SELECT epoch, split, avg(t) AS loss, avg(s) AS sarc_loss, sum(tn) AS tn, sum(fp) AS fp,
+              sum(fn) AS fn, sum(tp) AS tp FROM eb GROUP BY 1, 2),
+es2 AS (SELECT epoch, split, loss, sarc_loss, {div('tn + tp', 'tn + fp + fn + tp')} AS acc,
+               {div(f"{div('2 * tn', '2 * tn + fp + fn')} * (tn + fp) + {div('2 * tp', '2 * tp + fp + fn')} * (tp + fn)",
+                    'tn + fp + fn + tp')} AS f1 FROM es),
+hist AS (SELECT CAST(epoch AS INTEGER) AS epoch, {cols}, CAST(NULL AS DOUBLE) AS epoch_time_sec
+         FROM es2 GROUP BY epoch)"""

@@ -453,7 +453,11 @@ def path_history(spark, sf_dir) -> DataFrame:
 @register("epoch_history", _HIST_SQL + f"""
 SELECT epoch, {_ROUNDED}, round(epoch_time_sec, 1) AS epoch_time_sec FROM hist""")
 def epoch_history_q(spark, sf_dir):
-    return H.epoch_log(path_history(spark, sf_dir))
+    from sardonyx.session import scratch_dir
+    from sardonyx.sources.files import read_history, write_history
+    path = scratch_dir(spark, "history-json")
+    write_history(H.epoch_log(path_history(spark, sf_dir)), path)
+    return read_history(spark, path)
 
 
 @register("training_curves", _HIST_SQL + f"""
@@ -477,3 +481,33 @@ SELECT epoch AS best_epoch, round(val_f1, 4) AS val_f1_rounded FROM hist
 ORDER BY round(val_f1, 4) DESC, epoch ASC LIMIT 1""")
 def best_epoch_rounded_q(spark, sf_dir):
     return H.best_epoch_rounded(H.epoch_log(path_history(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# File sources: tables written as JSON lines / CSV, read back, cleaned
+# ---------------------------------------------------------------------------
+
+from sardonyx.functions.text import label_to_int  # noqa: E402
+from sardonyx.sources import files as FS  # noqa: E402
+
+
+@register("read_headlines", O.with_corpus(
+    f"SELECT row_id, text, {O.label_int('label_raw')} AS label, domain FROM hk WHERE kept"))
+def read_headlines_q(spark, sf_dir):
+    from sardonyx.session import scratch_dir
+    path = scratch_dir(spark, "headlines-json")
+    FS.write_headlines(T.headline_rows(spark, sf_dir), path)
+    f = flag_headlines(FS.read_headlines(spark, path), T.BOUND_URL_RULES)
+    return f.filter("kept").select("row_id", "text", label_to_int("label_raw").alias("label"), "domain")
+
+
+@register("read_forum_csv", O.with_corpus(
+    f"SELECT row_id, text, {O.label_int('label_raw')} AS label, domain FROM fk WHERE kept"))
+def read_forum_csv_q(spark, sf_dir):
+    from sardonyx.session import scratch_dir
+    path = scratch_dir(spark, "forum-csv")
+    rows = T.forum_rows(spark, sf_dir).select("row_id", "label", "comment",
+                                               F.lit("anon").alias("author"), "subreddit")
+    FS.write_forum_csv(rows, path)
+    f = flag_forum(FS.read_forum_csv(spark, path), T.BOUND_LOOKUP)
+    return f.filter("kept").select("row_id", "text", label_to_int("label_raw").alias("label"), "domain")

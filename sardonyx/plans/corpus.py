@@ -21,6 +21,17 @@ from sardonyx.operators.ranking import class_cap, stratified_split
 FLAG_COLUMNS = ["origin", "row_id", "row_key", "text", "label_raw", "domain", "sampled", "kept"]
 
 
+def _key(origin: str, rid, content, seed: int):
+    """Row key from the id when the source has one, else from the row's content.
+
+    Rows with equal content get equal keys, so any order among them yields
+    the same multiset of results.
+    """
+    by_content = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(origin),
+                                   *[F.coalesce(c.cast("string"), F.lit("")) for c in content]))
+    return F.when(rid.isNotNull(), row_key(F.lit(origin), rid, seed)).otherwise(by_content)
+
+
 def flag_headlines(rows: DataFrame, url_rules: Sequence[tuple[str, str]] = C.URL_RULES,
                    origin: str = "headlines", seed: int = C.SEED) -> DataFrame:
     """Headline rows (``row_id, headline, is_sarcastic[, article_link]``) with flags.
@@ -30,9 +41,10 @@ def flag_headlines(rows: DataFrame, url_rules: Sequence[tuple[str, str]] = C.URL
     """
     link = F.col("article_link") if "article_link" in rows.columns else F.lit(None).cast("string")
     text = strip_ws(F.col("headline").cast("string"))
+    rid = F.col("row_id").cast("bigint") if "row_id" in rows.columns else F.lit(None).cast("bigint")
     return rows.select(
-        F.lit(origin).alias("origin"), F.col("row_id").cast("bigint").alias("row_id"),
-        row_key(F.lit(origin), F.col("row_id"), seed).alias("row_key"),
+        F.lit(origin).alias("origin"), rid.alias("row_id"),
+        _key(origin, rid, [F.col("headline"), F.col("is_sarcastic"), link], seed).alias("row_key"),
         text.alias("text"), F.col("is_sarcastic").cast("string").alias("label_raw"),
         url_domain(link, url_rules).alias("domain"), F.lit(True).alias("sampled"),
     ).withColumn("kept", clean_condition(F.col("text"), F.col("label_raw")))
@@ -42,9 +54,10 @@ def flag_forum(rows: DataFrame, lookup: dict[str, str] = C.COMMUNITY_LOOKUP,
                max_samples: int = C.MAX_FORUM_SAMPLES, origin: str = "forum",
                seed: int = C.SEED) -> DataFrame:
     """Forum rows (``row_id, label, comment, subreddit``): exact per-class cap before cleaning."""
+    rid = F.col("row_id").cast("bigint") if "row_id" in rows.columns else F.lit(None).cast("bigint")
     d = rows.select(
-        F.lit(origin).alias("origin"), F.col("row_id").cast("bigint").alias("row_id"),
-        row_key(F.lit(origin), F.col("row_id"), seed).alias("row_key"),
+        F.lit(origin).alias("origin"), rid.alias("row_id"),
+        _key(origin, rid, [F.col("comment"), F.col("label"), F.col("subreddit")], seed).alias("row_key"),
         F.col("comment").cast("string").alias("comment"),
         F.col("label").cast("string").alias("label_raw"), "subreddit",
         F.col("label").cast("string").try_cast("double").alias("_label_num"))

@@ -511,3 +511,94 @@ def read_forum_csv_q(spark, sf_dir):
     FS.write_forum_csv(rows, path)
     f = flag_forum(FS.read_forum_csv(spark, path), T.BOUND_LOOKUP)
     return f.filter("kept").select("row_id", "text", label_to_int("label_raw").alias("label"), "domain")
+
+
+# ---------------------------------------------------------------------------
+# Training, evaluation and scoring (Spark ML; checked by rows, not SQL)
+# ---------------------------------------------------------------------------
+
+_TRAINED: dict[tuple, object] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str):
+    """The epoch loop on the labelled corpus, once per session and scale folder."""
+    from sardonyx.plans.training import train_two_heads
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = train_two_heads(labelled_corpus(spark, sf_dir))
+    return _TRAINED[key]
+
+
+def best_model(spark: SparkSession, sf_dir: str):
+    from sardonyx.plans.training import fit_heads, load_model
+    r = trained(spark, sf_dir)
+    return load_model(r.model_path) if r.model_path else fit_heads(labelled_corpus(spark, sf_dir))
+
+
+@register("train_two_heads")
+def train_two_heads_q(spark, sf_dir):
+    return trained(spark, sf_dir).history
+
+
+def _test_scored(spark, sf_dir):
+    from sardonyx.plans.training import evaluate
+    c = labelled_corpus(spark, sf_dir)
+    return evaluate(best_model(spark, sf_dir), c.filter(F.col("split") == "test"))
+
+
+@register("evaluate_best")
+def evaluate_best_q(spark, sf_dir):
+    s = _test_scored(spark, sf_dir)
+    acc = MX.accuracy_f1(s)
+    d = minibatches(dense_ids(s.withColumn("row_key", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in s.columns]))),
+                              [], "row_key", "row_no"), "row_no", 2 * C.BATCH_SIZE)
+    d = d.withColumn("total_loss", F.lit(C.SARCASM_LOSS_WEIGHT) * F.col("sarcasm_loss")
+                     + F.lit(C.DOMAIN_LOSS_WEIGHT) * F.col("domain_loss"))
+    loss = L.batch_mean_loss(d)
+    return _side_by_side(acc, loss)
+
+
+def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two one-row tables as one row (joined on a constant key of the aggregates)."""
+    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@register("full_evaluation")
+def full_evaluation_q(spark, sf_dir):
+    s = _test_scored(spark, sf_dir)
+    s = materialize_small(s)
+    acc = MX.accuracy_f1(s).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    f1 = MX.accuracy_f1(s).select(F.lit("f1_weighted").alias("metric"), F.col("f1_weighted").alias("value"))
+    auc = MX.roc_auc(s).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
+    dom = MX.domain_accuracy_mean(MX.domain_accuracy(s)).select(
+        F.lit("mean_domain_accuracy").alias("metric"), F.col("mean_accuracy").alias("value"))
+    return acc.unionByName(f1).unionByName(auc).unionByName(dom)
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    from sardonyx.session import materialize
+    return materialize(df, "scored-test")
+
+
+_CONV_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+@register("score_batch")
+def score_batch_q(spark, sf_dir):
+    from sardonyx.plans.training import score
+    conv = T.table(spark, sf_dir, "conversations")
+    return score(best_model(spark, sf_dir), conv, keep=["conv_id", "turn", "text"])
+
+
+@register("score_single")
+def score_single_q(spark, sf_dir):
+    from sardonyx.plans.training import score
+    conv = T.table(spark, sf_dir, "conversations")
+    return score(best_model(spark, sf_dir), conv, keep=["conv_id", "turn"])
+
+
+@register("score_stream")
+def score_stream_q(spark, sf_dir):
+    from sardonyx.streaming.scoring import run_available
+    return run_available(spark, sf_dir, _CONV_SCHEMA, best_model(spark, sf_dir),
+                         keep=["conv_id", "turn", "text"], file_glob="conversations.parquet")

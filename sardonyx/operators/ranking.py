@@ -31,8 +31,10 @@ def two_level_rank(df: DataFrame, by: Sequence[str], key: str = "row_key", out:
     ``key`` must be a lower-case hex string (md5).  ``per_stratum`` may map the
     stratum sizes ``(by..., n)`` to extra per-stratum columns (quotas); they are
     attached through the same join as the offsets, so no extra row shuffle.
-    The input is read twice (sizes, then ranks); with ``materialize_input`` it
-    is written once to the checkpoint folder so upstream work is not repeated.
+    The input is read twice (sizes, then ranks).  With ``materialize_input``
+    it is written once to the checkpoint folder so expensive upstream work
+    (joins, other ranks, text rules) is not repeated; callers whose input is
+    a plain scan pass False, since the size pass then reads only key columns.
     """
     by = list(by)
     elig = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
@@ -61,7 +63,7 @@ def two_level_rank(df: DataFrame, by: Sequence[str], key: str = "row_key", out:
 
 def class_cap(df: DataFrame, label: str, max_samples: int = C.MAX_FORUM_SAMPLES,
               classes: Sequence[int] = (1, 0), key: str = "row_key",
-              out: str = "sampled") -> DataFrame:
+              out: str = "sampled", materialize_input: bool = True) -> DataFrame:
     """Flag ``min(max_samples // 2, class size)`` rows of each class, lowest keys first.
 
     Rows whose label is none of ``classes`` are never sampled.  The quota uses
@@ -74,7 +76,8 @@ def class_cap(df: DataFrame, label: str, max_samples: int = C.MAX_FORUM_SAMPLES,
     def quota(sizes: DataFrame) -> DataFrame:
         return sizes.select(label, F.least(F.col("n"), F.lit(per_class)).alias("_quota"))
 
-    ranked = two_level_rank(df, [label], key, "_cap_rank", elig, per_stratum=quota)
+    ranked = two_level_rank(df, [label], key, "_cap_rank", elig, per_stratum=quota,
+                            materialize_input=materialize_input)
     flag = F.coalesce(F.col("_cap_rank") < F.col("_quota"), F.lit(False))
     return ranked.withColumn(out, flag).drop("_cap_rank", "_quota")
 
@@ -121,7 +124,8 @@ def split_quotas(sizes: DataFrame, label: str = "label", test: float = C.TEST_SP
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
-                     eligible: Column | None = None, out: str = "split") -> DataFrame:
+                     eligible: Column | None = None, out: str = "split",
+                     materialize_input: bool = True) -> DataFrame:
     """Add ``split`` in {'train','val','test'} (NULL for rows not eligible).
 
     Within each class the lowest keys go to test, the next to val, the rest
@@ -130,7 +134,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
     def quotas(sizes: DataFrame) -> DataFrame:
         return split_quotas(sizes, label).select(label, "n_test", "n_val")
 
-    ranked = two_level_rank(df, [label], key, "_split_rank", eligible, per_stratum=quotas)
+    ranked = two_level_rank(df, [label], key, "_split_rank", eligible, per_stratum=quotas,
+                            materialize_input=materialize_input)
     r = F.col("_split_rank")
     part = (F.when(r.isNull(), F.lit(None))
             .when(r < F.col("n_test"), F.lit("test"))
@@ -144,9 +149,10 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
 # ---------------------------------------------------------------------------
 
 def dense_ids(df: DataFrame, by: Sequence[str] = ("split",), key: str = "row_key",
-              out: str = "row_no", eligible: Column | None = None) -> DataFrame:
+              out: str = "row_no", eligible: Column | None = None,
+              materialize_input: bool = True) -> DataFrame:
     """0-based position in key order within each ``by`` group (the shuffled order)."""
-    return two_level_rank(df, list(by), key, out, eligible)
+    return two_level_rank(df, list(by), key, out, eligible, materialize_input=materialize_input)
 
 
 def batch_size_for(split_col: str = "split", train: int = C.BATCH_SIZE,

@@ -61,7 +61,9 @@ def flag_forum(rows: DataFrame, lookup: dict[str, str] = C.COMMUNITY_LOOKUP,
         F.col("comment").cast("string").alias("comment"),
         F.col("label").cast("string").alias("label_raw"), "subreddit",
         F.col("label").cast("string").try_cast("double").alias("_label_num"))
-    d = class_cap(d, "_label_num", max_samples, classes=(1.0, 0.0))
+    # The cap's size pass needs only ids and labels (column pruning), so the
+    # join below it is cheaper to read twice than to write out.
+    d = class_cap(d, "_label_num", max_samples, classes=(1.0, 0.0), materialize_input=False)
     d = with_lookup_domain(d, "subreddit", "domain", lookup)
     text = strip_ws(F.col("comment"))
     return d.select(

@@ -63,7 +63,7 @@ def path_logits(d: DataFrame, epochs: int = C.NUM_EPOCHS) -> DataFrame:
 
 def logit_path_history(logits: DataFrame, epochs: int = C.NUM_EPOCHS) -> DataFrame:
     """History of the fixed-logit path over the train and val splits of ``logits``."""
-    d = stratified_split(logits, "sarc_label", "row_key")
+    d = stratified_split(logits, "sarc_label", "row_key", materialize_input=False)   # plain scan
     d = dense_ids(d, ["split"])
     d = minibatches(d, "row_no", batch_size_for("split"))
     d = d.filter(F.col("split").isin("train", "val"))

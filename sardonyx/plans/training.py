@@ -108,7 +108,7 @@ def _scored_epoch(both: DataFrame, s_model, d_model, epoch: int) -> DataFrame:
 
 
 def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int = C.NUM_EPOCHS,
-                    kind: str = "logistic", iters_per_epoch: int = 5) -> TrainResult:
+                    kind: str = "logistic", iters_per_epoch: int = 3) -> TrainResult:
     """G1 + G4 + S6: the epoch loop with best-by-val-F1 saving; returns the history."""
     spark = corpus.sparkSession
     out_dir = out_dir or scratch_dir(spark, "model")

@@ -106,3 +106,31 @@ def test_model_save_load_same_scores(spark, tmp_path):
     a = sorted(tuple(r) for r in score(m, corpus, keep=["id"]).drop("all_domain_scores").collect())
     b = sorted(tuple(r) for r in score(load_model(path), corpus, keep=["id"]).drop("all_domain_scores").collect())
     assert a == b
+
+
+def test_stream_restart_has_no_duplicates(spark, tmp_path):
+    from sardonyx.plans.training import fit_heads
+    from sardonyx.streaming.scoring import run_available
+    rows = [(i, f"text number {i} with words", i % 2, i % 7, "train") for i in range(30)]
+    model = fit_heads(spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string"),
+                      iters=2)
+    src = tmp_path / "in"
+    spark.createDataFrame([(1, "first batch text")], "id bigint, text string").write.parquet(str(src / "a"))
+    kw = dict(keep=["id", "text"], sink_path=str(tmp_path / "out"), checkpoint=str(tmp_path / "ckpt"))
+    first = run_available(spark, str(src / "*"), "id bigint, text string", model, **kw)
+    assert first.count() == 1
+    spark.createDataFrame([(2, "second batch text")], "id bigint, text string").write.parquet(str(src / "b"))
+    second = run_available(spark, str(src / "*"), "id bigint, text string", model, **kw)
+    assert sorted(r["id"] for r in second.collect()) == [1, 2]
+
+
+def test_mlp_heads_continue_across_epochs(spark):
+    from sardonyx.plans.training import train_two_heads
+    rows = [(i, ("good great fine " if i % 2 else "bad awful poor ") * (1 + i % 3), i % 2, i % 7,
+             "test" if i % 10 == 0 else ("val" if i % 10 == 1 else "train"),
+             f"{i:032x}") for i in range(200)]
+    corpus = spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string, row_key string")
+    r = train_two_heads(corpus, epochs=2, kind="mlp", iters_per_epoch=5)
+    h = r.history.orderBy("epoch").collect()
+    assert len(h) == 2 and h[1]["train_loss"] <= h[0]["train_loss"]
+    assert r.best_epoch in (1, 2) and r.model_path

@@ -51,4 +51,4 @@ def row_key(origin, ident, seed: int = C.SEED) -> Column:
 def tokens(c, pattern: str = C.TOKEN_SPLIT_REGEX) -> Column:
     """Lower-case word tokens of the whole text (runs of letters/digits)."""
     parts = F.split(F.lower(_col(c)), pattern, -1)
-    return F.filter(parts, lambda t: t != F.lit(""))
+    return F.array_remove(parts, "")

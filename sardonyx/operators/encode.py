@@ -47,7 +47,7 @@ def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "te
     pair = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", F.coalesce("token_id", F.lit(C.UNK_ID)).alias("id")))
     g = j.groupBy(*keep, "n_tokens").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    ids = F.transform("_pairs", lambda p: p["id"])
+    ids = F.col("_pairs.id")   # field of every struct, in position order
     n = F.size("_pairs")
     pad = F.lit(max_len - 2) - n
     input_ids = F.concat(F.array(F.lit(C.CLS_ID)), ids, F.array(F.lit(C.SEP_ID)),

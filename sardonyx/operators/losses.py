@@ -15,8 +15,8 @@ def head_losses(df: DataFrame, sarcasm_logits: str = "sarcasm_logits",
                 domain_logits: str = "domain_logits", sarc_label: str = "sarc_label",
                 domain_label: str = "domain_label") -> DataFrame:
     """G2 + G3: per-row ``sarcasm_loss``, ``domain_loss`` and ``total_loss = 0.7 s + 0.3 d``."""
-    s = cross_entropy(sarcasm_logits, sarc_label)
-    d = cross_entropy(domain_logits, domain_label)
+    s = cross_entropy(sarcasm_logits, sarc_label, 2)
+    d = cross_entropy(domain_logits, domain_label, len(C.DOMAIN_LABELS))
     return df.withColumns({"sarcasm_loss": s, "domain_loss": d}).withColumn(
         "total_loss", F.lit(C.SARCASM_LOSS_WEIGHT) * F.col("sarcasm_loss")
         + F.lit(C.DOMAIN_LOSS_WEIGHT) * F.col("domain_loss"))

@@ -28,13 +28,14 @@ def predictions(df: DataFrame, sarcasm_probs="sarcasm_probs", domain_probs="doma
     score = F.element_at(sp, 2)
     idx = argmax(dp)
     names = F.array(*[F.lit(x) for x in labels])
+    rounded = F.array(*[F.round(dp.getItem(i), 4) for i in range(len(labels))])
     return df.select(
         *keep,
         F.round(score, 4).alias("sarcasm_score"),
         (score > F.lit(C.DECISION_THRESHOLD)).alias("is_sarcastic"),
         domain_name(idx, labels).alias("domain"),
         F.round(F.element_at(dp, idx + 1), 4).alias("domain_confidence"),
-        F.map_from_arrays(names, F.transform(dp, lambda p: F.round(p, 4))).alias("all_domain_scores"),
+        F.map_from_arrays(names, rounded).alias("all_domain_scores"),
     )
 
 
@@ -47,8 +48,8 @@ def ranked_domain_scores(df: DataFrame, domain_probs="domain_probs", keep: Seque
     """
     dp = _col(domain_probs)
     names = F.array(*[F.lit(x) for x in labels])
-    keyed = F.transform(dp, lambda p, i: F.struct(
-        (-F.round(p, 4)).alias("k"), i.alias("idx"), F.round(p, 4).alias("score")))
+    keyed = F.array(*[F.struct((-F.round(dp.getItem(i), 4)).alias("k"), F.lit(i).alias("idx"),
+                               F.round(dp.getItem(i), 4).alias("score")) for i in range(len(labels))])
     d = df.select(*keep, F.posexplode(F.sort_array(keyed)).alias("pos", "e"))
     cells = F.floor(F.col("e.score") * C.DOMAIN_BAR_CELLS).cast("int")
     return d.select(

@@ -65,6 +65,7 @@ def forget_prepared() -> None:
     """Drop the per-session memos (prepared corpus, trained model); the bench rebuilds them."""
     _PREPARED.clear()
     _TRAINED.clear()
+    _HISTORY_FILES.clear()
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +245,8 @@ def batch_mean_loss_q(spark, sf_dir):
 
 def _probs(spark, sf_dir):
     d = T.logit_rows(spark, sf_dir)
-    return d.select("vec_id", softmax("sarcasm_logits").alias("sarcasm_probs"),
-                    softmax("domain_logits").alias("domain_probs"))
+    return d.select("vec_id", softmax("sarcasm_logits", 2).alias("sarcasm_probs"),
+                    softmax("domain_logits", len(C.DOMAIN_LABELS)).alias("domain_probs"))
 
 
 @register("softmax_predictions", _LOGITS_SQL + """
@@ -447,18 +448,31 @@ _HIST_SQL = _LOGITS_SQL + O.history_ctes()
 _ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in H.HISTORY_METRICS)
 
 
+_HISTORY_FILES: dict[tuple, str] = {}
+
+
 def path_history(spark, sf_dir) -> DataFrame:
+    """Unrounded history of the fixed-logit path (computed from the embeddings table)."""
     return logit_path_history(T.logit_rows(spark, sf_dir))
 
 
+def history_file(spark, sf_dir) -> DataFrame:
+    """S4 then S5: the logged (rounded) history is written once per session as a JSON
+    array and read back by the reports, as the evaluation step reads the training log."""
+    from sardonyx.session import scratch_dir
+    from sardonyx.sources.files import read_history, write_history
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HISTORY_FILES:
+        path = scratch_dir(spark, "history-json")
+        write_history(H.epoch_log(path_history(spark, sf_dir)), path)
+        _HISTORY_FILES[key] = path
+    return read_history(spark, _HISTORY_FILES[key])
+
+
 @register("epoch_history", _HIST_SQL + f"""
 SELECT epoch, {_ROUNDED}, round(epoch_time_sec, 1) AS epoch_time_sec FROM hist""")
 def epoch_history_q(spark, sf_dir):
-    from sardonyx.session import scratch_dir
-    from sardonyx.sources.files import read_history, write_history
-    path = scratch_dir(spark, "history-json")
-    write_history(H.epoch_log(path_history(spark, sf_dir)), path)
-    return read_history(spark, path)
+    return history_file(spark, sf_dir)
 
 
 @register("training_curves", _HIST_SQL + f"""
@@ -466,7 +480,7 @@ def epoch_history_q(spark, sf_dir):
 SELECT epoch, regexp_extract(col, '^[a-z]+_(.*)$', 1) AS metric, regexp_extract(col, '^([a-z]+)_', 1) AS split,
        value FROM lg UNPIVOT (value FOR col IN (train_loss, val_loss, train_f1, val_f1, train_acc, val_acc))""")
 def training_curves_q(spark, sf_dir):
-    return H.training_curves(H.epoch_log(path_history(spark, sf_dir)))
+    return H.training_curves(history_file(spark, sf_dir))
 
 
 @register("best_epoch", _HIST_SQL + """
@@ -481,7 +495,7 @@ def best_epoch_q(spark, sf_dir):
 SELECT epoch AS best_epoch, round(val_f1, 4) AS val_f1_rounded FROM hist
 ORDER BY round(val_f1, 4) DESC, epoch ASC LIMIT 1""")
 def best_epoch_rounded_q(spark, sf_dir):
-    return H.best_epoch_rounded(H.epoch_log(path_history(spark, sf_dir)))
+    return H.best_epoch_rounded(history_file(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------

@@ -55,10 +55,10 @@ def path_logits(d: DataFrame, epochs: int = C.NUM_EPOCHS) -> DataFrame:
     """Logits of epoch ``e``: ``z * e/E``, plus ``(2 - e) / 4`` on the positive sarcasm class."""
     scale = F.col("epoch").cast("double") / F.lit(float(epochs))
     bias = (F.lit(2) - F.col("epoch")).cast("double") * F.lit(0.25)
+    s, dl = F.col("sarcasm_logits"), F.col("domain_logits")
     return d.withColumns({
-        "sarcasm_logits": F.transform("sarcasm_logits", lambda z, i: z * scale
-                                      + F.when(i == 1, bias).otherwise(F.lit(0.0))),
-        "domain_logits": F.transform("domain_logits", lambda z: z * scale)})
+        "sarcasm_logits": F.array(s.getItem(0) * scale + F.lit(0.0), s.getItem(1) * scale + bias),
+        "domain_logits": F.array(*[dl.getItem(i) * scale for i in range(len(C.DOMAIN_LABELS))])})
 
 
 def logit_path_history(logits: DataFrame, epochs: int = C.NUM_EPOCHS) -> DataFrame:

@@ -101,8 +101,8 @@ def _scored_epoch(both: DataFrame, s_model, d_model, epoch: int) -> DataFrame:
         F.lit(epoch).alias("epoch"), "split", "batch_id",
         F.col("label").cast("int").alias("sarc_label"),
         argmax(vector_to_array("sarcasm_probability")).alias("pred"),
-        cross_entropy(sr, F.col("label")).alias("sarcasm_loss"),
-        cross_entropy(dr, F.col("domain_idx")).alias("domain_loss"),
+        cross_entropy(sr, F.col("label"), 2).alias("sarcasm_loss"),
+        cross_entropy(dr, F.col("domain_idx"), len(C.DOMAIN_LABELS)).alias("domain_loss"),
     ).withColumn("total_loss", F.lit(C.SARCASM_LOSS_WEIGHT) * F.col("sarcasm_loss")
                  + F.lit(C.DOMAIN_LOSS_WEIGHT) * F.col("domain_loss"))
 
@@ -188,8 +188,9 @@ def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(
         "label", "domain_idx", F.element_at(sp, 2).alias("score"),
         argmax(sp).alias("pred"),
-        cross_entropy(vector_to_array("sarcasm_raw"), F.col("label")).alias("sarcasm_loss"),
-        cross_entropy(vector_to_array("domain_raw"), F.col("domain_idx")).alias("domain_loss"))
+        cross_entropy(vector_to_array("sarcasm_raw"), F.col("label"), 2).alias("sarcasm_loss"),
+        cross_entropy(vector_to_array("domain_raw"), F.col("domain_idx"), len(C.DOMAIN_LABELS))
+        .alias("domain_loss"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,9 @@ def _head(kind: str, label: str, prefix: str, n_classes: int, iters: int, width:
 
 def prepare_splits(corpus: DataFrame, num_features: int = HASH_FEATURES):
     """Fit the shared vector on train; featurise train and val once (written tables)."""
-    d = dense_ids(corpus, ["split"], eligible=F.col("split").isin("train", "val"))
+    # the corpus is a prepared table (a plain scan): no need to write the rank input
+    d = dense_ids(corpus, ["split"], eligible=F.col("split").isin("train", "val"),
+                  materialize_input=False)
     d = minibatches(d, "row_no", batch_size_for("split"))
     d = _with_class_count(_with_class_count(d, "label", 2), "domain_idx", len(C.DOMAIN_LABELS))
     train = d.filter(F.col("split") == "train")
@@ -117,17 +119,18 @@ def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int =
     train = both.filter(F.col("split") == "train")
     rows, best_f1, best_epoch, saved = [], 0.0, None, None
     s_model = d_model = None
+    n_dom = len(C.DOMAIN_LABELS)
     for epoch in range(1, epochs + 1):
         t0 = time.time()
-        if kind == "mlp":
-            s_model = _head(kind, "label", "sarcasm", 2, iters_per_epoch, width,
-                            s_model.weights if s_model else None).fit(train)
-            d_model = _head(kind, "domain_idx", "domain", len(C.DOMAIN_LABELS), iters_per_epoch, width,
-                            d_model.weights if d_model else None).fit(train)
+        if kind == "mlp":   # continue from the previous pass's weights
+            heads = [_head(kind, "label", "sarcasm", 2, iters_per_epoch, width,
+                           s_model.weights if s_model else None),
+                     _head(kind, "domain_idx", "domain", n_dom, iters_per_epoch, width,
+                           d_model.weights if d_model else None)]
         else:   # no warm start in Spark's logistic regression: refit with more iterations
-            s_model = _head(kind, "label", "sarcasm", 2, iters_per_epoch * epoch, width).fit(train)
-            d_model = _head(kind, "domain_idx", "domain", len(C.DOMAIN_LABELS),
-                            iters_per_epoch * epoch, width).fit(train)
+            heads = [_head(kind, "label", "sarcasm", 2, iters_per_epoch * epoch, width),
+                     _head(kind, "domain_idx", "domain", n_dom, iters_per_epoch * epoch, width)]
+        s_model, d_model = fit_concurrently(heads, train)
         summary = epoch_table(_scored_epoch(both, s_model, d_model, epoch)).collect()   # one row
         elapsed = time.time() - t0
         rec = summary[0].asDict() if summary else {"epoch": epoch}
@@ -145,6 +148,18 @@ def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int =
 _HIST_COLS = [c.split()[0] for c in HISTORY_SCHEMA.split(", ")]
 
 
+def fit_concurrently(estimators, df: DataFrame):
+    """Fit independent estimators on the same data as concurrent Spark jobs.
+
+    Both heads read the same written feature table; running their jobs side
+    by side keeps the cluster busy during each other's driver-side solver
+    steps (the same idea as the ``parallelism`` option of Spark ML tuning).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(estimators)) as pool:
+        return [f.result() for f in [pool.submit(e.fit, df) for e in estimators]]
+
+
 def fit_heads(corpus: DataFrame, kind: str = "logistic", iters: int = 10) -> PipelineModel:
     """One fit of the feature pipeline and both heads on the train split."""
     train = corpus.filter(F.col("split") == "train")

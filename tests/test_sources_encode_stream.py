@@ -134,3 +134,14 @@ def test_mlp_heads_continue_across_epochs(spark):
     h = r.history.orderBy("epoch").collect()
     assert len(h) == 2 and h[1]["train_loss"] <= h[0]["train_loss"]
     assert r.best_epoch in (1, 2) and r.model_path
+
+
+def test_predict_single_text(spark):
+    from sardonyx.plans.training import fit_heads, predict
+    rows = [(i, f"sample {i % 4} words here", i % 2, i % 7, "train") for i in range(30)]
+    m = fit_heads(spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string"),
+                  iters=2)
+    rec = predict(m, spark, C.DEMO_SENTENCES[0])
+    assert set(rec) == {"sarcasm_score", "is_sarcastic", "domain", "domain_confidence", "all_domain_scores"}
+    assert len(rec["all_domain_scores"]) == len(C.DOMAIN_LABELS)
+    assert 0.0 <= rec["sarcasm_score"] <= 1.0 and rec["domain"] in C.DOMAIN_LABELS

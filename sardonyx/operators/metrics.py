@@ -103,19 +103,38 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 # ROC / AUC
 # ---------------------------------------------------------------------------
 
+LOGIT_SPAN = 40   # |logit| of any double probability strictly inside (0, 1) is below 40
+
+
+def score_bucket(s: Column, per_unit: int) -> Column:
+    """A bucket id that never decreases as the score grows, spread on the logit scale.
+
+    Probabilities crowd near 0 and 1 (a saturated model puts a large share of
+    all rows within 1e-6 of 1.0); on the logit scale those values are far
+    apart, so no bucket collects them.  Scores outside (0, 1) get log-spaced
+    buckets beyond both ends, keeping the order for any real score.
+    """
+    edge = LOGIT_SPAN * per_unit
+    logit = F.log(s) - F.log(F.lit(1.0) - s)
+    inner = F.least(F.greatest(F.floor(logit * per_unit), F.lit(1 - edge)), F.lit(edge - 1))
+    return (F.when(s <= 0, F.lit(-edge) - F.ceil(F.log1p(-s) * per_unit))
+            .when(s >= 1, F.lit(edge) + F.floor(F.log1p(s - 1) * per_unit))
+            .otherwise(inner)).cast("bigint")
+
+
 def _roc_groups(df: DataFrame, label: str, score: str, buckets: int) -> DataFrame:
     """Distinct scores with running positive/negative counts in descending score order.
 
-    Level 1: per score bucket totals (at most ``buckets + 1`` rows) and their
-    prefix sums; level 2: running sums inside a bucket, joined on the bucket
+    Level 1: per score bucket totals (``buckets`` per logit unit, about
+    82 thousand for probabilities) and their prefix sums; level 2: running
+    sums inside a bucket, joined on the bucket
     (the same key the window partitions by).  Also carries the counts of the
     next (lower) distinct score, needed for the collinear-point rule.
     """
     g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
-    bucket = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)), F.lit(buckets))
-    g = g.withColumn("_b", bucket.cast("bigint"))
+    g = g.withColumn("_b", score_bucket(F.col("score"), buckets))
     bt = g.groupBy("_b").agg(
         F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"),
         F.max_by(F.struct("pos", "neg"), "score").alias("_first"))

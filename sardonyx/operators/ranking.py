@@ -25,7 +25,7 @@ from sardonyx.session import materialize
 def two_level_rank(df: DataFrame, by: Sequence[str], key: str = "row_key", out: str = "rank",
                    eligible: Column | None = None, hex_digits: int = C.RANK_BUCKET_HEX,
                    per_stratum: Callable[[DataFrame], DataFrame] | None = None,
-                   materialize_input: bool = True) -> DataFrame:
+                   materialize_input: bool = True, unique_keys: bool = True) -> DataFrame:
     """Add a 0-based rank of ``key`` within ``by`` (NULL for rows not ``eligible``).
 
     ``key`` must be a lower-case hex string (md5).  ``per_stratum`` may map the
@@ -35,16 +35,20 @@ def two_level_rank(df: DataFrame, by: Sequence[str], key: str = "row_key", out:
     it is written once to the checkpoint folder so expensive upstream work
     (joins, other ranks, text rules) is not repeated; callers whose input is
     a plain scan pass False, since the size pass then reads only key columns.
+
+    ``unique_keys=False`` is for keys that may repeat (content keys of sources
+    without ids, where a group of copies can be a large share of the rows):
+    see :func:`_rank_with_copies`.
     """
     by = list(by)
+    if not unique_keys:
+        return _rank_with_copies(df, by, key, out, eligible, hex_digits, per_stratum)
     elig = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
     d = df.withColumns({"_bucket": F.substring(F.col(key), 1, hex_digits), "_elig": elig})
     if materialize_input:
         d = materialize(d, "rank-input")
     counts = d.filter("_elig").groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_bucket",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = _bucket_offsets(counts, by)
     if per_stratum is not None:
         sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
         offsets = offsets.join(per_stratum(sizes), on=by, how="left")
@@ -57,13 +61,56 @@ def two_level_rank(df: DataFrame, by: Sequence[str], key: str = "row_key", out:
     return joined.withColumn(out, rank.cast("bigint")).drop("_bucket", "_elig", "_offset")
 
 
+def _bucket_offsets(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(by, _bucket, _n)`` -> ``(by, _bucket, _offset)``: rows in earlier buckets of the stratum.
+
+    The window runs over the bucket table (at most ``16**k`` rows per stratum).
+    """
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+
+
+def _rank_with_copies(df: DataFrame, by: Sequence[str], key: str, out: str,
+                      eligible: Column | None, hex_digits: int,
+                      per_stratum: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Rank when many rows may share one key (copies).
+
+    Rows with equal keys are interchangeable, so only how many of them fall
+    in each rank range matters.  The input partition id is stored with each
+    row (one write, so both passes see the same value); the counted unit is
+    ``(stratum, key, partition)``, so a key with copies in every partition
+    becomes at most one unit per partition instead of one huge group.  Units
+    are ranked in ``(key, partition)`` order with the usual two levels
+    (weighted by their sizes); each row then takes its unit's offset plus its
+    position inside the unit, a window bounded by one input partition.
+    """
+    elig = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
+    d = materialize(df.withColumns({"_elig": elig, "_pid": F.spark_partition_id()}), "rank-input")
+    units = (d.filter("_elig").groupBy(*by, key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_bucket", F.substring(F.col(key), 1, hex_digits)))
+    counts = units.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_n"))
+    offsets = _bucket_offsets(counts, by)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(key, "_pid").rowsBetween(Window.unboundedPreceding, -1)
+    u = units.join(offsets, on=[*by, "_bucket"], how="left").select(
+        *by, key, "_pid",
+        (F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_uoffset"))
+    if per_stratum is not None:
+        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
+        u = u.join(per_stratum(sizes), on=by, how="left")
+    joined = d.join(u, on=[*by, key, "_pid"], how="left")
+    w = Window.partitionBy("_elig", *by, key, "_pid").orderBy(key)
+    rank = F.when(F.col("_elig"), F.col("_uoffset") + F.row_number().over(w) - 1)
+    return joined.withColumn(out, rank.cast("bigint")).drop("_elig", "_pid", "_uoffset")
+
+
 # ---------------------------------------------------------------------------
 # M1: per-class exact cap
 # ---------------------------------------------------------------------------
 
 def class_cap(df: DataFrame, label: str, max_samples: int = C.MAX_FORUM_SAMPLES,
               classes: Sequence[int] = (1, 0), key: str = "row_key",
-              out: str = "sampled", materialize_input: bool = True) -> DataFrame:
+              out: str = "sampled", materialize_input: bool = True,
+              unique_keys: bool = True) -> DataFrame:
     """Flag ``min(max_samples // 2, class size)`` rows of each class, lowest keys first.
 
     Rows whose label is none of ``classes`` are never sampled.  The quota uses
@@ -77,7 +124,7 @@ def class_cap(df: DataFrame, label: str, max_samples: int = C.MAX_FORUM_SAMPLES,
         return sizes.select(label, F.least(F.col("n"), F.lit(per_class)).alias("_quota"))
 
     ranked = two_level_rank(df, [label], key, "_cap_rank", elig, per_stratum=quota,
-                            materialize_input=materialize_input)
+                            materialize_input=materialize_input, unique_keys=unique_keys)
     flag = F.coalesce(F.col("_cap_rank") < F.col("_quota"), F.lit(False))
     return ranked.withColumn(out, flag).drop("_cap_rank", "_quota")
 
@@ -125,7 +172,7 @@ def split_quotas(sizes: DataFrame, label: str = "label", test: float = C.TEST_SP
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
                      eligible: Column | None = None, out: str = "split",
-                     materialize_input: bool = True) -> DataFrame:
+                     materialize_input: bool = True, unique_keys: bool = True) -> DataFrame:
     """Add ``split`` in {'train','val','test'} (NULL for rows not eligible).
 
     Within each class the lowest keys go to test, the next to val, the rest
@@ -135,7 +182,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
         return split_quotas(sizes, label).select(label, "n_test", "n_val")
 
     ranked = two_level_rank(df, [label], key, "_split_rank", eligible, per_stratum=quotas,
-                            materialize_input=materialize_input)
+                            materialize_input=materialize_input, unique_keys=unique_keys)
     r = F.col("_split_rank")
     part = (F.when(r.isNull(), F.lit(None))
             .when(r < F.col("n_test"), F.lit("test"))
@@ -150,9 +197,10 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
 
 def dense_ids(df: DataFrame, by: Sequence[str] = ("split",), key: str = "row_key",
               out: str = "row_no", eligible: Column | None = None,
-              materialize_input: bool = True) -> DataFrame:
+              materialize_input: bool = True, unique_keys: bool = True) -> DataFrame:
     """0-based position in key order within each ``by`` group (the shuffled order)."""
-    return two_level_rank(df, list(by), key, out, eligible, materialize_input=materialize_input)
+    return two_level_rank(df, list(by), key, out, eligible, materialize_input=materialize_input,
+                          unique_keys=unique_keys)
 
 
 def batch_size_for(split_col: str = "split", train: int = C.BATCH_SIZE,

@@ -63,7 +63,8 @@ def flag_forum(rows: DataFrame, lookup: dict[str, str] = C.COMMUNITY_LOOKUP,
         F.col("label").cast("string").try_cast("double").alias("_label_num"))
     # The cap's size pass needs only ids and labels (column pruning), so the
     # join below it is cheaper to read twice than to write out.
-    d = class_cap(d, "_label_num", max_samples, classes=(1.0, 0.0), materialize_input=False)
+    d = class_cap(d, "_label_num", max_samples, classes=(1.0, 0.0), materialize_input=False,
+                  unique_keys="row_id" in rows.columns)
     d = with_lookup_domain(d, "subreddit", "domain", lookup)
     text = strip_ws(F.col("comment"))
     return d.select(
@@ -72,15 +73,20 @@ def flag_forum(rows: DataFrame, lookup: dict[str, str] = C.COMMUNITY_LOOKUP,
         F.col("text"), F.col("label_raw"), C.PLACEHOLDER_TEXTS))
 
 
-def flagged_corpus(headlines: DataFrame | None, forum: DataFrame | None) -> DataFrame:
-    """Union of flagged sources + ``label``, ``domain_idx`` and the stratified ``split``."""
+def flagged_corpus(headlines: DataFrame | None, forum: DataFrame | None,
+                   unique_keys: bool = False) -> DataFrame:
+    """Union of flagged sources + ``label``, ``domain_idx`` and the stratified ``split``.
+
+    ``unique_keys=True`` when every source carries row ids (no content keys,
+    so no key is shared by copies); the default also handles copies.
+    """
     parts = [p.select(*FLAG_COLUMNS) for p in (headlines, forum) if p is not None]
     d = parts[0]
     for p in parts[1:]:
         d = d.unionByName(p)
     d = d.withColumn("label", F.when(F.col("kept"), label_to_int("label_raw")))
     d = with_domain_index(d, "domain", "domain_idx")
-    return stratified_split(d, "label", "row_key", eligible=F.col("kept"))
+    return stratified_split(d, "label", "row_key", eligible=F.col("kept"), unique_keys=unique_keys)
 
 
 def corpus(flagged: DataFrame) -> DataFrame:

@@ -122,3 +122,27 @@ def test_mean_of_batch_means(spark):
                                "batch_id bigint, total_loss double")
     r = batch_mean_loss(df, cols=["total_loss"]).first()
     assert r["mean_total_loss"] == pytest.approx(20 / 3, abs=1e-6) and r["n_batches"] == 3
+
+
+def test_roc_with_saturated_scores(spark):
+    # a third of the rows crowd just below 1.0 with distinct values
+    import random
+    rnd = random.Random(11)
+    labels, scores = [], []
+    for i in range(600):
+        y = rnd.randint(0, 1)
+        labels.append(y)
+        scores.append(1.0 - rnd.random() * 1e-9 if i % 3 == 0 else rnd.random())
+    df = _scored(spark, labels, scores)
+    b = df.select(MX.score_bucket(F.col("score"), 1024).alias("b")).groupBy("b").count()
+    assert b.agg(F.max("count")).first()[0] < 200       # the crowd is spread over many buckets
+    a1 = sorted(tuple(r) for r in MX.roc_points(df, buckets=1).collect())
+    a2 = sorted(tuple(r) for r in MX.roc_points(df, buckets=1024).collect())
+    assert a1 == a2
+
+
+def test_score_bucket_monotone(spark):
+    vals = [-5.0, -0.1, 0.0, 1e-300, 1e-9, 0.2, 0.5, 0.9, 1 - 1e-12, 1.0, 1.5, 1e6]
+    df = spark.createDataFrame([(v,) for v in vals], "s double")
+    got = [r[0] for r in df.select(MX.score_bucket(F.col("s"), 1024)).collect()]
+    assert got == sorted(got)

@@ -72,3 +72,26 @@ def test_dense_ids_contiguous(spark):
     for r in d.groupBy("split").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"),
                                     F.count("*").alias("n")).collect():
         assert r["lo"] == 0 and r["hi"] == r["n"] - 1
+
+
+def test_rank_with_copies_equals_row_number(spark):
+    # one key held by a third of the rows (copies), spread over many partitions
+    rows = [(i, 1 if i % 3 else 0, "c" * 32 if i % 3 == 0 else f"{i * 7919 % 100003:032x}")
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, label int, row_key string").repartition(16)
+    ranked = two_level_rank(df, ["label"], "row_key", "rk", unique_keys=False)
+    got = sorted((r["label"], r["row_key"], r["rk"]) for r in ranked.collect())
+    plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("row_key")) - 1)
+    exp = sorted((r["label"], r["row_key"], r["rn"]) for r in plain.collect())
+    # copies are interchangeable: compare (label, key, rank) multisets
+    assert got == exp
+
+
+def test_split_with_copies_same_counts_for_any_partitioning(spark):
+    rows = [(i, i % 2, "d" * 32 if i % 3 == 0 else f"{i:032x}") for i in range(300)]
+    base = spark.createDataFrame(rows, "id bigint, label int, row_key string")
+    a = stratified_split(base.repartition(1), unique_keys=False)
+    b = stratified_split(base.repartition(32), unique_keys=False)
+    ca = sorted(tuple(r) for r in a.groupBy("split", "label", "row_key").count().collect())
+    cb = sorted(tuple(r) for r in b.groupBy("split", "label", "row_key").count().collect())
+    assert ca == cb

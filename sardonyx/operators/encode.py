@@ -38,15 +38,18 @@ def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "te
     to UNK; rows without tokens encode as ``[CLS, SEP, PAD...]``.
     """
     keep = [*keys, *carry]
-    # Tokenise once per row (the array feeds both the count and the explode).
-    t = df.select(*keep, tokens(text).alias("_toks"))
-    t = t.select(*keep, F.size("_toks").alias("n_tokens"), F.slice("_toks", 1, max_len - 2).alias("_kept"))
-    d = t.select(*keep, "n_tokens", F.posexplode_outer("_kept").alias("pos", "token"))
+    # Tokenise once per row (the array feeds both the count and the explode).  The
+    # regroup is keyed by a per-row handle taken in the same map stage (stable on a
+    # task retry), so rows with NULL or repeated keys never merge.
+    t = df.select(*keep, tokens(text).alias("_toks"), F.monotonically_increasing_id().alias("_rid"))
+    t = t.select(*keep, "_rid", F.size("_toks").alias("n_tokens"),
+                 F.slice("_toks", 1, max_len - 2).alias("_kept"))
+    d = t.select(*keep, "_rid", "n_tokens", F.posexplode_outer("_kept").alias("pos", "token"))
     v = F.broadcast(vocab.select("token", "token_id"))
     j = d.join(v, "token", "left")
     pair = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", F.coalesce("token_id", F.lit(C.UNK_ID)).alias("id")))
-    g = j.groupBy(*keep, "n_tokens").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    g = j.groupBy("_rid", *keep, "n_tokens").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
     ids = F.col("_pairs.id")   # field of every struct, in position order
     n = F.size("_pairs")
     pad = F.lit(max_len - 2) - n

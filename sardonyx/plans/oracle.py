@@ -237,7 +237,7 @@ hh AS (SELECT hgrid.label, hgrid.bin, hgrid.total, {edge('hgrid.bin')} AS lo_e,
        FROM hgrid LEFT JOIN hcnt ON hcnt.label = hgrid.label AND hcnt.bin = hgrid.bin)
 SELECT label, CAST(bin AS INTEGER) AS bin, round(lo_e, 6) AS bin_lo, round(hi_e, 6) AS bin_hi, n,
        round(CAST(n AS DOUBLE) / (hi_e - lo_e) / CAST(total AS DOUBLE), 6) AS density,
-       0.5 AS decision_threshold FROM hh"""
+       0.5::DOUBLE AS decision_threshold FROM hh"""
 
 
 TOKEN_RE = C.TOKEN_SPLIT_REGEX

@@ -20,11 +20,24 @@ from sardonyx.functions.text import tokens
 
 
 def build_vocabulary(df: DataFrame, text: str = "text", size: int = C.VOCAB_SIZE) -> DataFrame:
-    """``token, n, token_id``; most frequent first (ties by token), ids from 4 up."""
+    """``token, n, token_id``; most frequent first (ties by token), ids from 4 up.
+
+    A plain ``orderBy().limit(V)`` would send every partition's local top V
+    to one merge task.  Instead, a histogram of the counts (one row per
+    distinct count value, small) finds the count values that can still reach
+    the top V: those with fewer than V tokens counted strictly above them.
+    At most V such values exist, so that table is broadcast with a proven
+    bound, and only tokens with those counts reach the final top-V step.
+    """
     n_words = size - C.FIRST_TOKEN_ID
     counts = (df.select(F.explode(tokens(text)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(n_words)   # bounded by ``size``
+    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    reachable = (hist.withColumn("_above", F.coalesce(F.sum("_k").over(above), F.lit(0)))
+                 .filter(F.col("_above") < n_words).select("n"))   # at most n_words rows
+    survivors = counts.join(F.broadcast(reachable), "n")
+    top = survivors.orderBy(F.desc("n"), F.asc("token")).limit(n_words)   # bounded by ``size``
     order = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.select("token", "n", (F.row_number().over(order) + C.FIRST_TOKEN_ID - 1)
                       .cast("int").alias("token_id"))

@@ -74,3 +74,28 @@ def write_table(df, name: str) -> str:
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized to the input (apply when building the session).
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes`` so a
+    task's data fits in executor memory with room for sorting (windows) and
+    aggregation maps; AQE then merges small shuffle partitions and splits
+    skewed ones at runtime.  The shuffle-partition count is an upper bound
+    derived from the input size, not a guess of 200.
+    """
+    import math
+
+    shuffle_parts = max(200, math.ceil(input_bytes / target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }

@@ -1,7 +1,6 @@
 """Column expressions built from ``pyspark.sql.functions`` only (JVM-side, codegen)."""
 
 from sardonyx.functions.text import (  # noqa: F401
-    community_domain_map,
     label_to_int,
     row_key,
     strip_ws,

@@ -35,13 +35,6 @@ def url_domain(c, rules: Sequence[tuple[str, str]] = C.URL_RULES,
     return F.lit(fallback) if expr is None else expr.otherwise(F.lit(fallback))
 
 
-def community_domain_map(lookup: dict[str, str] = C.COMMUNITY_LOOKUP) -> Column:
-    """The lookup as a map literal (fine for tens of keys; large tables use a join)."""
-    keys = list(lookup)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                             F.array(*[F.lit(lookup[k]) for k in keys]))
-
-
 def row_key(origin, ident, seed: int = C.SEED) -> Column:
     """Repeatable row key ``md5('<seed>|<origin>|<id>')``: independent of partitioning."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), _col(origin).cast("string"),

@@ -145,3 +145,31 @@ def test_predict_single_text(spark):
     assert set(rec) == {"sarcasm_score", "is_sarcastic", "domain", "domain_confidence", "all_domain_scores"}
     assert len(rec["all_domain_scores"]) == len(C.DOMAIN_LABELS)
     assert 0.0 <= rec["sarcasm_score"] <= 1.0 and rec["domain"] in C.DOMAIN_LABELS
+
+
+def _planted(spark, n=400):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(n):
+        y = rnd.randint(0, 1)
+        words = ["oh", "sure", "totally", "great"] if y else ["report", "shows", "growth", "steady"]
+        filler = rnd.choice(["the", "a", "this", "that"])
+        text = " ".join(rnd.choice(words) for _ in range(6)) + " " + filler
+        rows.append((i, text, y, i % 7, "val" if i % 5 == 0 else "train"))
+    return spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string")
+
+
+def test_planted_signal_beats_majority_and_reruns_agree(spark):
+    from sardonyx.operators.metrics import accuracy_f1
+    from sardonyx.plans.training import evaluate, fit_heads
+    corpus = _planted(spark)
+    val = corpus.filter("split = 'val'")
+    majority = max(val.filter("label = 1").count(), val.filter("label = 0").count()) / val.count()
+    m1 = fit_heads(corpus, iters=10)
+    acc = accuracy_f1(evaluate(m1, val)).first()["accuracy"]
+    assert acc > majority
+    m2 = fit_heads(corpus, iters=10)
+    a = sorted(tuple(r) for r in evaluate(m1, val).collect())
+    b = sorted(tuple(r) for r in evaluate(m2, val).collect())
+    assert a == b

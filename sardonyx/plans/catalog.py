@@ -66,6 +66,7 @@ def forget_prepared() -> None:
     _PREPARED.clear()
     _TRAINED.clear()
     _HISTORY_FILES.clear()
+    _PATH_HISTORY.clear()
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,9 +452,17 @@ _ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in H.HISTORY_METRICS)
 _HISTORY_FILES: dict[tuple, str] = {}
 
 
+_PATH_HISTORY: dict[tuple, str] = {}
+
+
 def path_history(spark, sf_dir) -> DataFrame:
-    """Unrounded history of the fixed-logit path (computed from the embeddings table)."""
-    return logit_path_history(T.logit_rows(spark, sf_dir))
+    """Unrounded history of the fixed-logit path (from the embeddings table), written
+    once per session: the training log every history report reads."""
+    from sardonyx.session import write_table
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PATH_HISTORY:
+        _PATH_HISTORY[key] = write_table(logit_path_history(T.logit_rows(spark, sf_dir)), "path-history")
+    return spark.read.parquet(_PATH_HISTORY[key])
 
 
 def history_file(spark, sf_dir) -> DataFrame:

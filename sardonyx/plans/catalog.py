@@ -13,11 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sardonyx import config as C
+from sardonyx.functions.numeric import softmax
+from sardonyx.functions.text import label_to_int, url_domain
+from sardonyx.operators import encode as EN
+from sardonyx.operators import history as H
+from sardonyx.operators import losses as L
+from sardonyx.operators import metrics as MX
+from sardonyx.operators import scoring as S
 from sardonyx.operators.domains import domain_name, with_domain_index, with_lookup_domain
 from sardonyx.operators.ranking import batch_size_for, dense_ids, minibatches, preview
 from sardonyx.plans import oracle as O
 from sardonyx.plans.corpus import (corpus, flag_forum, flag_headlines, flagged_corpus,
                                    stage_counts)
+from sardonyx.plans.epochs import logit_path_history
+from sardonyx.session import materialize, scratch_dir, write_table
+from sardonyx.sources import files as FS
 from sardonyx.sources import testbed as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +55,6 @@ def flagged(spark: SparkSession, sf_dir: str, max_samples: int = C.MAX_FORUM_SAM
     Downstream jobs (splits, vocabulary, training, reports) read the table, as
     a production pipeline would read its prepared corpus.
     """
-    from sardonyx.session import write_table
 
     key = (spark.sparkContext.applicationId, sf_dir, max_samples)
     path = _PREPARED.get(key)
@@ -88,7 +97,6 @@ SELECT page_id, url, {O.url_case('url', C.URL_RULES)} AS domain,
        {O.url_case('url', T.BOUND_URL_RULES)} AS bound_domain
 FROM pages""")
 def url_domain_q(spark, sf_dir):
-    from sardonyx.functions.text import url_domain
     pages = T.table(spark, sf_dir, "pages")
     return pages.select("page_id", "url", url_domain("url").alias("domain"),
                         url_domain("url", T.BOUND_URL_RULES).alias("bound_domain"))
@@ -151,7 +159,6 @@ def label_balance_q(spark, sf_dir):
 @register("balanced_sample", O.with_corpus(
     f"SELECT row_id, {O.label_int('label_raw')} AS label FROM f WHERE sampled", BALANCED_SAMPLE_MAX))
 def balanced_sample_q(spark, sf_dir):
-    from sardonyx.functions.text import label_to_int
     f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, BALANCED_SAMPLE_MAX)
     return f.filter("sampled").select("row_id", label_to_int("label_raw").alias("label"))
 
@@ -207,10 +214,6 @@ def minibatches_q(spark, sf_dir):
 # Losses and predictions on fixed logits (embeddings x constant vectors)
 # ---------------------------------------------------------------------------
 
-from sardonyx.functions.numeric import softmax  # noqa: E402
-from sardonyx.operators import losses as L  # noqa: E402
-from sardonyx.operators import metrics as MX  # noqa: E402
-from sardonyx.operators import scoring as S  # noqa: E402
 
 _LOGITS_SQL = O.logits_ctes()
 
@@ -389,7 +392,6 @@ def score_histogram_q(spark, sf_dir):
 # Vocabulary and fixed-length encoding
 # ---------------------------------------------------------------------------
 
-from sardonyx.operators import encode as EN  # noqa: E402
 
 
 def _vocab(c: DataFrame) -> DataFrame:
@@ -442,8 +444,6 @@ def encoding_violations_q(spark, sf_dir):
 # Epoch history (fixed-logit path over the embeddings splits)
 # ---------------------------------------------------------------------------
 
-from sardonyx.operators import history as H  # noqa: E402
-from sardonyx.plans.epochs import logit_path_history  # noqa: E402
 
 _HIST_SQL = _LOGITS_SQL + O.history_ctes()
 _ROUNDED = ", ".join(f"round({c}, 4) AS {c}" for c in H.HISTORY_METRICS)
@@ -458,7 +458,6 @@ _PATH_HISTORY: dict[tuple, str] = {}
 def path_history(spark, sf_dir) -> DataFrame:
     """Unrounded history of the fixed-logit path (from the embeddings table), written
     once per session: the training log every history report reads."""
-    from sardonyx.session import write_table
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PATH_HISTORY:
         _PATH_HISTORY[key] = write_table(logit_path_history(T.logit_rows(spark, sf_dir)), "path-history")
@@ -468,7 +467,6 @@ def path_history(spark, sf_dir) -> DataFrame:
 def history_file(spark, sf_dir) -> DataFrame:
     """S4 then S5: the logged (rounded) history is written once per session as a JSON
     array and read back by the reports, as the evaluation step reads the training log."""
-    from sardonyx.session import scratch_dir
     from sardonyx.sources.files import read_history, write_history
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _HISTORY_FILES:
@@ -511,14 +509,11 @@ def best_epoch_rounded_q(spark, sf_dir):
 # File sources: tables written as JSON lines / CSV, read back, cleaned
 # ---------------------------------------------------------------------------
 
-from sardonyx.functions.text import label_to_int  # noqa: E402
-from sardonyx.sources import files as FS  # noqa: E402
 
 
 @register("read_headlines", O.with_corpus(
     f"SELECT row_id, text, {O.label_int('label_raw')} AS label, domain FROM hk WHERE kept"))
 def read_headlines_q(spark, sf_dir):
-    from sardonyx.session import scratch_dir
     path = scratch_dir(spark, "headlines-json")
     FS.write_headlines(T.headline_rows(spark, sf_dir), path)
     f = flag_headlines(FS.read_headlines(spark, path), T.BOUND_URL_RULES)
@@ -528,7 +523,6 @@ def read_headlines_q(spark, sf_dir):
 @register("read_forum_csv", O.with_corpus(
     f"SELECT row_id, text, {O.label_int('label_raw')} AS label, domain FROM fk WHERE kept"))
 def read_forum_csv_q(spark, sf_dir):
-    from sardonyx.session import scratch_dir
     path = scratch_dir(spark, "forum-csv")
     rows = T.forum_rows(spark, sf_dir).select("row_id", "label", "comment",
                                                F.lit("anon").alias("author"), "subreddit")
@@ -603,7 +597,6 @@ def full_evaluation_q(spark, sf_dir):
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
-    from sardonyx.session import materialize
     return materialize(df, "scored-test")
 
 

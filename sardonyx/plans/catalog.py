@@ -65,7 +65,8 @@ def flagged(spark: SparkSession, sf_dir: str, max_samples: int = C.MAX_FORUM_SAM
             _PREPARED.pop(key, None)
     h = flag_headlines(T.headline_rows(spark, sf_dir), T.BOUND_URL_RULES)
     f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, max_samples)
-    path = write_table(flagged_corpus(h, f, unique_keys=True), "flagged-corpus")   # id-keyed
+    # id-keyed sources; laid out by split so one-split readers prune directories
+    path = write_table(flagged_corpus(h, f, unique_keys=True), "flagged-corpus", partition_by=["split"])
     _PREPARED[key] = path
     return spark.read.parquet(path)
 

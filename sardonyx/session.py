@@ -70,10 +70,17 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(write_table(df, name))
 
 
-def write_table(df, name: str) -> str:
-    """Write ``df`` as parquet to a fresh folder under the checkpoint folder; return the path."""
+def write_table(df, name: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as parquet to a fresh folder under the checkpoint folder; return the path.
+
+    ``partition_by`` lays the table out in directories by low-cardinality
+    columns (e.g. the split), so later filters on them prune whole directories.
+    """
     path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return path
 
 

@@ -163,6 +163,9 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
                buckets: int = C.ROC_BUCKETS) -> DataFrame:
     """A10 (+A20): ``threshold, fps, tps, fpr, tpr`` with collinear points dropped, origin first.
 
+    A20's reference lines ride along: ``chance_tpr`` (the diagonal of a random
+    classifier) and the 0.5 ``decision_threshold``.
+
     A point is kept when it is the first or last distinct score or when the
     counts added at the next score differ from its own (second difference of
     fps or tps non-zero).  The origin has threshold +inf.  Rates are NULL when
@@ -182,8 +185,10 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
         return F.when(F.col(b) == 0, F.lit(None).cast("double")).otherwise(
             F.col(a).cast("double") / F.col(b).cast("double"))
 
-    return allp.select("threshold", "fps", "tps", F.round(rate("fps", "n_neg"), 6).alias("fpr"),
+    fpr = F.round(rate("fps", "n_neg"), 6)
+    return allp.select("threshold", "fps", "tps", fpr.alias("fpr"),
                        F.round(rate("tps", "n_pos"), 6).alias("tpr"),
+                       fpr.alias("chance_tpr"),   # the random-classifier diagonal
                        F.lit(C.DECISION_THRESHOLD).alias("decision_threshold"))
 
 

@@ -82,7 +82,11 @@ def score_cards(pred: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def prompt_guard(df: DataFrame, text: str = "text", min_chars: int = C.MIN_PROMPT_CHARS) -> DataFrame:
-    """Strip free text and keep it when it has at least ``min_chars`` code points."""
+    """Strip free text; drop the stop word (any case) and texts under ``min_chars``.
+
+    The stop word ends an interactive session and is never scored; on a
+    stream, ending the session is stopping the query.
+    """
     from sardonyx.functions.text import strip_ws
     d = df.withColumn(text, strip_ws(F.col(text).cast("string")))
-    return d.filter(F.char_length(text) >= min_chars)
+    return d.filter((F.lower(F.col(text)) != F.lit(C.STOP_WORD)) & (F.char_length(text) >= min_chars))

@@ -348,6 +348,7 @@ allp AS (SELECT * FROM kept UNION ALL
 SELECT threshold, CAST(fps AS BIGINT) AS fps, CAST(tps AS BIGINT) AS tps,
        round(CASE WHEN n_neg = 0 THEN NULL ELSE fps / n_neg END, 6) AS fpr,
        round(CASE WHEN n_pos = 0 THEN NULL ELSE tps / n_pos END, 6) AS tpr,
+       round(CASE WHEN n_neg = 0 THEN NULL ELSE fps / n_neg END, 6) AS chance_tpr,
        0.5::DOUBLE AS decision_threshold FROM allp""")
 def roc_points_q(spark, sf_dir):
     return MX.roc_points(T.scored_rows(spark, sf_dir))

@@ -101,5 +101,6 @@ def test_softmax_sums_to_one(spark):
 
 
 def test_prompt_guard(spark):
-    df = spark.createDataFrame([("ab",), ("  ab  ",), ("abc",), ("quit now",)], "text string")
+    df = spark.createDataFrame([("ab",), ("  ab  ",), ("abc",), ("quit now",), (" QUIT ",), ("Quit",)],
+                               "text string")
     assert sorted(r[0] for r in prompt_guard(df).collect()) == ["abc", "quit now"]

@@ -26,7 +26,7 @@ from sardonyx.plans import oracle as O
 from sardonyx.plans.corpus import (corpus, flag_forum, flag_headlines, flagged_corpus,
                                    stage_counts)
 from sardonyx.plans.epochs import logit_path_history
-from sardonyx.session import materialize, scratch_dir, write_table
+from sardonyx.session import materialize, scratch_dir, scratch_scope, write_table
 from sardonyx.sources import files as FS
 from sardonyx.sources import testbed as T
 
@@ -63,10 +63,12 @@ def flagged(spark: SparkSession, sf_dir: str, max_samples: int = C.MAX_FORUM_SAM
             return spark.read.parquet(path)
         except Exception:  # noqa: BLE001 - folder removed: prepare again
             _PREPARED.pop(key, None)
-    h = flag_headlines(T.headline_rows(spark, sf_dir), T.BOUND_URL_RULES)
-    f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, max_samples)
-    # id-keyed sources; laid out by split so one-split readers prune directories
-    path = write_table(flagged_corpus(h, f, unique_keys=True), "flagged-corpus", partition_by=["split"])
+    with scratch_scope(spark) as scope:   # rank inputs are dropped once the corpus is written
+        h = flag_headlines(T.headline_rows(spark, sf_dir), T.BOUND_URL_RULES)
+        f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, max_samples)
+        # id-keyed sources; laid out by split so one-split readers prune directories
+        path = scope.keep(write_table(flagged_corpus(h, f, unique_keys=True), "flagged-corpus",
+                                      partition_by=["split"]))
     _PREPARED[key] = path
     return spark.read.parquet(path)
 
@@ -462,7 +464,9 @@ def path_history(spark, sf_dir) -> DataFrame:
     once per session: the training log every history report reads."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PATH_HISTORY:
-        _PATH_HISTORY[key] = write_table(logit_path_history(T.logit_rows(spark, sf_dir)), "path-history")
+        with scratch_scope(spark) as scope:
+            _PATH_HISTORY[key] = scope.keep(write_table(logit_path_history(T.logit_rows(spark, sf_dir)),
+                                                        "path-history"))
     return spark.read.parquet(_PATH_HISTORY[key])
 
 

@@ -34,7 +34,7 @@ from sardonyx.operators.history import HISTORY_SCHEMA, epoch_log
 from sardonyx.operators.ranking import batch_size_for, dense_ids, minibatches
 from sardonyx.operators.scoring import predictions
 from sardonyx.plans.epochs import epoch_table
-from sardonyx.session import materialize, scratch_dir
+from sardonyx.session import materialize, scratch_dir, scratch_scope
 
 HASH_FEATURES = 1 << 16
 MLP_FEATURES = 1024
@@ -114,6 +114,11 @@ def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int =
     """G1 + G4 + S6: the epoch loop with best-by-val-F1 saving; returns the history."""
     spark = corpus.sparkSession
     out_dir = out_dir or scratch_dir(spark, "model")
+    with scratch_scope(spark):   # the feature table is dropped when the loop ends
+        return _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch)
+
+
+def _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch) -> TrainResult:
     width = MLP_FEATURES if kind == "mlp" else HASH_FEATURES
     feat, both = prepare_splits(corpus, width)
     train = both.filter(F.col("split") == "train")

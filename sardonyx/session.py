@@ -51,12 +51,55 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for intermediate tables."""
     import uuid
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+class scratch_scope:
+    """Delete the intermediate tables written inside the block, except those kept.
+
+    Use around a job whose result is itself a written table (or a driver-side
+    value): once that result exists, the inputs written on the way (rank
+    inputs, feature tables) are garbage -- at scale, whole copies of the data.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.kept: set[str] = set()
+
+    def keep(self, path: str) -> str:
+        self.kept.add(path)
+        return path
+
+    def __enter__(self):
+        _SCOPES.append([])
+        return self
+
+    def __exit__(self, *exc):
+        created = _SCOPES.pop()
+        for path in created:
+            if path not in self.kept:   # kept tables belong to whoever kept them
+                delete_path(self.spark, path)
+        return False
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the cluster file system (the same one Spark wrote to)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)
 
 
 def materialize(df, name: str):

@@ -95,3 +95,15 @@ def test_split_with_copies_same_counts_for_any_partitioning(spark):
     ca = sorted(tuple(r) for r in a.groupBy("split", "label", "row_key").count().collect())
     cb = sorted(tuple(r) for r in b.groupBy("split", "label", "row_key").count().collect())
     assert ca == cb
+
+
+def test_scratch_scope_deletes_unkept_tables(spark):
+    import os
+    from sardonyx.session import scratch_scope, write_table
+    df = spark.range(10)
+    with scratch_scope(spark) as scope:
+        tmp = write_table(df, "tmp")
+        kept = scope.keep(write_table(spark.read.parquet(tmp).selectExpr("id * 2 AS x"), "kept"))
+        assert os.path.exists(tmp.replace("file:", ""))
+    assert spark.read.parquet(kept).count() == 10
+    assert not os.path.exists(tmp.replace("file:", ""))

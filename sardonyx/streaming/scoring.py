@@ -25,12 +25,18 @@ def scoring_stream(stream: DataFrame, model: PipelineModel, keep=("text",)) -> D
 
 def run_available(spark: SparkSession, source_dir: str, schema: str, model: PipelineModel,
                   keep=("text",), sink_path: str | None = None, checkpoint: str | None = None,
-                  fmt: str = "parquet", file_glob: str | None = None) -> DataFrame:
+                  fmt: str = "parquet", file_glob: str | None = None,
+                  max_files_per_trigger: int = 1000) -> DataFrame:
     """Start the stream over the files of ``source_dir`` (optionally only those matching
-    ``file_glob``), process all available input, and return the sink table."""
+    ``file_glob``), process all available input, and return the sink table.
+
+    ``availableNow`` honours ``maxFilesPerTrigger``: a large backlog is cut into
+    several bounded micro-batches instead of one batch of everything.
+    """
     sink_path = sink_path or scratch_dir(spark, "scored-stream")
     checkpoint = checkpoint or scratch_dir(spark, "scored-stream-ckpt")
-    reader = spark.readStream.schema(schema).format(fmt)
+    reader = (spark.readStream.schema(schema).format(fmt)
+              .option("maxFilesPerTrigger", max_files_per_trigger))
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     src = reader.load(source_dir)

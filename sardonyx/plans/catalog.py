@@ -79,6 +79,7 @@ def forget_prepared() -> None:
     _TRAINED.clear()
     _HISTORY_FILES.clear()
     _PATH_HISTORY.clear()
+    _LOADED.clear()
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,10 +554,18 @@ def trained(spark: SparkSession, sf_dir: str):
     return _TRAINED[key]
 
 
+_LOADED: dict[tuple, object] = {}
+
+
 def best_model(spark: SparkSession, sf_dir: str):
+    """The best saved pair of heads, loaded once per session and scale folder."""
     from sardonyx.plans.training import fit_heads, load_model
-    r = trained(spark, sf_dir)
-    return load_model(r.model_path) if r.model_path else fit_heads(labelled_corpus(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        r = trained(spark, sf_dir)
+        _LOADED[key] = (load_model(r.model_path) if r.model_path
+                        else fit_heads(labelled_corpus(spark, sf_dir)))
+    return _LOADED[key]
 
 
 @register("train_two_heads")

@@ -80,6 +80,7 @@ def forget_prepared() -> None:
     _HISTORY_FILES.clear()
     _PATH_HISTORY.clear()
     _LOADED.clear()
+    _ENCODED.clear()
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,9 +409,18 @@ def vocabulary_q(spark, sf_dir):
     return _vocab(labelled_corpus(spark, sf_dir))
 
 
+_ENCODED: dict[tuple, str] = {}
+
+
 def encoded(spark, sf_dir) -> DataFrame:
-    c = labelled_corpus(spark, sf_dir)
-    return EN.encode(c, _vocab(c), keys=["origin", "row_id"], carry=["split", "label", "domain_idx"])
+    """T2-T4 over the whole corpus with the train vocabulary, written once per session
+    (the encoded examples are the input of the shape checks, as batches are in training)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENCODED:
+        c = labelled_corpus(spark, sf_dir)
+        e = EN.encode(c, _vocab(c), keys=["origin", "row_id"], carry=["split", "label", "domain_idx"])
+        _ENCODED[key] = write_table(e, "encoded")
+    return spark.read.parquet(_ENCODED[key])
 
 
 @register("encoded_sequences", O.with_corpus(O.encoded_ctes() + """

@@ -25,6 +25,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +122,20 @@ def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int =
 def _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch) -> TrainResult:
     width = MLP_FEATURES if kind == "mlp" else HASH_FEATURES
     feat, both = prepare_splits(corpus, width)
-    train = both.filter(F.col("split") == "train")
+    # Persist the feature rows once: every fit and every evaluation reuses them, and
+    # a persisted input stops each classifier from caching its own copy.  A lost
+    # executor re-reads its share from the written feature table.
+    train = both.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    val = both.filter(F.col("split") == "val").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _run_epochs(spark, feat, train, val, out_dir, epochs, kind, iters_per_epoch, width)
+    finally:
+        train.unpersist()
+        val.unpersist()
+
+
+def _run_epochs(spark, feat, train, val, out_dir, epochs, kind, iters_per_epoch, width) -> TrainResult:
+    both = train.unionByName(val)
     rows, best_f1, best_epoch, saved = [], 0.0, None, None
     s_model = d_model = None
     n_dom = len(C.DOMAIN_LABELS)

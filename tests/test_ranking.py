@@ -107,3 +107,12 @@ def test_scratch_scope_deletes_unkept_tables(spark):
         assert os.path.exists(tmp.replace("file:", ""))
     assert spark.read.parquet(kept).count() == 10
     assert not os.path.exists(tmp.replace("file:", ""))
+
+
+def test_cluster_conf_sizes_partitions_to_input():
+    from sardonyx.session import cluster_conf
+    conf = cluster_conf(100 * 10**12)                       # 100 TB
+    assert int(conf["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (256 << 20))
+    assert conf["spark.sql.adaptive.enabled"] == "true"
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert int(cluster_conf(10)["spark.sql.shuffle.partitions"]) == 200   # floor for small inputs

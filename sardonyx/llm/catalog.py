@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sardonyx.llm import exact_dedup
+from sardonyx.llm import exact_dedup, token_counts, token_store
+from sardonyx.llm.bpe import load_json
 from sardonyx.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: The vocabulary file of the token queries.
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = BYTE_BPE) -> str:
+    """A public tokenizer's JSON; the files stay where they are installed."""
+    import public_tokenizers
+
+    return load_json(public_tokenizers.path(name))
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -28,3 +41,14 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op8_token_store")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_digest(table(spark, sf_dir, "documents"), vocabulary())

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sardonyx.llm import decontaminate, exact_dedup, html_extract, token_counts, token_store, url_rules
+from sardonyx.llm import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    simhash,
+    token_counts,
+    token_store,
+    url_rules,
+)
 from sardonyx.llm.bpe import load_json
 from sardonyx.llm.common import table
 
@@ -68,6 +76,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query("op5_simhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_store")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"), vocabulary())

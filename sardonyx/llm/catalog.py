@@ -11,13 +11,15 @@ from sardonyx.llm import (
     decontaminate,
     exact_dedup,
     html_extract,
+    lm_scores,
+    quality,
     simhash,
     token_counts,
     token_store,
     url_rules,
 )
 from sardonyx.llm.bpe import load_json
-from sardonyx.llm.common import table
+from sardonyx.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,6 +83,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 7) == 2
+    found = lm_scores.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.withColumn("held_out", held_out)
+
+
 @query("op8_token_store")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"), vocabulary())

@@ -12,6 +12,7 @@ from sardonyx.llm import (
     exact_dedup,
     html_extract,
     lm_scores,
+    mixing,
     quality,
     simhash,
     token_counts,
@@ -98,3 +99,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_store")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -64,6 +64,28 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
         yield b if b is not None else b""
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, decide, name: str) -> DataFrame:
+    """The rows of ``docs`` for which ``decide`` gives ``kept``; all columns pass through.
+
+    ``docs`` is written once with a row handle (so that the handles hold in
+    every later pass) under a name that no column has; ``decide`` sees
+    ``_row, doc_id, text`` and returns ``_row, kept`` among its columns.
+    """
+    handle = fresh(docs, "_row")
+    rows = stored(with_row(docs, handle), name)
+    narrow = rows.select(F.col(handle).alias("_row"), "doc_id", "text")
+    keep = decide(narrow).where("kept").select(F.col("_row").alias(handle))
+    return rows.join(keep, handle, "left_semi").select(docs.columns)
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """A handle for each row, so that rows that agree in every column stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())

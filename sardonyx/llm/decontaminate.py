@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sardonyx.llm.common import LOWER_ALNUM, alnum_words, arrow_map, stored, texts_of, with_row
+from sardonyx.llm.common import LOWER_ALNUM, alnum_words, arrow_map, fresh, stored, texts_of, with_row
 
 WINDOW = 10
 #: Words in one automaton.
@@ -280,25 +280,28 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
     Clean rows keep their text byte for byte.  ``n_chars``, where the table
     has it, follows the new text.
     """
-    rows = stored(with_row(docs), "decontaminate-input")
-    found = find_rows(rows, benchmark, window, block_words)
+    handle, new, mark = (fresh(docs, n) for n in ("_row", "_new", "_hit"))
+    rows = stored(with_row(docs, handle), "decontaminate-input")
+    narrow = rows.select(F.col(handle).alias("_row"), "doc_id", "text")
+    found = find_rows(narrow, benchmark, window, block_words)
     hit = stored(found.where(F.size("spans") > 0), "hits")
 
     def mend(batches):
         for b in batches:
-            new = []
+            texts = []
             for text, spans in zip(texts_of(b), b.column(1).to_pylist()):
                 pairs = _merged([(s["a"], s["b"]) for s in spans])
-                new.append(cut_spans(text, pairs).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], ["_row", "_new"])
+                texts.append(cut_spans(text, pairs).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_row", "_new"])
 
     light = hit.where(hit_words() <= F.col("n_words") * coverage)
-    mended = arrow_map(rows.join(light.select("_row", "spans"), "_row").select("_row", "spans", "text"),
+    mended = arrow_map(narrow.join(light.select("_row", "spans"), "_row").select("_row", "spans", "text"),
                        mend, "_row bigint, _new string")
-    changed = hit.select("_row").join(mended, "_row", "left").withColumn("_hit", F.lit(True))
-    out = rows.join(changed, "_row", "left").where(F.col("_hit").isNull() | F.col("_new").isNotNull())
-    fresh = {"text": F.coalesce("_new", "text")}
+    changed = hit.select("_row").join(mended, "_row", "left").select(
+        F.col("_row").alias(handle), F.col("_new").alias(new), F.lit(True).alias(mark))
+    out = rows.join(changed, handle, "left").where(F.col(mark).isNull() | F.col(new).isNotNull())
+    now = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
-        n = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new"))
-        fresh["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
-    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+        n = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new))
+        now["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[now[c].alias(c) if c in now else F.col(c) for c in docs.columns])

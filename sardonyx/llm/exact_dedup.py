@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sardonyx.llm.common import stored, with_row
+from sardonyx.llm.common import keep_rows, stored, with_row
 
 #: A digest with more than this share of the rows counts as heavy; its inverse bounds the broadcast.
 SUPPORT = 0.001
@@ -54,9 +54,7 @@ def exact_groups(rows: DataFrame, text: str = "text", support: float = SUPPORT)
 
 def dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows = stored(with_row(docs), "dedup-input")
-    keep = exact_groups(rows, support=support).where("kept").select("_row")
-    return rows.join(keep, "_row", "left_semi").drop("_row")
+    return keep_rows(docs, lambda rows: exact_groups(rows, support=support), "dedup-input")
 
 
 def decisions(docs: DataFrame, support: float = SUPPORT) -> DataFrame:

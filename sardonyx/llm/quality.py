@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from sardonyx.llm.common import arrow_map, crc_mod, texts_of
+from sardonyx.llm.common import arrow_map, crc_mod, fresh, texts_of
 
 FIT_ROWS = 30_000
 TREES, DEPTH, BINS, RATE = 80, 4, 64, 0.15
@@ -180,19 +181,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, held_out=None)
     return fit_trees(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """All columns of ``docs`` and ``_score``."""
+def score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``."""
     box = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             s = box.value.scores(statistics_of(texts_of(b, b.schema.names[at])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    schema = StructType(list(docs.schema.fields)).add("_score", DoubleType())
+    schema = StructType(list(docs.schema.fields)).add(name, DoubleType())
     return arrow_map(docs, run, schema)
 
 
@@ -204,11 +203,12 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document; a third of the ids is never learnt from."""
     model = fit(docs, labels, held_out=held_out_column())
     return score(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out_column().alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+        "doc_id", held_out_column().alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
     model = fit(docs, labels, held_out=held_out_column())
-    return score(docs, model).where(F.col("_score") >= threshold).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sardonyx.llm import golay
-from sardonyx.llm.common import arrow_map, space_words, stored, texts_of, with_row
+from sardonyx.llm.common import arrow_map, keep_rows, space_words, stored, texts_of, with_row
 from sardonyx.llm.components import components
 
 WORDS = 4
@@ -296,6 +296,4 @@ def groups(docs: DataFrame, k: int = WORDS, run_limit: int = RUN_LIMIT) -> DataF
 
 def dedup(docs: DataFrame, k: int = WORDS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id."""
-    rows = stored(with_row(docs), "simhash-input")
-    keep = near_groups(rows, k, run_limit).where("kept").select("_row")
-    return rows.join(keep, "_row", "left_semi").drop("_row")
+    return keep_rows(docs, lambda rows: near_groups(rows, k, run_limit), "simhash-input")

@@ -48,6 +48,7 @@ BORDERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 TABLE_BORDER = ("table",)
 P_BORDER = frozenset("article aside body caption div html main section table td th".split())
 WHOLE_TAGS = frozenset(("article", "main"))
+CONTAINERS = frozenset(("#root", "body", "div", "section", "article", "main"))
 #: Points for a block of at least this many characters; shorter ones earn by length alone.
 LEAST_CHARS = 25
 SIBLING_SHARE = 0.2
@@ -196,10 +197,13 @@ def _score(blocks: list[tuple[str, Node, int]]) -> list[Node]:
         n, commas = len(text), text.count(",")
         density = linked / n
         points = (min(n / 100, 3.0) + (1 + commas if n >= LEAST_CHARS else 0)) * (1 - density)
-        # a block that is an element of its own passes its points to the element around it
-        up = holder if holder.tag in ("div", "section", "td", "#root", "body") or holder.parent is None \
-            else holder.parent
-        level = 0
+        # a block that is an element of its own passes its points to the element around it, a cell to its table
+        up, level = holder, 0
+        if holder.tag in ("td", "th"):
+            while up.parent is not None and up.tag != "table":
+                up = up.parent
+        elif holder.tag not in CONTAINERS and holder.parent is not None:
+            up = holder.parent
         while up is not None:
             touched.setdefault(id(up), up)
             up.points += points / (1, 2, 6)[level] if level < 3 else points / (3 * level)

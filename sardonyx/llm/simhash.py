@@ -45,6 +45,8 @@ WORDS = 4
 DISTANCE = 4
 SEED = 42
 RUN_LIMIT = 2000
+#: Share of all rows above which a fingerprint's copies meet their group on the map side.
+HEAVY = 0.001
 #: Shingles hashed between two bit counts, and fingerprints keyed at a time.
 CHUNK = 1 << 19
 KEY_CHUNK = 4096
@@ -278,12 +280,17 @@ def near_groups(rows: DataFrame, k: int = WORDS, run_limit: int = RUN_LIMIT) ->
     prints = stored(fingerprints(rows, k), "fingerprints")
     # of a fingerprint's rows the smallest id, NULL last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    nodes = stored(prints.groupBy("fp").agg(first.alias("first")), "fingerprint-nodes")
+    nodes = stored(prints.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
     roots = stored(components(links(nodes, run_limit)), "components")
     heads = (nodes.join(roots, nodes["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("head")))
     grouped = roots.join(heads, "root").select(F.col("node").alias("fp"), "head")
-    named = nodes.join(grouped, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"))
-    return prints.join(named, "fp").select(
+    named = stored(nodes.join(grouped, "fp", "left").select("fp", "n", F.coalesce("head", "first").alias("head")),
+                   "fingerprint-heads")
+    # a fingerprint of many copies would be a hot join key; at most 1/HEAVY of them are broadcast instead
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.broadcast(named.where(F.col("n") > total * HEAVY).select("fp", "head"))
+    light = prints.join(heavy.select("fp"), "fp", "left_anti").join(named.select("fp", "head"), "fp")
+    return prints.join(heavy, "fp").unionByName(light).select(
         "_row", "doc_id", "fp", F.col("head.doc_id").alias("component_id"),
         (F.col("_row") == F.col("head._row")).alias("kept"))
 

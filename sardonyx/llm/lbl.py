@@ -64,7 +64,7 @@ class LogBilinear:
 
     def _levels(self, y: np.ndarray):
         """Class of each output id, and the rows of each class in turn."""
-        cls = np.minimum(y // CLASS_WORDS, self.classes)
+        cls = np.where(y < self.n_out, y // CLASS_WORDS, self.classes)
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
         return cls, [(c, order[a:b]) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
@@ -75,7 +75,7 @@ class LogBilinear:
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities; ``x`` (n, CONTEXT) context ids, ``y`` output ids (n_out or more: other)."""
         p, q = self.params, self.contexts(x)
-        cls, groups = self._levels(np.minimum(y, self.classes * CLASS_WORDS))
+        cls, groups = self._levels(y)
         out = _log_softmax_at(q @ p["top"].T + p["top_bias"], cls)
         for c, rows in groups:
             s = q[rows] @ p["out"][c].T + p["out_bias"][c]
@@ -131,7 +131,7 @@ class Trainer:
         m, p, n = self.model, self.params, np.float32(len(y))
         e = [p["embed"][x[:, j]] for j in range(CONTEXT)]
         q = sum(e[j] @ p["mix"][j] for j in range(CONTEXT))
-        cls, groups = m._levels(np.minimum(y, m.classes * CLASS_WORDS))
+        cls, groups = m._levels(y)
         dq, dr, db = self._nce(q, p["top"], p["top_bias"], self.top_noise, cls)
         self._step("top", dr / n)
         self._step("top_bias", db / n)

@@ -26,19 +26,3 @@ def clean_condition(text: Column, label_raw: Column,
     if placeholders:
         cond = cond & ~text.isin(list(placeholders))
     return F.coalesce(cond, F.lit(False))
-
-
-def canonical(df: DataFrame, text: str, label: str, domain: Column | str,
-              keep: Sequence[str] = ()) -> DataFrame:
-    """Rename to the canonical ``text, label, domain`` columns (+ carried columns)."""
-    dom = F.col(domain) if isinstance(domain, str) else domain
-    return df.select(*keep, F.col(text).cast("string").alias("text"),
-                     F.col(label).alias("label"), dom.alias("domain"))
-
-
-def clean_rows(df: DataFrame, placeholders: Sequence[str] | None = None,
-               min_chars: int = C.MIN_TEXT_CHARS) -> DataFrame:
-    """Strip, drop NULL text/label, keep length > ``min_chars``, cast label, drop placeholders."""
-    stripped = df.withColumn("text", strip_ws(F.col("text").cast("string")))
-    kept = stripped.filter(clean_condition(F.col("text"), F.col("label"), placeholders, min_chars))
-    return kept.withColumn("label", label_to_int("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sardonyx import config as C
-from sardonyx.functions.text import strip_ws, url_domain
+from sardonyx.functions.text import strip_ws
 
 
 def domain_dimension(spark: SparkSession, labels: Sequence[str] = C.DOMAIN_LABELS) -> DataFrame:
@@ -21,25 +21,19 @@ def lookup_table(spark: SparkSession, lookup: dict[str, str] = C.COMMUNITY_LOOKU
     return spark.createDataFrame(sorted(lookup.items()), "lookup_key string, lookup_domain string")
 
 
-def with_url_domain(df: DataFrame, url_col: str, out: str = "domain",
-                    rules: Sequence[tuple[str, str]] = C.URL_RULES) -> DataFrame:
-    """Ordered substring rules on the lower-cased URL (a CASE chain in rule order)."""
-    return df.withColumn(out, url_domain(url_col, rules))
-
-
 def with_lookup_domain(df: DataFrame, key_col: str, out: str = "domain",
                        lookup: dict[str, str] | DataFrame = C.COMMUNITY_LOOKUP,
                        fallback: str = C.FALLBACK_DOMAIN) -> DataFrame:
     """Exact, case-sensitive key after stripping; anything else -> ``fallback``.
 
-    The lookup is a dimension table joined with a broadcast hint: its size is
-    that of the given dict (tens of keys), never of the data.
+    A dict is a dimension table of its own size and joined with a broadcast
+    hint; of a given DataFrame the size is unknown, so the planner decides.
     """
     spark = df.sparkSession
     dim = lookup_table(spark, lookup) if isinstance(lookup, dict) else lookup
     dim = dim.withColumnRenamed("lookup_key", "_lookup_key")
     keyed = df.withColumn("_lookup_key", strip_ws(F.col(key_col).cast("string")))
-    joined = keyed.join(F.broadcast(dim), on="_lookup_key", how="left")
+    joined = keyed.join(F.broadcast(dim) if isinstance(lookup, dict) else dim, on="_lookup_key", how="left")
     out_col = F.coalesce(F.col("lookup_domain"), F.lit(fallback))
     return joined.withColumn(out, out_col).drop("_lookup_key", "lookup_domain")
 

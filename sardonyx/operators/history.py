@@ -20,16 +20,6 @@ def epoch_log(df: DataFrame) -> DataFrame:
                      F.round(F.col("epoch_time_sec").cast("double"), 1).alias("epoch_time_sec"))
 
 
-def improvement_flags(history: DataFrame) -> DataFrame:
-    """A16 per epoch: ``improved`` when val F1 beats every earlier one and 0.0 (strict).
-
-    The window runs over the epoch table (one row per epoch), not over data rows.
-    """
-    earlier = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    best_before = F.greatest(F.coalesce(F.max("val_f1").over(earlier), F.lit(0.0)), F.lit(0.0))
-    return history.select("epoch", "val_f1", (F.col("val_f1") > best_before).alias("improved"))
-
-
 def best_epoch(history: DataFrame) -> DataFrame:
     """The epoch that was saved last = earliest maximum of val F1 above 0 (none if all 0)."""
     return (history.filter(F.col("val_f1") > 0).orderBy(F.desc("val_f1"), F.asc("epoch")).limit(1)

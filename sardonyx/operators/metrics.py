@@ -5,6 +5,13 @@ All of them start from one scored table (``label``, ``pred``, ``score``,
 metrics come from one 2x2 aggregate; ROC running sums are computed in two
 levels (score bucket, then within bucket) so no window holds every distinct
 score in one task.
+
+One rule for odd rows: rows with a NULL label or prediction are not counted.
+A label outside {0, 1} is a class of its own that is never predicted: such
+rows count in ``n`` and against the predicted class's precision and are
+always errors, but have no row in the report, the matrix or the histogram;
+for the ROC they are not positive.  Rows with a NULL or NaN score are left
+out of ROC, AUC and histogram.
 """
 
 from __future__ import annotations
@@ -24,28 +31,38 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
-    """One row ``tn, fp, fn, tp`` (class 1 is positive)."""
+    """One row ``tn, fp, fn, tp`` (class 1 is positive) and ``o0, o1``: other labels, by prediction."""
     y, p = F.col(label), F.col(pred)
     return df.agg(
         F.count(F.when((y == 0) & (p == 0), 1)).alias("tn"),
         F.count(F.when((y == 0) & (p == 1), 1)).alias("fp"),
         F.count(F.when((y == 1) & (p == 0), 1)).alias("fn"),
         F.count(F.when((y == 1) & (p == 1), 1)).alias("tp"),
+        F.count(F.when(~y.isin(0, 1) & (p == 0), 1)).alias("o0"),
+        F.count(F.when(~y.isin(0, 1) & (p == 1), 1)).alias("o1"),
     )
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Dense 2x2 counts, rows = true label: ``label, pred, n``."""
+    return confusion_of(confusion_counts(df, label, pred))
+
+
+def confusion_of(counts: DataFrame) -> DataFrame:
+    """The matrix of a one-row table of ``confusion_counts``."""
     def cell(y: int, p: int, c: str) -> Column:
         return F.struct(F.lit(y).alias("label"), F.lit(p).alias("pred"), F.col(c).alias("n"))
 
-    return confusion_counts(df, label, pred).select(F.inline(F.array(
+    return counts.select(F.inline(F.array(
         cell(0, 0, "tn"), cell(0, 1, "fp"), cell(1, 0, "fn"), cell(1, 1, "tp"))))
 
 
 def confusion_pct(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Row-normalised percent; NULL for a true class with no rows."""
-    c = confusion(df, label, pred)
+    return pct_of(confusion(df, label, pred))
+
+
+def pct_of(c: DataFrame) -> DataFrame:
     row_total = F.sum("n").over(Window.partitionBy("label"))
     pct = F.when(row_total == 0, F.lit(None).cast("double")).otherwise(
         F.col("n").cast("double") / row_total.cast("double") * F.lit(100.0))
@@ -53,19 +70,24 @@ def confusion_pct(df: DataFrame, label: str = "label", pred: str = "pred") -> Da
 
 
 def _class_stats(counts: DataFrame) -> DataFrame:
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    tn, fp, fn, tp, o0, o1 = (F.col(c) for c in ("tn", "fp", "fn", "tp", "o0", "o1"))
+    total = tn + fp + fn + tp + o0 + o1
     return counts.select(
         "tn", "fp", "fn", "tp",
-        _div(tn, tn + fn).alias("p0"), _div(tn, tn + fp).alias("r0"),
-        _div(2 * tn, 2 * tn + fp + fn).alias("f0"), (tn + fp).alias("s0"),
-        _div(tp, tp + fp).alias("p1"), _div(tp, tp + fn).alias("r1"),
-        _div(2 * tp, 2 * tp + fp + fn).alias("f1"), (tp + fn).alias("s1"),
-        _div(tn + tp, tn + fp + fn + tp).alias("acc"), (tn + fp + fn + tp).alias("total"))
+        _div(tn, tn + fn + o0).alias("p0"), _div(tn, tn + fp).alias("r0"),
+        _div(2 * tn, 2 * tn + fp + fn + o0).alias("f0"), (tn + fp).alias("s0"),
+        _div(tp, tp + fp + o1).alias("p1"), _div(tp, tp + fn).alias("r1"),
+        _div(2 * tp, 2 * tp + fp + fn + o1).alias("f1"), (tp + fn).alias("s1"),
+        _div(tn + tp, total).alias("acc"), total.alias("total"))
 
 
 def accuracy_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """A5 + A6: ``accuracy``, support-weighted ``f1_weighted``, ``n``."""
-    s = _class_stats(confusion_counts(df, label, pred))
+    return accuracy_of(confusion_counts(df, label, pred))
+
+
+def accuracy_of(counts: DataFrame) -> DataFrame:
+    s = _class_stats(counts)
     wf1 = _div(F.col("f0") * F.col("s0") + F.col("f1") * F.col("s1"), F.col("total"))
     return s.select(F.round("acc", 6).alias("accuracy"), F.round(wf1, 6).alias("f1_weighted"),
                     F.col("total").alias("n"))
@@ -74,7 +96,11 @@ def accuracy_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
 def classification_report(df: DataFrame, label: str = "label", pred: str = "pred",
                           names: Sequence[str] = C.CLASS_NAMES) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro and weighted averages."""
-    s = _class_stats(confusion_counts(df, label, pred))
+    return report_of(confusion_counts(df, label, pred), names)
+
+
+def report_of(counts: DataFrame, names: Sequence[str] = C.CLASS_NAMES) -> DataFrame:
+    s = _class_stats(counts)
     tot = F.col("total")
 
     def wavg(a, b):
@@ -131,7 +157,8 @@ def _roc_groups(df: DataFrame, label: str, score: str, buckets: int) -> DataFram
     (the same key the window partitions by).  Also carries the counts of the
     next (lower) distinct score, needed for the collinear-point rule.
     """
-    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    s = F.col(score).cast("double")
+    g = df.filter(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull()).groupBy(s.alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
     g = g.withColumn("_b", score_bucket(F.col("score"), buckets))
@@ -176,7 +203,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score",
     last = F.col("next_pos").isNull()
     keep = first | last | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     pts = g.filter(keep).select(F.col("score").alias("threshold"), "fps", "tps", "n_pos", "n_neg")
-    origin = g.groupBy("n_pos", "n_neg").agg(F.count(F.lit(1)).alias("_k")).select(
+    origin = g.filter(first).select(   # the highest score is one row: no second grouping
         F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("fps"),
         F.lit(0).cast("bigint").alias("tps"), "n_pos", "n_neg")
     allp = pts.unionByName(origin)
@@ -215,7 +242,8 @@ def tier(acc: Column) -> Column:
 
 
 def domain_accuracy(df: DataFrame, domain_idx: str = "domain_idx", label: str = "label",
-                    pred: str = "pred", labels: Sequence[str] = C.DOMAIN_LABELS) -> DataFrame:
+                    pred: str = "pred", labels: Sequence[str] = C.DOMAIN_LABELS,
+                    rounded: bool = True) -> DataFrame:
     """A12 + A14: sarcasm accuracy per true domain; every domain listed (0.0 and n=0 when empty)."""
     per = df.groupBy(F.col(domain_idx).cast("int").alias("domain_idx")).agg(
         F.count(F.when(F.col(label) == F.col(pred), 1)).alias("_correct"),
@@ -224,12 +252,12 @@ def domain_accuracy(df: DataFrame, domain_idx: str = "domain_idx", label: str =
     j = dim.join(per, "domain_idx", "left")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("bigint")
     acc = F.when(n > 0, F.col("_correct").cast("double") / n.cast("double")).otherwise(F.lit(0.0))
-    return j.select("domain_idx", "domain", F.round(acc, 6).alias("accuracy"), n.alias("n"),
+    return j.select("domain_idx", "domain", (F.round(acc, 6) if rounded else acc).alias("accuracy"), n.alias("n"),
                     tier(acc).alias("tier"))
 
 
 def domain_accuracy_mean(per_domain: DataFrame) -> DataFrame:
-    """Unweighted mean over all domains, empty ones counted as 0."""
+    """Unweighted mean over all domains, empty ones counted as 0; give it unrounded accuracies."""
     return per_domain.agg(F.round(F.avg("accuracy"), 6).alias("mean_accuracy"),
                           F.count(F.lit(1)).alias("n_domains"))
 
@@ -245,7 +273,7 @@ def score_histogram(df: DataFrame, label: str = "label", score: str = "score",
     """
     x = F.col(score).cast("double")
     # Only the two classes are drawn; this also bounds the broadcast stats table to 2 rows.
-    df = df.filter(F.col(label).isin(0, 1))
+    df = df.filter(F.col(label).isin(0, 1) & x.isNotNull() & ~F.isnan(x))
     stats = df.groupBy(F.col(label).alias("label")).agg(
         F.min(x).alias("_lo0"), F.max(x).alias("_hi0"), F.count(x).alias("_total"))
     same = F.col("_lo0") == F.col("_hi0")
@@ -258,7 +286,7 @@ def score_histogram(df: DataFrame, label: str = "label", score: str = "score",
     def edge(i: Column) -> Column:
         return F.when(i >= bins, F.col("_hi")).otherwise(i.cast("double") * step + F.col("_lo"))
 
-    rows = df.select(F.col(label).alias("label"), x.alias("_x")).filter(F.col("_x").isNotNull())
+    rows = df.select(F.col(label).alias("label"), x.alias("_x"))
     j = rows.join(F.broadcast(stats), "label")   # at most 2 rows
     raw = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins)))
     i0 = F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw).cast("int")

@@ -107,22 +107,62 @@ def _rank_with_copies(df: DataFrame, by: Sequence[str], key: str, out: str,
 # M1: per-class exact cap
 # ---------------------------------------------------------------------------
 
-def class_cap(df: DataFrame, label: str, max_samples: int = C.MAX_FORUM_SAMPLES,
+def cutoff_keys(df: DataFrame, by: str, thresholds: Callable[[DataFrame], DataFrame], names: Sequence[str],
+                key: str = "row_key", eligible: Column | None = None,
+                hex_digits: int = C.RANK_BUCKET_HEX) -> DataFrame:
+    """One row per ``by``: for each rank threshold the key at that rank (``_cut_<name>``).
+
+    ``thresholds`` maps the sizes ``(by, n)`` to columns ``names`` of ranks; a
+    row is below a threshold exactly if its key is below the cut-off (``~``,
+    above every hex key, where the threshold is the whole size).  Buckets
+    wholly below or above a threshold need no rank: only the one boundary
+    bucket per class and threshold is ranked, on its key columns.  Keys must
+    be unique within a class.
+    """
+    elig = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
+    d = df.filter(elig & F.col(by).isNotNull()).select(by, F.col(key).alias("_key"),
+                                                       F.substring(F.col(key), 1, hex_digits).alias("_bucket"))
+    counts = d.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = thresholds(counts.groupBy(by).agg(F.sum("_n").alias("n")))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = sizes.select(by, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("_name"), F.col(n).cast("bigint").alias("_rank")) for n in names])).alias("_t")) \
+        .select(by, "_t._name", "_t._rank")
+    edge = offsets.join(wanted, by).filter((F.col("_rank") >= F.col("_offset"))
+                                           & (F.col("_rank") < F.col("_offset") + F.col("_n")))
+    w = Window.partitionBy(by, "_name", "_bucket").orderBy("_key")
+    at = (d.join(edge.select(by, "_bucket", "_name", (F.col("_rank") - F.col("_offset")).alias("_need")),
+                 [by, "_bucket"])
+          .withColumn("_pos", F.row_number().over(w) - 1).filter("_pos = _need"))
+    found = at.groupBy(by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_key"))).alias(f"_cut_{n}") for n in names])
+    return sizes.select(by).join(found, by, "left").select(
+        by, *[F.coalesce(f"_cut_{n}", F.lit("~")).alias(f"_cut_{n}") for n in names])
+
+
+def class_cap(df: DataFrame, label: str, max_samples: int | None = None,
               classes: Sequence[int] = (1, 0), key: str = "row_key",
               out: str = "sampled", materialize_input: bool = True,
               unique_keys: bool = True) -> DataFrame:
-    """Flag ``min(max_samples // 2, class size)`` rows of each class, lowest keys first.
+    """Flag rows whose label is one of ``classes``; with ``max_samples`` only
+    ``min(max_samples // 2, class size)`` of each class, lowest keys first.
 
-    Rows whose label is none of ``classes`` are never sampled.  The quota uses
-    the class size computed in the same plan (no driver round trip).
+    Without ``max_samples`` nothing is cut.  With it and unique keys, the rows
+    are compared with one cut-off key per class (no row moves).
     """
-    per_class = max_samples // 2
     lab = F.col(label)
-    elig = lab.isNotNull() & lab.isin(list(classes))
+    elig = F.coalesce(lab.isNotNull() & lab.isin(list(classes)), F.lit(False))
+    if max_samples is None:
+        return df.withColumn(out, elig)
+    per_class = max_samples // 2
 
     def quota(sizes: DataFrame) -> DataFrame:
         return sizes.select(label, F.least(F.col("n"), F.lit(per_class)).alias("_quota"))
 
+    if unique_keys:
+        cuts = cutoff_keys(df, label, quota, ["_quota"], key, elig)
+        flag = elig & F.coalesce(F.col(key) < F.col("_cut__quota"), F.lit(False))
+        return df.join(cuts, label, "left").withColumn(out, flag).select(*df.columns, out)
     ranked = two_level_rank(df, [label], key, "_cap_rank", elig, per_stratum=quota,
                             materialize_input=materialize_input, unique_keys=unique_keys)
     flag = F.coalesce(F.col("_cap_rank") < F.col("_quota"), F.lit(False))
@@ -139,7 +179,9 @@ def _largest_remainder(sizes: DataFrame, label: str, n_col: str, draws: Column,
 
     Remainder ties go to the smaller label.  Runs on the per-class table only.
     """
-    share = (F.col(n_col) * draws).cast("double") / total.cast("double")
+    # the product of two counts does not fit a long beyond some 3e9 rows a class
+    wide = F.col(n_col).cast("decimal(18,0)") * draws.cast("decimal(18,0)")
+    share = wide.cast("double") / total.cast("double")
     d = sizes.withColumn("_share", F.when(total > 0, share).otherwise(F.lit(0.0)))
     d = d.withColumn("_floor", F.floor("_share").cast("bigint"))
     d = d.withColumn("_rem", F.col("_share") - F.col("_floor"))
@@ -176,11 +218,22 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_key",
     """Add ``split`` in {'train','val','test'} (NULL for rows not eligible).
 
     Within each class the lowest keys go to test, the next to val, the rest
-    to train; the per-class sizes come from :func:`split_quotas`.
+    to train; the per-class sizes come from :func:`split_quotas`.  With unique
+    keys each row is compared with its class's two cut-off keys, so rows (and
+    their text) are not shuffled; copies of a key need the full rank.
     """
     def quotas(sizes: DataFrame) -> DataFrame:
         return split_quotas(sizes, label).select(label, "n_test", "n_val")
 
+    if unique_keys:
+        d = materialize(df, "split-input") if materialize_input else df
+        cuts = cutoff_keys(d, label, lambda sizes: quotas(sizes).select(
+            label, "n_test", (F.col("n_test") + F.col("n_val")).alias("n_eval")), ["n_test", "n_eval"], key, eligible)
+        elig = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
+        part = (F.when(~elig | F.col("_cut_n_test").isNull(), F.lit(None))
+                .when(F.col(key) < F.col("_cut_n_test"), F.lit("test"))
+                .when(F.col(key) < F.col("_cut_n_eval"), F.lit("val")).otherwise(F.lit("train")))
+        return d.join(cuts, label, "left").withColumn(out, part).select(*d.columns, out)
     ranked = two_level_rank(df, [label], key, "_split_rank", eligible, per_stratum=quotas,
                             materialize_input=materialize_input, unique_keys=unique_keys)
     r = F.col("_split_rank")

@@ -22,11 +22,12 @@ from sardonyx.operators import metrics as MX
 from sardonyx.operators import scoring as S
 from sardonyx.operators.domains import domain_name, with_domain_index, with_lookup_domain
 from sardonyx.operators.ranking import batch_size_for, dense_ids, minibatches, preview
+from sardonyx.plans import evaluation as EV
 from sardonyx.plans import oracle as O
 from sardonyx.plans.corpus import (corpus, flag_forum, flag_headlines, flagged_corpus,
                                    stage_counts)
 from sardonyx.plans.epochs import logit_path_history
-from sardonyx.session import materialize, scratch_dir, scratch_scope, write_table
+from sardonyx.session import folder_mark, materialize, path_exists, scratch_dir, scratch_scope, write_table
 from sardonyx.sources import files as FS
 from sardonyx.sources import testbed as T
 
@@ -49,23 +50,19 @@ def register(name: str, sql: str | None = None):
 _PREPARED: dict[tuple, str] = {}
 
 
-def flagged(spark: SparkSession, sf_dir: str, max_samples: int = C.MAX_FORUM_SAMPLES) -> DataFrame:
+def flagged(spark: SparkSession, sf_dir: str, max_samples: int | None = None) -> DataFrame:
     """The flagged corpus of a scale folder, prepared once per session as a written table.
 
     Downstream jobs (splits, vocabulary, training, reports) read the table, as
     a production pipeline would read its prepared corpus.
     """
 
-    key = (spark.sparkContext.applicationId, sf_dir, max_samples)
-    path = _PREPARED.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - folder removed: prepare again
-            _PREPARED.pop(key, None)
+    key = (*_identity(spark, sf_dir), max_samples)
+    if key in _PREPARED and path_exists(spark, _PREPARED[key]):
+        return spark.read.parquet(_PREPARED[key])
     with scratch_scope(spark) as scope:   # rank inputs are dropped once the corpus is written
         h = flag_headlines(T.headline_rows(spark, sf_dir), T.BOUND_URL_RULES)
-        f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, max_samples)
+        f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, max_samples, unique_keys=True)
         # id-keyed sources; laid out by split so one-split readers prune directories
         path = scope.keep(write_table(flagged_corpus(h, f, unique_keys=True), "flagged-corpus",
                                       partition_by=["split"]))
@@ -73,6 +70,19 @@ def flagged(spark: SparkSession, sf_dir: str, max_samples: int = C.MAX_FORUM_SAM
     return spark.read.parquet(path)
 
 
+def _identity(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a memo of this folder depends on: the application, the path, and its files' sizes and times."""
+    return spark.sparkContext.applicationId, sf_dir, folder_mark(spark, sf_dir)
+
+
+def _reuse(memo: dict, spark: SparkSession, sf_dir: str, build) -> str:
+    """The written table of a folder, built again when the input changed or the table is gone."""
+    key = _identity(spark, sf_dir)
+    if key not in memo or not path_exists(spark, memo[key]):
+        memo[key] = build()
+    return memo[key]
+
+
 def forget_prepared() -> None:
     """Drop the per-session memos (prepared corpus, trained model); the bench rebuilds them."""
     _PREPARED.clear()
@@ -146,9 +156,10 @@ def stage_counts_q(spark, sf_dir):
 
 
 @register("domain_counts", O.with_corpus(
-    "SELECT origin, domain, count(*) AS n FROM corpus GROUP BY origin, domain"))
+    "SELECT origin, domain, count(*) AS n FROM corpus GROUP BY origin, domain ORDER BY origin, n DESC, domain"))
 def domain_counts_q(spark, sf_dir):
-    return labelled_corpus(spark, sf_dir).groupBy("origin", "domain").agg(F.count(F.lit(1)).alias("n"))
+    n = labelled_corpus(spark, sf_dir).groupBy("origin", "domain").agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy("origin", F.desc("n"), "domain")
 
 
 @register("label_balance", O.with_corpus(
@@ -164,7 +175,7 @@ def label_balance_q(spark, sf_dir):
 @register("balanced_sample", O.with_corpus(
     f"SELECT row_id, {O.label_int('label_raw')} AS label FROM f WHERE sampled", BALANCED_SAMPLE_MAX))
 def balanced_sample_q(spark, sf_dir):
-    f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, BALANCED_SAMPLE_MAX)
+    f = flag_forum(T.forum_rows(spark, sf_dir), T.BOUND_LOOKUP, BALANCED_SAMPLE_MAX, unique_keys=True)
     return f.filter("sampled").select("row_id", label_to_int("label_raw").alias("label"))
 
 
@@ -199,10 +210,15 @@ _DENSE_SQL = ("SELECT origin, row_id, split, row_number() OVER (PARTITION BY spl
               "AS row_no FROM corpus")
 
 
+def _numbered(spark, sf_dir) -> DataFrame:
+    """Dense ids over the key columns alone: the prepared corpus is a plain scan, no text is read."""
+    keys = labelled_corpus(spark, sf_dir).select("origin", "row_id", "split", "row_key")
+    return dense_ids(keys, ["split"], materialize_input=False)
+
+
 @register("dense_ids", O.with_corpus(_DENSE_SQL))
 def dense_ids_q(spark, sf_dir):
-    return dense_ids(labelled_corpus(spark, sf_dir), ["split"]).select(
-        "origin", "row_id", "split", "row_no")
+    return _numbered(spark, sf_dir).select("origin", "row_id", "split", "row_no")
 
 
 @register("minibatches", O.with_corpus(f"""
@@ -210,8 +226,7 @@ SELECT split, CAST(floor(row_no / CASE WHEN split = 'train' THEN {C.BATCH_SIZE}
        AS BIGINT) AS batch_id, count(*) AS batch_rows
 FROM ({_DENSE_SQL}) GROUP BY 1, 2"""))
 def minibatches_q(spark, sf_dir):
-    d = dense_ids(labelled_corpus(spark, sf_dir), ["split"])
-    d = minibatches(d, "row_no", batch_size_for("split"))
+    d = minibatches(_numbered(spark, sf_dir), "row_no", batch_size_for("split"))
     return d.groupBy("split", "batch_id").agg(F.count(F.lit(1)).alias("batch_rows"))
 
 
@@ -384,9 +399,9 @@ def domain_accuracy_q(spark, sf_dir):
 
 
 @register("domain_accuracy_mean", _DOMAIN_ACC_SQL + """
-SELECT round(avg(round(acc, 6)), 6) AS mean_accuracy, count(*) AS n_domains FROM da""")
+SELECT round(avg(acc), 6) AS mean_accuracy, count(*) AS n_domains FROM da""")
 def domain_accuracy_mean_q(spark, sf_dir):
-    return MX.domain_accuracy_mean(MX.domain_accuracy(T.scored_rows(spark, sf_dir)))
+    return MX.domain_accuracy_mean(MX.domain_accuracy(T.scored_rows(spark, sf_dir), rounded=False))
 
 
 @register("score_histogram", _SCORED_SQL + O.histogram_sql())
@@ -415,12 +430,12 @@ _ENCODED: dict[tuple, str] = {}
 def encoded(spark, sf_dir) -> DataFrame:
     """T2-T4 over the whole corpus with the train vocabulary, written once per session
     (the encoded examples are the input of the shape checks, as batches are in training)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ENCODED:
+    def build():
         c = labelled_corpus(spark, sf_dir)
         e = EN.encode(c, _vocab(c), keys=["origin", "row_id"], carry=["split", "label", "domain_idx"])
-        _ENCODED[key] = write_table(e, "encoded")
-    return spark.read.parquet(_ENCODED[key])
+        return write_table(e, "encoded")
+
+    return spark.read.parquet(_reuse(_ENCODED, spark, sf_dir, build))
 
 
 @register("encoded_sequences", O.with_corpus(O.encoded_ctes() + """
@@ -473,24 +488,23 @@ _PATH_HISTORY: dict[tuple, str] = {}
 def path_history(spark, sf_dir) -> DataFrame:
     """Unrounded history of the fixed-logit path (from the embeddings table), written
     once per session: the training log every history report reads."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PATH_HISTORY:
+    def build():
         with scratch_scope(spark) as scope:
-            _PATH_HISTORY[key] = scope.keep(write_table(logit_path_history(T.logit_rows(spark, sf_dir)),
-                                                        "path-history"))
-    return spark.read.parquet(_PATH_HISTORY[key])
+            return scope.keep(write_table(logit_path_history(T.logit_rows(spark, sf_dir)), "path-history"))
+
+    return spark.read.parquet(_reuse(_PATH_HISTORY, spark, sf_dir, build))
 
 
 def history_file(spark, sf_dir) -> DataFrame:
     """S4 then S5: the logged (rounded) history is written once per session as a JSON
     array and read back by the reports, as the evaluation step reads the training log."""
     from sardonyx.sources.files import read_history, write_history
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _HISTORY_FILES:
+    def build():
         path = scratch_dir(spark, "history-json")
         write_history(H.epoch_log(path_history(spark, sf_dir)), path)
-        _HISTORY_FILES[key] = path
-    return read_history(spark, _HISTORY_FILES[key])
+        return path
+
+    return read_history(spark, _reuse(_HISTORY_FILES, spark, sf_dir, build))
 
 
 @register("epoch_history", _HIST_SQL + f"""
@@ -544,7 +558,7 @@ def read_forum_csv_q(spark, sf_dir):
     rows = T.forum_rows(spark, sf_dir).select("row_id", "label", "comment",
                                                F.lit("anon").alias("author"), "subreddit")
     FS.write_forum_csv(rows, path)
-    f = flag_forum(FS.read_forum_csv(spark, path), T.BOUND_LOOKUP)
+    f = flag_forum(FS.read_forum_csv(spark, path), T.BOUND_LOOKUP, unique_keys=True)
     return f.filter("kept").select("row_id", "text", label_to_int("label_raw").alias("label"), "domain")
 
 
@@ -558,7 +572,7 @@ _TRAINED: dict[tuple, object] = {}
 def trained(spark: SparkSession, sf_dir: str):
     """The epoch loop on the labelled corpus, once per session and scale folder."""
     from sardonyx.plans.training import train_two_heads
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _identity(spark, sf_dir)
     if key not in _TRAINED:
         _TRAINED[key] = train_two_heads(labelled_corpus(spark, sf_dir))
     return _TRAINED[key]
@@ -569,12 +583,13 @@ _LOADED: dict[tuple, object] = {}
 
 def best_model(spark: SparkSession, sf_dir: str):
     """The best saved pair of heads, loaded once per session and scale folder."""
-    from sardonyx.plans.training import fit_heads, load_model
-    key = (spark.sparkContext.applicationId, sf_dir)
+    from sardonyx.plans.training import load_model
+    key = _identity(spark, sf_dir)
     if key not in _LOADED:
         r = trained(spark, sf_dir)
-        _LOADED[key] = (load_model(r.model_path) if r.model_path
-                        else fit_heads(labelled_corpus(spark, sf_dir)))
+        if r.model_path is None:
+            raise RuntimeError("no epoch improved on a validation F1 of 0, so no model was saved")
+        _LOADED[key] = load_model(r.model_path)
     return _LOADED[key]
 
 
@@ -589,36 +604,37 @@ def _test_scored(spark, sf_dir):
     return evaluate(best_model(spark, sf_dir), c.filter(F.col("split") == "test"))
 
 
-def _long(df: DataFrame, cols) -> DataFrame:
-    """A one-row metrics table as ``metric, value`` rows."""
-    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"),
-                                                 F.col(c).cast("double").alias("value")) for c in cols])))
-
-
 @register("evaluate_best")
 def evaluate_best_q(spark, sf_dir):
-    """The reloaded best model on the test split: accuracy, weighted F1, mean of batch losses."""
-    s = materialize_small(_test_scored(spark, sf_dir))
-    acc = _long(MX.accuracy_f1(s), ["accuracy", "f1_weighted", "n"])
-    keyed = s.withColumn("row_key", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in s.columns])))
-    d = minibatches(dense_ids(keyed, [], "row_key", "row_no", materialize_input=False),
-                    "row_no", 2 * C.BATCH_SIZE)
-    d = d.withColumn("total_loss", F.lit(C.SARCASM_LOSS_WEIGHT) * F.col("sarcasm_loss")
-                     + F.lit(C.DOMAIN_LOSS_WEIGHT) * F.col("domain_loss"))
-    loss = _long(L.batch_mean_loss(d), ["mean_total_loss", "mean_sarcasm_loss", "mean_domain_loss"])
-    return acc.unionByName(loss)
+    """The reloaded best model on the test split."""
+    return EV.final_test(materialize_small(_test_scored(spark, sf_dir)))
 
 
 @register("full_evaluation")
 def full_evaluation_q(spark, sf_dir):
-    s = _test_scored(spark, sf_dir)
-    s = materialize_small(s)
-    acc = MX.accuracy_f1(s).select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-    f1 = MX.accuracy_f1(s).select(F.lit("f1_weighted").alias("metric"), F.col("f1_weighted").alias("value"))
-    auc = MX.roc_auc(s).select(F.lit("auc").alias("metric"), F.col("auc").alias("value"))
-    dom = MX.domain_accuracy_mean(MX.domain_accuracy(s)).select(
-        F.lit("mean_domain_accuracy").alias("metric"), F.col("mean_accuracy").alias("value"))
-    return acc.unionByName(f1).unionByName(auc).unionByName(dom)
+    """Every evaluation table of the best model, with the curves of its training."""
+    return EV.full_evaluation(materialize_small(_test_scored(spark, sf_dir)), trained(spark, sf_dir).history)
+
+
+@register("evaluation_supports", O.with_corpus(f"""
+, t AS (SELECT label, domain_idx FROM corpus WHERE split = 'test'),
+n AS (SELECT count(*) AS n, count(CASE WHEN label = 0 THEN 1 END) AS n0,
+             count(CASE WHEN label = 1 THEN 1 END) AS n1 FROM t)
+SELECT 'report' AS section, unnest(['{C.CLASS_NAMES[0]}', '{C.CLASS_NAMES[1]}', 'accuracy', 'macro avg',
+       'weighted avg']) AS name, CAST(unnest([n0, n1, n, n, n]) AS BIGINT) AS support FROM n
+UNION ALL
+SELECT 'domain', dim.domain, (SELECT count(*) FROM t WHERE t.domain_idx = dim.domain_idx) FROM {O.DOMAIN_DIM_AS_DIM}
+UNION ALL SELECT 'roc_auc', 'positive', n1 FROM n UNION ALL SELECT 'roc_auc', 'negative', n - n1 FROM n"""))
+def evaluation_supports_q(spark, sf_dir):
+    """The counts in the full evaluation: they must be those of the test split."""
+    e = full_evaluation_q(spark, sf_dir)
+    count = F.col("value").cast("bigint").alias("support")
+    name = (F.when(F.col("metric") == "n_pos", "positive").when(F.col("metric") == "n_neg", "negative")
+            .otherwise(F.col("name")).alias("name"))
+    wanted = (((F.col("section") == "report") & (F.col("metric") == "support"))
+              | ((F.col("section") == "domain") & (F.col("metric") == "n"))
+              | ((F.col("section") == "roc_auc") & F.col("metric").isin("n_pos", "n_neg")))
+    return e.filter(wanted).select("section", name, count)
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
@@ -645,5 +661,43 @@ def score_single_q(spark, sf_dir):
 @register("score_stream")
 def score_stream_q(spark, sf_dir):
     from sardonyx.streaming.scoring import run_available
-    return run_available(spark, sf_dir, _CONV_SCHEMA, best_model(spark, sf_dir),
-                         keep=["conv_id", "turn", "text"], file_glob="conversations.parquet")
+    # a pattern that only the table's own path fits, whether it is one file or a folder of part files
+    return run_available(spark, f"{sf_dir}/conversations.parque[t]", _CONV_SCHEMA, best_model(spark, sf_dir),
+                         keep=["conv_id", "turn", "text"])
+
+
+def _record_checks(df: DataFrame) -> list:
+    """What must hold in every prediction record."""
+    scores = F.map_values("all_domain_scores")
+    return [F.size("all_domain_scores").alias("n_domains"),
+            F.col("sarcasm_score").between(0, 1).alias("score_in_range"),
+            # the flag compares the unrounded score; at the rounded threshold either may hold
+            ((F.col("sarcasm_score") == C.DECISION_THRESHOLD)
+             | (F.col("is_sarcastic") == (F.col("sarcasm_score") > C.DECISION_THRESHOLD))).alias("flag_agrees"),
+            ((F.col("domain_confidence") == F.array_max(scores))
+             & (F.element_at("all_domain_scores", F.col("domain")) == F.array_max(scores))).alias("domain_is_best")]
+
+
+@register("score_batch_checks", f"""
+SELECT conv_id, turn, {len(C.DOMAIN_LABELS)} AS n_domains, TRUE AS score_in_range, TRUE AS flag_agrees,
+       TRUE AS domain_is_best FROM conversations""")
+def score_batch_checks_q(spark, sf_dir):
+    """One row per scored text, with what must hold in its record."""
+    s = score_batch_q(spark, sf_dir)
+    return s.select("conv_id", "turn", *_record_checks(s))
+
+
+@register("score_stream_checks", f"""
+SELECT conv_id, turn, {O.strip('text')} AS text, TRUE AS equals_batch FROM conversations
+WHERE lower({O.strip('text')}) <> '{C.STOP_WORD}' AND length({O.strip('text')}) >= {C.MIN_PROMPT_CHARS}""")
+def score_stream_checks_q(spark, sf_dir):
+    """The rows that pass the guard, each compared with its batch record."""
+    from sardonyx.plans.training import score
+    stream = score_stream_q(spark, sf_dir)
+    batch = score(best_model(spark, sf_dir), S.prompt_guard(T.table(spark, sf_dir, "conversations"), "text"),
+                  keep=["conv_id", "turn", "text"])
+    fields = ["sarcasm_score", "is_sarcastic", "domain", "domain_confidence"]
+    b = batch.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("_x"),
+                     F.struct(*fields).alias("_b"))
+    j = stream.join(b, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")) & (F.col("text") == F.col("_x")), "left")
+    return j.select("conv_id", "turn", "text", F.coalesce(F.struct(*fields) == F.col("_b"), F.lit(False)).alias("equals_batch"))

@@ -51,9 +51,10 @@ def flag_headlines(rows: DataFrame, url_rules: Sequence[tuple[str, str]] = C.URL
 
 
 def flag_forum(rows: DataFrame, lookup: dict[str, str] = C.COMMUNITY_LOOKUP,
-               max_samples: int = C.MAX_FORUM_SAMPLES, origin: str = "forum",
-               seed: int = C.SEED) -> DataFrame:
-    """Forum rows (``row_id, label, comment, subreddit``): exact per-class cap before cleaning."""
+               max_samples: int | None = None, origin: str = "forum",
+               seed: int = C.SEED, unique_keys: bool = False) -> DataFrame:
+    """Forum rows (``row_id, label, comment, subreddit``), cleaned; with ``max_samples`` an
+    exact per-class cap comes first.  ``unique_keys``: every row has its own ``row_id``."""
     rid = F.col("row_id").cast("bigint") if "row_id" in rows.columns else F.lit(None).cast("bigint")
     d = rows.select(
         F.lit(origin).alias("origin"), rid.alias("row_id"),
@@ -64,7 +65,7 @@ def flag_forum(rows: DataFrame, lookup: dict[str, str] = C.COMMUNITY_LOOKUP,
     # The cap's size pass needs only ids and labels (column pruning), so the
     # join below it is cheaper to read twice than to write out.
     d = class_cap(d, "_label_num", max_samples, classes=(1.0, 0.0), materialize_input=False,
-                  unique_keys="row_id" in rows.columns)
+                  unique_keys=unique_keys)
     d = with_lookup_domain(d, "subreddit", "domain", lookup)
     text = strip_ws(F.col("comment"))
     return d.select(

@@ -68,21 +68,21 @@ def quota_ctes(sizes: str, prefix: str) -> str:
     return f"""
 {p}_q1 AS (SELECT label, n, sum(n) OVER () AS nn FROM {sizes}),
 {p}_q2 AS (SELECT *, nn - CAST(ceil({C.TEST_SPLIT!r}::DOUBLE * nn) AS BIGINT) AS r FROM {p}_q1),
-{p}_q3 AS (SELECT *, CASE WHEN nn > 0 THEN CAST(n * r AS DOUBLE) / CAST(nn AS DOUBLE) ELSE 0.0 END AS s1 FROM {p}_q2),
+{p}_q3 AS (SELECT *, CASE WHEN nn > 0 THEN CAST(CAST(n AS HUGEINT) * r AS DOUBLE) / CAST(nn AS DOUBLE) ELSE 0.0 END AS s1 FROM {p}_q2),
 {p}_q4 AS (SELECT *, CAST(floor(s1) AS BIGINT) AS f1, s1 - floor(s1) AS m1 FROM {p}_q3),
 {p}_q5 AS (SELECT *, f1 + CASE WHEN row_number() OVER (ORDER BY m1 DESC, label ASC)
                  <= r - sum(f1) OVER () THEN 1 ELSE 0 END AS rest FROM {p}_q4),
 {p}_q6 AS (SELECT *, r - CAST(ceil({C.VAL_OF_REST!r}::DOUBLE * r) AS BIGINT) AS r2 FROM {p}_q5),
-{p}_q7 AS (SELECT *, CASE WHEN r > 0 THEN CAST(rest * r2 AS DOUBLE) / CAST(r AS DOUBLE) ELSE 0.0 END AS s2 FROM {p}_q6),
+{p}_q7 AS (SELECT *, CASE WHEN r > 0 THEN CAST(CAST(rest AS HUGEINT) * r2 AS DOUBLE) / CAST(r AS DOUBLE) ELSE 0.0 END AS s2 FROM {p}_q6),
 {p}_q8 AS (SELECT *, CAST(floor(s2) AS BIGINT) AS f2, s2 - floor(s2) AS m2 FROM {p}_q7),
 {p}_q9 AS (SELECT *, f2 + CASE WHEN row_number() OVER (ORDER BY m2 DESC, label ASC)
                  <= r2 - sum(f2) OVER () THEN 1 ELSE 0 END AS n_train FROM {p}_q8),
 {p}_quota AS (SELECT label, n, n - rest AS n_test, rest - n_train AS n_val, n_train FROM {p}_q9)"""
 
 
-def corpus_ctes(max_samples: int = C.MAX_FORUM_SAMPLES) -> str:
+def corpus_ctes(max_samples: int | None = None) -> str:
     """CTEs ending in ``flagged`` (all raw rows + flags + split) and ``corpus`` (kept rows)."""
-    per_class = max_samples // 2
+    quota = "class_n" if max_samples is None else f"least(class_n, {max_samples // 2})"
     lookup = values_table(sorted(BOUND_LOOKUP.items()), ["lookup_key", "lookup_domain"])
     return f"""
 h_raw AS (
@@ -105,7 +105,7 @@ f_rank AS (SELECT *, row_number() OVER (PARTITION BY cap_elig, label_num ORDER B
 f AS (
   SELECT 'forum' AS origin, CAST(row_id AS BIGINT) AS row_id, row_key, {strip('comment')} AS text,
          label AS label_raw, coalesce(t.lookup_domain, '{C.FALLBACK_DOMAIN}') AS domain,
-         (cap_elig AND rk < least(class_n, {per_class})) AS sampled
+         (cap_elig AND rk < {quota}) AS sampled
   FROM f_rank LEFT JOIN {lookup} ON t.lookup_key = {strip('f_rank.subreddit')}),
 fk AS (SELECT *, sampled AND {clean_cond('text', 'label_raw', True)} AS kept FROM f),
 u AS (SELECT * FROM hk UNION ALL SELECT * FROM fk),
@@ -127,7 +127,7 @@ corpus AS (
 """
 
 
-def with_corpus(body: str, max_samples: int = C.MAX_FORUM_SAMPLES) -> str:
+def with_corpus(body: str, max_samples: int | None = None) -> str:
     return f"WITH {corpus_ctes(max_samples)} {body}"
 
 
@@ -193,18 +193,22 @@ def class_stats_sql(src: str = "scored") -> str:
 , cnt AS (SELECT count(CASE WHEN label = 0 AND pred = 0 THEN 1 END) AS tn,
                  count(CASE WHEN label = 0 AND pred = 1 THEN 1 END) AS fp,
                  count(CASE WHEN label = 1 AND pred = 0 THEN 1 END) AS fn,
-                 count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) AS tp FROM {src}),
-st AS (SELECT {div('tn', 'tn + fn')} AS p0, {div('tn', 'tn + fp')} AS r0, {div('2 * tn', '2 * tn + fp + fn')} AS f0,
-              tn + fp AS s0, {div('tp', 'tp + fp')} AS p1, {div('tp', 'tp + fn')} AS r1,
-              {div('2 * tp', '2 * tp + fp + fn')} AS f1, tp + fn AS s1,
-              {div('tn + tp', 'tn + fp + fn + tp')} AS acc, tn + fp + fn + tp AS total FROM cnt)
+                 count(CASE WHEN label = 1 AND pred = 1 THEN 1 END) AS tp,
+                 count(CASE WHEN label NOT IN (0, 1) AND pred = 0 THEN 1 END) AS o0,
+                 count(CASE WHEN label NOT IN (0, 1) AND pred = 1 THEN 1 END) AS o1 FROM {src}),
+st AS (SELECT {div('tn', 'tn + fn + o0')} AS p0, {div('tn', 'tn + fp')} AS r0,
+              {div('2 * tn', '2 * tn + fp + fn + o0')} AS f0,
+              tn + fp AS s0, {div('tp', 'tp + fp + o1')} AS p1, {div('tp', 'tp + fn')} AS r1,
+              {div('2 * tp', '2 * tp + fp + fn + o1')} AS f1, tp + fn AS s1,
+              {div('tn + tp', 'tn + fp + fn + tp + o0 + o1')} AS acc, tn + fp + fn + tp + o0 + o1 AS total FROM cnt)
 """
 
 
 def roc_groups_sql(src: str = "scored") -> str:
     return f"""
 , rg AS (SELECT CAST(score AS DOUBLE) AS score, count(CASE WHEN label = 1 THEN 1 END) AS pos,
-                count(CASE WHEN label <> 1 THEN 1 END) AS neg FROM {src} GROUP BY 1),
+                count(CASE WHEN label <> 1 THEN 1 END) AS neg FROM {src}
+       WHERE score IS NOT NULL AND NOT isnan(CAST(score AS DOUBLE)) AND label IS NOT NULL GROUP BY 1),
 grp AS (SELECT score, pos, neg,
                CAST(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS tps,
                CAST(sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS fps,

@@ -39,6 +39,8 @@ from sardonyx.session import materialize, scratch_dir, scratch_scope
 
 HASH_FEATURES = 1 << 16
 MLP_FEATURES = 1024
+#: Default width of the hashed vector: a hidden layer multiplies it, so that head's is narrower.
+FEATURES_OF = {"logistic": HASH_FEATURES, "mlp": MLP_FEATURES}
 
 
 @dataclass
@@ -87,8 +89,9 @@ def prepare_splits(corpus: DataFrame, num_features: int = HASH_FEATURES):
                   materialize_input=False)
     d = minibatches(d, "row_no", batch_size_for("split"))
     d = _with_class_count(_with_class_count(d, "label", 2), "domain_idx", len(C.DOMAIN_LABELS))
-    train = d.filter(F.col("split") == "train")
-    feat = feature_pipeline(num_features=num_features).fit(train)
+    # document frequencies need no order: the fit reads the plain train split, without the rank
+    feat = feature_pipeline(num_features=num_features).fit(
+        corpus.filter(F.col("split") == "train").select("text"))
     keep = ["split", "batch_id", "label", "domain_idx", "features"]
     both = feat.transform(d.filter(F.col("split").isin("train", "val"))).select(*keep)
     both = materialize(both, "features")
@@ -111,22 +114,26 @@ def _scored_epoch(both: DataFrame, s_model, d_model, epoch: int) -> DataFrame:
 
 
 def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int = C.NUM_EPOCHS,
-                    kind: str = "logistic", iters_per_epoch: int = 3) -> TrainResult:
-    """G1 + G4 + S6: the epoch loop with best-by-val-F1 saving; returns the history."""
+                    kind: str = "logistic", iters_per_epoch: int = 3,
+                    num_features: int | None = None) -> TrainResult:
+    """G1 + G4 + S6: the epoch loop with best-by-val-F1 saving; returns the history.
+
+    ``num_features`` is the width of the hashed vector; by default that of ``FEATURES_OF[kind]``.
+    """
     spark = corpus.sparkSession
     out_dir = out_dir or scratch_dir(spark, "model")
     with scratch_scope(spark):   # the feature table is dropped when the loop ends
-        return _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch)
+        return _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch,
+                           num_features or FEATURES_OF[kind])
 
 
-def _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch) -> TrainResult:
-    width = MLP_FEATURES if kind == "mlp" else HASH_FEATURES
+def _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch, width) -> TrainResult:
     feat, both = prepare_splits(corpus, width)
     # Persist the feature rows once: every fit and every evaluation reuses them, and
     # a persisted input stops each classifier from caching its own copy.  A lost
     # executor re-reads its share from the written feature table.
-    train = both.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
-    val = both.filter(F.col("split") == "val").persist(StorageLevel.MEMORY_AND_DISK)
+    train = both.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_ONLY)
+    val = both.filter(F.col("split") == "val").persist(StorageLevel.MEMORY_ONLY)
     try:
         return _run_epochs(spark, feat, train, val, out_dir, epochs, kind, iters_per_epoch, width)
     finally:
@@ -179,11 +186,12 @@ def fit_concurrently(estimators, df: DataFrame):
         return [f.result() for f in [pool.submit(e.fit, df) for e in estimators]]
 
 
-def fit_heads(corpus: DataFrame, kind: str = "logistic", iters: int = 10) -> PipelineModel:
+def fit_heads(corpus: DataFrame, kind: str = "logistic", iters: int = 10,
+              num_features: int | None = None) -> PipelineModel:
     """One fit of the feature pipeline and both heads on the train split."""
     train = corpus.filter(F.col("split") == "train")
     train = _with_class_count(_with_class_count(train, "label", 2), "domain_idx", len(C.DOMAIN_LABELS))
-    width = MLP_FEATURES if kind == "mlp" else HASH_FEATURES
+    width = num_features or FEATURES_OF[kind]
     pipe = Pipeline(stages=[*feature_pipeline(num_features=width).getStages(),
                             _head(kind, "label", "sarcasm", 2, iters, width),
                             _head(kind, "domain_idx", "domain", len(C.DOMAIN_LABELS), iters, width)])
@@ -202,8 +210,11 @@ def load_model(path: str) -> PipelineModel:
 
 
 def score(model: PipelineModel, df: DataFrame, keep=("text",)) -> DataFrame:
-    """I8: prediction records for every row of ``df`` (a ``text`` column), batch or stream."""
-    out = model.transform(df)
+    """I8: prediction records for every row of ``df`` (a ``text`` column), batch or stream.
+
+    A NULL text is scored, and shown, as the empty text.
+    """
+    out = model.transform(df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return predictions(out, vector_to_array("sarcasm_probability"), vector_to_array("domain_probability"),
                        keep=list(keep))
 
@@ -216,11 +227,14 @@ def predict(model: PipelineModel, spark: SparkSession, text: str) -> dict:
 
 
 def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Score rows with known ``label``/``domain_idx``: the scored table for the reports."""
-    out = model.transform(df)
+    """Score rows with known ``label``/``domain_idx``: the scored table for the reports.
+
+    ``row_key``, where given, is kept: batches follow the split's own order.
+    """
+    out = model.transform(df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     sp = vector_to_array("sarcasm_probability")
     return out.select(
-        "label", "domain_idx", F.element_at(sp, 2).alias("score"),
+        *[c for c in ("row_key",) if c in df.columns], "label", "domain_idx", F.element_at(sp, 2).alias("score"),
         argmax(sp).alias("pred"),
         cross_entropy(vector_to_array("sarcasm_raw"), F.col("label"), 2).alias("sarcasm_loss"),
         cross_entropy(vector_to_array("domain_raw"), F.col("domain_idx"), len(C.DOMAIN_LABELS))

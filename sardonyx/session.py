@@ -102,6 +102,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def folder_mark(spark: SparkSession, path: str) -> int:
+    """A number that changes when a file directly in ``path`` (or in a folder in it) changes."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return hash(tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime())
+                             for s in fs.listStatus(fs_path(path)))))
+
+
 def materialize(df, name: str):
     """Write ``df`` as a parquet table under the checkpoint folder and read it back.
 

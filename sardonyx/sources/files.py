@@ -1,7 +1,8 @@
 """File sources and sinks: headline JSON lines, forum CSV, epoch-history JSON array.
 
-Schemas are explicit (never inferred) so batch and streaming reads agree and
-a missing optional field simply reads as NULL.
+JSON schemas are explicit (never inferred) so batch and streaming reads agree
+and a missing optional field simply reads as NULL.  CSV columns are text, named
+by the header, which all files of a read must share.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ def read_forum_csv(spark: SparkSession, path: str, columns=FORUM_COLUMNS,
 
     Fields are read as text; quoted fields may hold doubled quotes and line
     breaks; short lines are padded with NULL and extra fields ignored
-    (PERMISSIVE); the usual CSV null words become NULL.  Multi-line parsing
-    makes one file one task, so the rows are spread again after the scan.
+    (PERMISSIVE); the usual CSV null words become NULL.  Every file's header is
+    checked against the first one read: files whose columns differ in name or
+    order end the read with an error (``enforceSchema`` off) instead of mixing
+    columns.  Multi-line parsing makes one file one task; ``partitions`` spreads
+    the rows again after the scan.
     """
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path))
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+              .option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
+    first = reader.csv(path).schema
+    raw = reader.schema(first).option("enforceSchema", False).csv(path)
     keep = (["row_id"] if "row_id" in raw.columns else []) + list(columns)
     out = raw.select(*[F.when(F.col(c).isin(list(null_words)), F.lit(None)).otherwise(F.col(c)).alias(c)
                        if c != "row_id" else F.col(c).cast("bigint").alias(c) for c in keep])

@@ -94,12 +94,9 @@ def test_whitespace_set():
     assert len(C.WHITESPACE) == 29 and NBSP in C.WHITESPACE and "　" in C.WHITESPACE
 
 
-def test_clean_rows_and_canonical(spark):
-    from sardonyx.operators.clean import canonical, clean_rows
-    raw = spark.createDataFrame([("  a long enough text ", "1", "x"), ("short", "0", "y"),
-                                 ("[deleted]", "1", "z"), ("another fine text", "1.9", "w")],
-                                "body string, lab string, src string")
-    c = canonical(raw, "body", "lab", F.upper("src"))
-    assert c.columns == ["text", "label", "domain"]
-    rows = sorted(tuple(r) for r in clean_rows(c, placeholders=C.PLACEHOLDER_TEXTS).collect())
-    assert rows == [("a long enough text", 1, "X"), ("another fine text", 1, "W")]
+def test_no_cap_unless_asked(spark):
+    rows = spark.range(200_000).selectExpr("id AS row_id", "cast(id % 2 AS string) AS label",
+                                           "concat('a comment with number ', id) AS comment", "'x' AS subreddit")
+    assert flag_forum(rows).filter("sampled AND kept").count() == 200_000
+    capped = flag_forum(rows, max_samples=1000, unique_keys=True).filter("sampled")
+    assert sorted(r["count"] for r in capped.groupBy("label_raw").count().collect()) == [500, 500]

@@ -39,11 +39,6 @@ def test_best_epoch_none_when_all_zero(spark):
     assert H.best_epoch_rounded(_hist(spark, [0.0, 0.0])).first()["best_epoch"] == 1
 
 
-def test_improvement_flags(spark):
-    flags = [r["improved"] for r in H.improvement_flags(_hist(spark, [0.5, 0.6, 0.6, 0.7])).orderBy("epoch").collect()]
-    assert flags == [True, True, False, True]
-
-
 def test_published_history_read_and_best(spark, tmp_path):
     src = tmp_path / "training_history.json"
     src.write_text(json.dumps(PUBLISHED_HISTORY, indent=2))

@@ -146,3 +146,17 @@ def test_score_bucket_monotone(spark):
     df = spark.createDataFrame([(v,) for v in vals], "s double")
     got = [r[0] for r in df.select(MX.score_bucket(F.col("s"), 1024)).collect()]
     assert got == sorted(got)
+
+
+def test_odd_labels_and_scores(spark):
+    rows = [(0, 0, 0.1), (0, 1, 0.6), (1, 1, 0.9), (1, 0, 0.2), (1, 1, 0.8), (2, 0, 0.3),
+            (None, 1, 0.7), (1, None, 0.7)]
+    d = spark.createDataFrame(rows, "label int, pred int, score double")
+    got = MX.accuracy_f1(d).first()
+    assert got["n"] == 6 and got["accuracy"] == 0.5
+    f0, f1 = 2 / (2 + 1 + 1 + 1), 4 / (4 + 1 + 1)
+    assert abs(got["f1_weighted"] - round((2 * f0 + 3 * f1) / 6, 6)) < 1e-9
+    clean = MX.roc_auc(d.filter("label IS NOT NULL")).first()
+    odd = d.unionByName(spark.createDataFrame([(1, 1, None), (0, 0, float("nan"))], d.schema))
+    assert MX.roc_auc(odd).first() == clean
+    assert MX.roc_points(odd).filter("threshold IS NULL OR isnan(threshold)").count() == 0

@@ -4,28 +4,52 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from sardonyx.plans.catalog import QUERIES
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = r"CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas"
-SKIP = {"train_two_heads", "evaluate_best", "full_evaluation", "score_stream"}   # Spark ML loops / streams
+SKIP = {"train_two_heads", "evaluate_best", "full_evaluation", "score_stream",
+        "evaluation_supports", "score_batch_checks", "score_stream_checks"}   # Spark ML loops / streams
 
 
-@pytest.mark.parametrize("name", [k for k in E.queries() if k not in SKIP])
+@pytest.mark.parametrize("name", [k for k in QUERIES if k not in SKIP])
 def test_no_cross_joins_or_python(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(FORBIDDEN, plan), name
 
 
-def test_split_rank_window_is_bucketed(spark):
+def _keyed(spark):
     from pyspark.sql import functions as F
     from sardonyx.functions.text import row_key
-    from sardonyx.operators.ranking import stratified_split
-    base = spark.range(1000).withColumn("label", (F.col("id") % 2).cast("int")) \
-        .withColumn("row_key", row_key(F.lit("t"), F.col("id")))
-    plan = stratified_split(base, materialize_input=False)._jdf.queryExecution().executedPlan().toString()
+    return spark.range(1000).withColumn("label", (F.col("id") % 2).cast("int")) \
+        .withColumn("text", F.repeat(F.lit("long text "), 50)).withColumn("row_key", row_key(F.lit("t"), F.col("id")))
+
+
+def test_copies_rank_window_is_bucketed(spark):
+    from sardonyx.operators.ranking import two_level_rank
+    plan = two_level_rank(_keyed(spark), ["label"], materialize_input=False)._jdf.queryExecution().executedPlan().toString()
     windows = re.findall(r"Window \[.*", plan)
     # the row-level rank window is partitioned by (eligible, label, bucket), never by label alone
     assert any("_bucket" in w and "row_number" in w for w in windows)
-    assert not any("row_number" in w and "_bucket" not in w and "_rem" not in w for w in windows)
+
+
+@pytest.mark.parametrize("job", ["split", "cap"])
+def test_no_exchange_carries_text(spark, job):
+    """Split and cap compare rows with cut-off keys: what is shuffled are keys and counts."""
+    from sardonyx.operators.ranking import class_cap, stratified_split
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = (stratified_split(_keyed(spark), materialize_input=False) if job == "split"
+             else class_cap(_keyed(spark), "label", 100, materialize_input=False))
+        plan = d._jdf.queryExecution().executedPlan()
+        nodes, text = [plan], []
+        while nodes:
+            n = nodes.pop()
+            if n.nodeName().startswith("Exchange") and "text" in n.output().toString():
+                text.append(n.nodeName())
+            nodes += [n.children().apply(i) for i in range(n.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert not text
+    assert d.count() == 1000

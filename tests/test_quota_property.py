@@ -34,3 +34,11 @@ def test_quotas_match_rule(spark, counts):
     assert got == _expected(counts)
     n = sum(counts.values())
     assert sum(v[0] for v in got.values()) == math.ceil(C.TEST_SPLIT * n)
+
+
+def test_quotas_of_huge_classes(spark):
+    sizes = spark.createDataFrame([(0, 50_000_000_000), (1, 30_000_000_001)], "label int, n bigint")
+    got = {r["label"]: r for r in split_quotas(sizes).collect()}
+    assert sum(r["n_test"] for r in got.values()) == math.ceil(0.05 * 80_000_000_001)
+    for r in got.values():
+        assert r["n_test"] + r["n_val"] + r["n_train"] == r["n"] and abs(r["n_test"] / r["n"] - 0.05) < 1e-6

@@ -20,6 +20,10 @@ CSV_TEXT = (
 )
 
 
+SENTENCES = ["Well, that went brilliantly.", "Rain is expected in the north tomorrow.", "What a surprise, the bus is late.",
+             "The library opens at nine.", "Lovely, the printer is broken again.", "She won the regional chess final."]
+
+
 def test_forum_csv_edge_lines(spark, tmp_path):
     p = tmp_path / "forum.csv"
     p.write_text(CSV_TEXT, encoding="utf-8")
@@ -85,7 +89,7 @@ def test_stream_equals_batch(spark, tmp_path):
     corpus = spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string")
     model = fit_heads(corpus, iters=5)
     src = tmp_path / "in"
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(C.DEMO_SENTENCES + ["ab", "  ab  ", "abc"])],
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(SENTENCES + ["ab", "  ab  ", "abc"])],
                                   "id bigint, text string")
     texts.write.parquet(str(src))
     streamed = run_available(spark, str(src), "id bigint, text string", model, keep=["id", "text"],
@@ -94,7 +98,7 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = score(model, prompt_guard(texts), keep=["id", "text"])
     norm = lambda df: sorted((r["id"], r["sarcasm_score"], r["domain"]) for r in df.collect())
     assert norm(streamed) == norm(batch)
-    assert len(norm(streamed)) == len(C.DEMO_SENTENCES) + 1
+    assert len(norm(streamed)) == len(SENTENCES) + 1
 
 
 def test_model_save_load_same_scores(spark, tmp_path):
@@ -141,7 +145,7 @@ def test_predict_single_text(spark):
     rows = [(i, f"sample {i % 4} words here", i % 2, i % 7, "train") for i in range(30)]
     m = fit_heads(spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string"),
                   iters=2)
-    rec = predict(m, spark, C.DEMO_SENTENCES[0])
+    rec = predict(m, spark, SENTENCES[0])
     assert set(rec) == {"sarcasm_score", "is_sarcastic", "domain", "domain_confidence", "all_domain_scores"}
     assert len(rec["all_domain_scores"]) == len(C.DOMAIN_LABELS)
     assert 0.0 <= rec["sarcasm_score"] <= 1.0 and rec["domain"] in C.DOMAIN_LABELS
@@ -173,3 +177,38 @@ def test_planted_signal_beats_majority_and_reruns_agree(spark):
     a = sorted(tuple(r) for r in evaluate(m1, val).collect())
     b = sorted(tuple(r) for r in evaluate(m2, val).collect())
     assert a == b
+
+
+def test_null_text_is_scored_as_empty(spark):
+    from sardonyx.plans.training import evaluate, fit_heads, score
+    rows = [(i, f"sample {i % 4} words here", i % 2, i % 7, "train") for i in range(30)]
+    m = fit_heads(spark.createDataFrame(rows, "id bigint, text string, label int, domain_idx int, split string"), iters=2)
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "words here")], "id bigint, text string")
+    got = {r["id"]: (r["sarcasm_score"], r["domain"], r["text"]) for r in score(m, texts, ["id", "text"]).collect()}
+    assert len(got) == 3 and got[1] == got[2] and got[1][2] == ""
+    known = spark.createDataFrame([("k", None, 1, 0)], "row_key string, text string, label int, domain_idx int")
+    assert evaluate(m, known).first()["row_key"] == "k"
+
+
+def test_csv_files_with_different_headers_fail(spark, tmp_path):
+    from sardonyx.sources.files import read_forum_csv
+    (tmp_path / "a.csv").write_text("label,comment,author,subreddit\n1,hello world,z,x\n")
+    (tmp_path / "b.csv").write_text("comment,label,subreddit,author\nhello world b,0,y,z\n")
+    with pytest.raises(Exception, match="CSV header"):
+        read_forum_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("label,comment,author,subreddit\n0,hello world b,z,y\n")
+    assert sorted(r["label"] for r in read_forum_csv(spark, str(tmp_path)).collect()) == ["0", "1"]
+
+
+def test_stream_over_a_table_that_is_a_folder(spark, tmp_path):
+    import shutil
+
+    from sardonyx.plans.catalog import QUERIES
+    from tests.conftest import SF_SMALL
+    for t in ("documents", "labels", "pages"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    conv.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["score_stream_checks"](spark, str(tmp_path))
+    want = QUERIES["score_stream_checks"](spark, SF_SMALL)
+    assert got.count() == want.count() and got.filter("equals_batch").count() == got.count()

@@ -40,10 +40,8 @@ def exact_groups(rows: DataFrame, text: str = "text", support: float = SUPPORT)
     counted = digests.freqItems(["_digest"], support)
     candidates = counted.select(F.explode("_digest_freqItems").alias("_digest")).distinct()
     exact = _groups(digests.join(F.broadcast(candidates), "_digest"))
-    total = digests.agg(F.count(F.lit(1)).alias("_n"))
     # at most 1/support digests can pass this test, whatever the table
-    winners = stored(exact.join(F.broadcast(total), F.col("group_size") > F.col("_n") * support)
-                     .drop("_n"), "heavy-digests")
+    winners = stored(exact.where(F.col("group_size") > digests.count() * support), "heavy-digests")
     heavy = digests.join(F.broadcast(winners), "_digest")
     rest = digests.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
     light = rest.join(_groups(rest), "_digest")

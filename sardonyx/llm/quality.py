@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, held_out=None)
     if total > most:  # a share by hash, then the bound itself
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30))
         known = known.where(share).limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text").limit(2 * most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
 
     def run(batches):
         for b in batches:
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, held_out=None)
                  pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))],
                 ["y", "x"])
 
-    got = arrow_map(rows, run, "y double, x array<double>").toArrow()
+    # ids that repeat in docs must not undo the bound; what is cut are feature rows, after the map
+    got = arrow_map(rows, run, "y double, x array<double>").limit(2 * most).toArrow()
     y = (got["y"].to_numpy() > 0).astype(float)
     x = got["x"].combine_chunks()
     x = x.values.to_numpy(zero_copy_only=False).reshape(len(y), len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))

@@ -19,15 +19,22 @@ from sardonyx import config as C
 from sardonyx.functions.text import tokens
 
 
+#: Leading characters that split a tie of equally frequent tokens.
+PREFIX = 3
+
+
 def build_vocabulary(df: DataFrame, text: str = "text", size: int = C.VOCAB_SIZE) -> DataFrame:
     """``token, n, token_id``; most frequent first (ties by token), ids from 4 up.
 
     A plain ``orderBy().limit(V)`` would send every partition's local top V
     to one merge task.  Instead, a histogram of the counts (one row per
     distinct count value, small) finds the count values that can still reach
-    the top V: those with fewer than V tokens counted strictly above them.
-    At most V such values exist, so that table is broadcast with a proven
-    bound, and only tokens with those counts reach the final top-V step.
+    the top V: those with fewer than V tokens counted strictly above them (at
+    most V values, so that table may be broadcast).  All but the lowest of
+    them fit as a whole.  The lowest may be a large tie (all words seen once):
+    of it only the first tokens in order are wanted, and a count per leading
+    ``PREFIX`` characters tells which prefixes they can have.  So what reaches
+    the final sort are V tokens and the rest of one prefix.
     """
     n_words = size - C.FIRST_TOKEN_ID
     counts = (df.select(F.explode(tokens(text)).alias("token"))
@@ -35,8 +42,17 @@ def build_vocabulary(df: DataFrame, text: str = "text", size: int = C.VOCAB_SIZE
     hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
     above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     reachable = (hist.withColumn("_above", F.coalesce(F.sum("_k").over(above), F.lit(0)))
-                 .filter(F.col("_above") < n_words).select("n"))   # at most n_words rows
-    survivors = counts.join(F.broadcast(reachable), "n")
+                 .filter(F.col("_above") < n_words))   # at most n_words rows
+    reached = counts.join(F.broadcast(reachable), "n").withColumn("_prefix", F.substring("token", 1, PREFIX))
+    # tokens before each (count, prefix) in the final order; a prefix that starts beyond V is not wanted
+    ahead = Window.partitionBy("n").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (reached.filter("_above + _k > " + str(n_words)).groupBy("n", "_above", "_prefix")
+              .agg(F.count(F.lit(1)).alias("_p"))
+              .withColumn("_before", F.col("_above") + F.coalesce(F.sum("_p").over(ahead), F.lit(0)))
+              .filter(F.col("_before") < n_words).select("n", "_prefix"))
+    survivors = (reached.filter("_above + _k <= " + str(n_words)).select("token", "n")
+                 .unionByName(reached.join(wanted, ["n", "_prefix"], "left_semi")
+                              .filter("_above + _k > " + str(n_words)).select("token", "n")))
     top = survivors.orderBy(F.desc("n"), F.asc("token")).limit(n_words)   # bounded by ``size``
     order = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.select("token", "n", (F.row_number().over(order) + C.FIRST_TOKEN_ID - 1)
@@ -58,11 +74,12 @@ def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "te
     t = t.select(*keep, "_rid", F.size("_toks").alias("n_tokens"),
                  F.slice("_toks", 1, max_len - 2).alias("_kept"))
     d = t.select(*keep, "_rid", "n_tokens", F.posexplode_outer("_kept").alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "token_id"))
-    j = d.join(v, "token", "left")
+    # any vocabulary may be given, so the planner decides by its size (ours, of VOCAB_SIZE rows, is broadcast)
+    j = d.join(vocab.select("token", "token_id"), "token", "left")
     pair = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", F.coalesce("token_id", F.lit(C.UNK_ID)).alias("id")))
-    g = j.groupBy("_rid", *keep, "n_tokens").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    g = j.groupBy("_rid").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"),
+                              *[F.first(c).alias(c) for c in [*keep, "n_tokens"]])
     ids = F.col("_pairs.id")   # field of every struct, in position order
     n = F.size("_pairs")
     pad = F.lit(max_len - 2) - n

@@ -30,17 +30,24 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
+COUNTS = ("tn", "fp", "fn", "tp", "o0", "o1")
+
+
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """One row ``tn, fp, fn, tp`` (class 1 is positive) and ``o0, o1``: other labels, by prediction."""
+    return df.agg(*confusion_aggregates(label, pred))
+
+
+def confusion_aggregates(label: str = "label", pred: str = "pred") -> list[Column]:
     y, p = F.col(label), F.col(pred)
-    return df.agg(
+    return [
         F.count(F.when((y == 0) & (p == 0), 1)).alias("tn"),
         F.count(F.when((y == 0) & (p == 1), 1)).alias("fp"),
         F.count(F.when((y == 1) & (p == 0), 1)).alias("fn"),
         F.count(F.when((y == 1) & (p == 1), 1)).alias("tp"),
         F.count(F.when(~y.isin(0, 1) & (p == 0), 1)).alias("o0"),
         F.count(F.when(~y.isin(0, 1) & (p == 1), 1)).alias("o1"),
-    )
+    ]
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -69,16 +76,18 @@ def pct_of(c: DataFrame) -> DataFrame:
     return c.withColumn("pct", F.round(pct, 6))
 
 
-def _class_stats(counts: DataFrame) -> DataFrame:
-    tn, fp, fn, tp, o0, o1 = (F.col(c) for c in ("tn", "fp", "fn", "tp", "o0", "o1"))
+def class_stats(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support of both classes, ``acc``, ``wf1`` (support-weighted) and ``total``."""
+    tn, fp, fn, tp, o0, o1 = (F.col(c) for c in COUNTS)
     total = tn + fp + fn + tp + o0 + o1
-    return counts.select(
-        "tn", "fp", "fn", "tp",
+    stats = counts.select(
+        *keep, "tn", "fp", "fn", "tp",
         _div(tn, tn + fn + o0).alias("p0"), _div(tn, tn + fp).alias("r0"),
         _div(2 * tn, 2 * tn + fp + fn + o0).alias("f0"), (tn + fp).alias("s0"),
         _div(tp, tp + fp + o1).alias("p1"), _div(tp, tp + fn).alias("r1"),
         _div(2 * tp, 2 * tp + fp + fn + o1).alias("f1"), (tp + fn).alias("s1"),
         _div(tn + tp, total).alias("acc"), total.alias("total"))
+    return stats.withColumn("wf1", _div(F.col("f0") * F.col("s0") + F.col("f1") * F.col("s1"), F.col("total")))
 
 
 def accuracy_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -87,9 +96,8 @@ def accuracy_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> Data
 
 
 def accuracy_of(counts: DataFrame) -> DataFrame:
-    s = _class_stats(counts)
-    wf1 = _div(F.col("f0") * F.col("s0") + F.col("f1") * F.col("s1"), F.col("total"))
-    return s.select(F.round("acc", 6).alias("accuracy"), F.round(wf1, 6).alias("f1_weighted"),
+    s = class_stats(counts)
+    return s.select(F.round("acc", 6).alias("accuracy"), F.round("wf1", 6).alias("f1_weighted"),
                     F.col("total").alias("n"))
 
 
@@ -100,7 +108,7 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 
 
 def report_of(counts: DataFrame, names: Sequence[str] = C.CLASS_NAMES) -> DataFrame:
-    s = _class_stats(counts)
+    s = class_stats(counts)
     tot = F.col("total")
 
     def wavg(a, b):

@@ -18,30 +18,19 @@ from pyspark.sql import functions as F
 from sardonyx import config as C
 from sardonyx.functions.numeric import argmax
 from sardonyx.operators.losses import head_losses
+from sardonyx.operators.metrics import COUNTS, class_stats, confusion_aggregates
 from sardonyx.operators.ranking import batch_size_for, dense_ids, minibatches, stratified_split
 
 
-def _div(a, b):
-    return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
-
-
 def epoch_table(rows: DataFrame, label: str = "sarc_label") -> DataFrame:
     """History columns per epoch (unrounded; ``epoch_time_sec`` NULL unless joined in later)."""
-    y, p = F.col(label), F.col("pred")
     per_batch = rows.groupBy("epoch", "split", "batch_id").agg(
         F.avg("total_loss").alias("_t"), F.avg("sarcasm_loss").alias("_s"),
-        F.count(F.when((y == 0) & (p == 0), 1)).alias("tn"),
-        F.count(F.when((y == 0) & (p == 1), 1)).alias("fp"),
-        F.count(F.when((y == 1) & (p == 0), 1)).alias("fn"),
-        F.count(F.when((y == 1) & (p == 1), 1)).alias("tp"))
+        *confusion_aggregates(label, "pred"))
     per = per_batch.groupBy("epoch", "split").agg(
         F.avg("_t").alias("loss"), F.avg("_s").alias("sarc_loss"),
-        *[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    total = tn + fp + fn + tp
-    f0, f1 = _div(2 * tn, 2 * tn + fp + fn), _div(2 * tp, 2 * tp + fp + fn)
-    per = per.select("epoch", "split", "loss", "sarc_loss", _div(tn + tp, total).alias("acc"),
-                     _div(f0 * (tn + fp) + f1 * (tp + fn), total).alias("f1"))
+        *[F.sum(c).alias(c) for c in COUNTS])
+    per = class_stats(per, ["epoch", "split", "loss", "sarc_loss"]).withColumn("f1", F.col("wf1"))
     wide = per.groupBy("epoch").pivot("split", ["train", "val"]).agg(
         F.first("loss").alias("loss"), F.first("sarc_loss").alias("sarc_loss"),
         F.first("acc").alias("acc"), F.first("f1").alias("f1"))

@@ -212,3 +212,14 @@ def test_stream_over_a_table_that_is_a_folder(spark, tmp_path):
     got = QUERIES["score_stream_checks"](spark, str(tmp_path))
     want = QUERIES["score_stream_checks"](spark, SF_SMALL)
     assert got.count() == want.count() and got.filter("equals_batch").count() == got.count()
+
+
+def test_vocabulary_cut_inside_a_tie(spark):
+    from collections import Counter
+    texts = [f"common w{i % 50} tie{i:03d} tx{i:03d}" for i in range(200)]
+    counts = Counter(w for t in texts for w in t.split())
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    for size in (3, 40, 51, 52, 120, 250, 300, 451, 1000):
+        got = build_vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"),
+                               size=size + C.FIRST_TOKEN_ID).orderBy("token_id").collect()
+        assert [(r["token"], r["n"]) for r in got] == want[:size]

@@ -60,7 +60,7 @@ class LogBilinear:
             p[k] *= 0.1
         # biases start at the unigram: without training the model is the unigram model
         p["top_bias"], p["out_bias"] = self.top_noise.copy(), np.maximum(self.out_noise, -30.0)
-        self.params = p
+        self.params, self.mixed = p, None
 
     def _levels(self, y: np.ndarray):
         """Class of each output id, and the rows of each class in turn."""
@@ -70,28 +70,33 @@ class LogBilinear:
         return cls, [(c, order[a:b]) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
 
     def contexts(self, x: np.ndarray) -> np.ndarray:
-        return sum(self.params["embed"][x[:, j]] @ self.params["mix"][j] for j in range(CONTEXT))
+        """Context vectors, from the words' vectors at each place (mixed once for all of the vocabulary)."""
+        if self.mixed is None or self.mixed[0] is not self.params:
+            self.mixed = self.params, [self.params["embed"] @ self.params["mix"][j] for j in range(CONTEXT)]
+        return sum(m.take(x[:, j], axis=0) for j, m in enumerate(self.mixed[1]))
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities; ``x`` (n, CONTEXT) context ids, ``y`` output ids (n_out or more: other)."""
         p, q = self.params, self.contexts(x)
         cls, groups = self._levels(y)
-        out = _log_softmax_at(q @ p["top"].T + p["top_bias"], cls)
+        out = _log_softmax_at(q @ p["top"].T, p["top_bias"], cls)
         for c, rows in groups:
-            s = q[rows] @ p["out"][c].T + p["out_bias"][c]
+            s, bias = q[rows] @ p["out"][c].T, p["out_bias"][c]
             if (c + 1) * CLASS_WORDS > self.n_out:
-                s = s[:, :self.n_out - c * CLASS_WORDS]
-            out[rows] += _log_softmax_at(s, y[rows] - c * CLASS_WORDS)
+                s, bias = s[:, :self.n_out - c * CLASS_WORDS], bias[:self.n_out - c * CLASS_WORDS]
+            out[rows] += _log_softmax_at(s, bias, y[rows] - c * CLASS_WORDS)
         return out
 
     def trainer(self, seed: int) -> Trainer:
         return Trainer(self, seed)
 
 
-def _log_softmax_at(s: np.ndarray, y: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    z = np.log(np.exp(s - top[:, None]).sum(axis=1))
-    return (s[np.arange(len(y)), y] - top - z).astype(np.float64)
+def _log_softmax_at(s: np.ndarray, bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+    s += bias
+    if s.size and s.max() > 80:  # else nothing overflows and one pass less is needed
+        s -= s.max(axis=1, keepdims=True)
+    at = s[np.arange(len(y)), y]
+    return (at - np.log(np.exp(s, out=s).sum(axis=1))).astype(np.float64)
 
 
 class Trainer:
@@ -114,12 +119,15 @@ class Trainer:
         """Gradients ``dq, dr, db`` of one level for rows ``q`` with targets ``y``."""
         share, shift = noise
         weight = (self.rng.multinomial(DRAWS, share) * (NOISE / DRAWS)).astype(np.float32)
-        odds = q @ r.T
-        odds += b - shift
-        near = 1 / (1 + np.exp(-np.clip(odds, -30, 30, out=odds)))
-        g = near * weight
+        near = q @ r.T  # in place from here: scores, minus log odds, probability of data
+        np.subtract(shift - b, near, out=near)
+        np.exp(np.clip(near, -30, 30, out=near), out=near)
+        near += 1
+        np.reciprocal(near, out=near)
         rows = np.arange(len(y))
-        g[rows, y] -= 1 - near[rows, y]
+        at_target = near[rows, y]
+        g = np.multiply(near, weight, out=near)
+        g[rows, y] += at_target - 1
         return g @ r, g.T @ q, g.sum(axis=0)
 
     def _step(self, key, grad, at=...):
@@ -129,7 +137,7 @@ class Trainer:
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         m, p, n = self.model, self.params, np.float32(len(y))
-        e = [p["embed"][x[:, j]] for j in range(CONTEXT)]
+        e = [p["embed"].take(x[:, j], axis=0) for j in range(CONTEXT)]
         q = sum(e[j] @ p["mix"][j] for j in range(CONTEXT))
         cls, groups = m._levels(y)
         dq, dr, db = self._nce(q, p["top"], p["top_bias"], self.top_noise, cls)

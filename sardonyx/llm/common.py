@@ -26,13 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set the checkpoint folder up and give executors this package, once per application."""
-    ensure_checkpoint_dir(spark)
+    """Give the executors this package, once per application."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    import tempfile
-
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
@@ -41,11 +38,12 @@ def prepare(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    # the driver's own file; Spark serves it to the executors
-    path = os.path.join(tempfile.mkdtemp(prefix="sardonyx-code-"), "sardonyx_code.zip")
-    with open(path, "wb") as f:
-        f.write(buf.getvalue())
-    sc.addPyFile(path)
+    # into the shared folder, from which every executor can fetch it
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/sardonyx_code.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
     _SHIPPED.add(sc.applicationId)
 
 

@@ -8,6 +8,7 @@ session runs in local mode and nothing was configured.
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -51,7 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_SCOPES: list[list[str]] = []
+_OPEN = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The open scratch scopes of this thread, outermost first."""
+    return _OPEN.__dict__.setdefault("scopes", [])
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -60,8 +66,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     return path
 
 
@@ -71,6 +77,7 @@ class scratch_scope:
     Use around a job whose result is itself a written table (or a driver-side
     value): once that result exists, the inputs written on the way (rank
     inputs, feature tables) are garbage -- at scale, whole copies of the data.
+    What a scope keeps belongs to the scope around it, if there is one.
     """
 
     def __init__(self, spark: SparkSession):
@@ -82,14 +89,16 @@ class scratch_scope:
         return path
 
     def __enter__(self):
-        _SCOPES.append([])
+        _scopes().append([])
         return self
 
     def __exit__(self, *exc):
-        created = _SCOPES.pop()
+        created = _scopes().pop()
         for path in created:
-            if path not in self.kept:   # kept tables belong to whoever kept them
+            if path not in self.kept:
                 delete_path(self.spark, path)
+            elif _scopes():
+                _scopes()[-1].append(path)
         return False
 
 

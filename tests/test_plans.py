@@ -53,3 +53,36 @@ def test_no_exchange_carries_text(spark, job):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert not text
     assert d.count() == 1000
+
+
+def test_frames_that_are_written(spark, monkeypatch):
+    """The plans behind the written tables: corpus, encoding, history, features, scores."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from sardonyx.plans import catalog
+    plans, real = [], DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kwargs):
+        plans.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return real(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    catalog.forget_prepared()
+    for name in ("clean_corpus", "encoded_sequences", "epoch_history", "train_two_heads", "full_evaluation"):
+        QUERIES[name](spark, SF_SMALL).collect()
+    kinds = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p, _ in plans}
+    assert {"flagged-corpus", "encoded", "path-history", "features", "scored-test"} <= kinds
+    for path, plan in plans:
+        assert not re.search(FORBIDDEN, plan), path
+
+
+def test_scopes_hand_kept_tables_outwards(spark):
+    from sardonyx.session import path_exists, scratch_dir, scratch_scope, write_table
+    with scratch_scope(spark) as outer:
+        with scratch_scope(spark) as inner:
+            gone, kept = (write_table(spark.range(3), "t") for _ in range(2))
+            inner.keep(kept)
+        assert not path_exists(spark, gone) and path_exists(spark, kept)
+        last = outer.keep(write_table(spark.range(3), "t"))
+    assert not path_exists(spark, kept) and path_exists(spark, last)
+    assert scratch_dir(spark, "t") != last

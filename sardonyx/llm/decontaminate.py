@@ -277,31 +277,41 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage
            block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without hit spans; documents hit in more than ``coverage`` of their words go.
 
+    Cutting goes on until no text holds a window (a cut may join the halves of one).
+
     Clean rows keep their text byte for byte.  ``n_chars``, where the table
     has it, follows the new text.
     """
     handle, new, mark = (fresh(docs, n) for n in ("_row", "_new", "_hit"))
     rows = stored(with_row(docs, handle), "decontaminate-input")
     narrow = rows.select(F.col(handle).alias("_row"), "doc_id", "text")
-    found = find_rows(narrow, benchmark, window, block_words)
-    hit = stored(found.where(F.size("spans") > 0), "hits")
 
     def mend(batches):
         for b in batches:
             texts = []
-            for text, spans in zip(texts_of(b), b.column(1).to_pylist()):
+            for text, spans in zip(texts_of(b), b.column(2).to_pylist()):
                 pairs = _merged([(s["a"], s["b"]) for s in spans])
                 texts.append(cut_spans(text, pairs).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_row", "_new"])
-
-    light = hit.where(hit_words() <= F.col("n_words") * coverage)
-    mended = arrow_map(narrow.join(light.select("_row", "spans"), "_row").select("_row", "spans", "text"),
-                       mend, "_row bigint, _new string")
-    changed = hit.select("_row").join(mended, "_row", "left").select(
-        F.col("_row").alias(handle), F.col("_new").alias(new), F.lit(True).alias(mark))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
+                                             ["_row", "doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    changed, current = None, narrow
+    while True:  # what a cut joins may be a passage again: cut until nothing is hit
+        hit = stored(find_rows(current, benchmark, window, block_words).where(F.size("spans") > 0), "hits")
+        if hit.isEmpty():
+            break
+        light = hit.where(hit_words() <= F.col("n_words") * coverage).select("_row", "spans")
+        current = stored(arrow_map(current.join(light, "_row").select("_row", "doc_id", "spans", "text"), mend,
+                                   f"_row bigint, doc_id {kind}, text string"), "mended")
+        now = hit.select("_row").join(current.select("_row", F.col("text").alias("_text")), "_row", "left")
+        changed = now if changed is None else now.unionByName(changed.join(hit, "_row", "left_anti"))
+    if changed is None:
+        return rows.select(docs.columns)
+    changed = changed.select(F.col("_row").alias(handle), F.col("_text").alias(new), F.lit(True).alias(mark))
     out = rows.join(changed, handle, "left").where(F.col(mark).isNull() | F.col(new).isNotNull())
-    now = {"text": F.coalesce(new, "text")}
+    fixed = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
         n = F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new))
-        now["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
-    return out.select(*[now[c].alias(c) if c in now else F.col(c) for c in docs.columns])
+        fixed["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in docs.columns])

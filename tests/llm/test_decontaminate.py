@@ -68,3 +68,12 @@ def test_empty(spark):
     assert D.find(none, bench).count() == 0
     assert D.find(documents(spark), bench).where("n_hit > 0").count() == 0
     assert D.remove(documents(spark), bench).count() == documents(spark).count()
+
+
+def test_remove_until_nothing_is_hit(spark):
+    docs = spark.createDataFrame([(1, "a b c a b c d e f d e f " + "free words here and there " * 4, 9), (2, "clean", 5)],
+                                 "doc_id bigint, text string, n_chars bigint")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
+    out = {r["doc_id"]: r for r in D.remove(docs, bench, window=6).collect()}
+    assert out[1]["text"].split()[:2] == ["free", "words"] and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[2]["text"] == "clean" and out[2]["n_chars"] == 5

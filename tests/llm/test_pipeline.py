@@ -28,12 +28,13 @@ def test_run_against_plain_python(spark):
     items = [(str(r["item_id"]), alnum_words((r["text"] or "").encode())) for r in bench.collect()]
     for i, t in list(texts.items()):
         words = alnum_words((t or "").encode())
-        hit, _ = _brute(items, words, decontaminate.WINDOW)
-        if len(hit) > len(words) * decontaminate.COVERAGE:
-            del texts[i]
-        elif hit:
+        while hit := _brute(items, words, decontaminate.WINDOW)[0]:
+            if len(hit) > len(words) * decontaminate.COVERAGE:
+                del texts[i]
+                break
             spans = decontaminate._merged([(k, k + 1) for k in hit])
-            texts[i] = decontaminate.cut_spans(t.encode(), spans).decode()
+            texts[i] = decontaminate.cut_spans(texts[i].encode(), spans).decode()
+            words = alnum_words(texts[i].encode())
     mid = spark.createDataFrame([(i, t, rows[i]["lang"]) for i, t in texts.items()], "doc_id bigint, text string, lang string")
     copies = {r["doc_id"]: r["copies"] for r in mixing.plan(mid, labels).collect()}
     tok, start, want = Tokenizer.from_str(vocabulary()), 0, []

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sardonyx.llm import decontaminate, mixing, quality, simhash, token_store
 from sardonyx.llm.catalog import vocabulary
-from sardonyx.llm.common import stored, table
+from sardonyx.llm.common import table
+from sardonyx.session import delete_path, ensure_checkpoint_dir, scratch_scope, write_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    ensure_checkpoint_dir(spark)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with scratch_scope(spark) as scope:  # a stage's own tables go when its result is written
+            path = scope.keep(write_table(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs

@@ -46,7 +46,8 @@ SMOOTH = 0.1
 TEMPER = 0.7
 RIDGE = 1e-3
 ROUNDS = 40
-#: Rounds end when no domain's total is further from its target than this share of all tokens.
+#: Rounds end when no domain's total is further from its target than this share of all tokens, or
+#: when a round brings them nearer by less than a twentieth of it (rates at their limit).
 TOLERANCE = 1e-4
 
 
@@ -175,10 +176,13 @@ def solve(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, fl
     if budget is None:
         budget = float(min(max_rate * natural[w > 0] / w[w > 0]))
     mixer.start, mixer.step = budget / total, 1.0 / (1.0 + RIDGE)
+    last = np.inf
     for _ in range(rounds):
         off = (_totals(members, mixer)[:-1] - budget * w) / total
-        if np.abs(off).max() <= TOLERANCE:
+        far = np.abs(off).max()
+        if far <= TOLERANCE or 0 <= last - far < TOLERANCE / 20:
             break
+        last = far
         # each domain's residual over its share of the tokens: a fixed diagonal scaling of the step
         mixer.residuals.append(off / np.maximum(natural / total, 1e-6))
     return mixer

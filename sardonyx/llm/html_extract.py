@@ -66,6 +66,12 @@ class Node:
         self.points, self.chars, self.linked, self.whole = 0.0, 0, 0, tag in WHOLE_TAGS
 
 
+def _names_beside(name: str) -> bool:
+    """One class or id; ``has-sidebar`` and the like describe what holds the part, not the part."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return not DROPPED_WORDS.isdisjoint(words) and words[0] not in ("has", "with", "no", "without")
+
+
 def _beside(tag: str, attrs: list) -> bool:
     """Whether an element's tag, role, class or id marks it as beside the main text."""
     if tag in DROPPED_TAGS:
@@ -79,8 +85,7 @@ def _beside(tag: str, attrs: list) -> bool:
             return True
         if k == "style" and "display:none" in v.replace(" ", "").lower():
             return True
-        if (k == "class" or k == "id") and tag not in ("html", "body", "main") and any(
-                w.lower() in DROPPED_WORDS for w in _WORDS.findall(v)):
+        if (k == "class" or k == "id") and tag not in ("html", "body", "main") and any(map(_names_beside, v.split())):
             return True
     return False
 

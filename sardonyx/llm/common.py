@@ -54,6 +54,23 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(fn, schema)
 
 
+class PieceLists:
+    """Per row a list of ``struct<piece, m>``, kept as flat columns (no object per entry)."""
+
+    def __init__(self):
+        self.ends, self.pieces, self.counts = [0], [], []
+
+    def add(self, counter) -> None:
+        self.pieces += counter.keys()
+        self.counts += counter.values()
+        self.ends.append(len(self.pieces))
+
+    def array(self, kind: pa.DataType) -> pa.Array:
+        entries = pa.StructArray.from_arrays(
+            [pa.array(self.pieces, kind), pa.array(self.counts, pa.int32())], ["piece", "m"])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), entries)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of each text of a batch, one at a time; NULL is empty."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sardonyx.llm.common import arrow_map, space_words, stored, texts_of, with_row
+from sardonyx.llm.common import PieceLists, arrow_map, space_words, stored, texts_of, with_row
 from sardonyx.llm.lbl import CONTEXT, LogBilinear, pack, unpack
 from sardonyx.llm.token_counts import frequent_pieces
 
@@ -209,7 +210,6 @@ def scores(docs: DataFrame, training, rounds: int = ROUNDS, head: int = HEAD_WOR
     vocab = vocabulary(counts, head)
     params = train(learnt, vocab, rounds)
     words, flat = spark.sparkContext.broadcast(vocab), spark.sparkContext.broadcast(params)
-    kinds = pa.list_(pa.struct([("piece", pa.binary()), ("m", pa.int32())]))
     names = ["_row", "doc_id", "n_tokens", "n_head", "log_head", "log_other", "n_other", "log_model", "tail"]
 
     def run(batches):
@@ -218,6 +218,7 @@ def scores(docs: DataFrame, training, rounds: int = ROUNDS, head: int = HEAD_WOR
         model.params = unpack(flat.value, model.shapes)
         for batch in batches:
             cols: dict[str, list] = {k: [] for k in names[2:]}
+            tails = PieceLists()
             xs, ys, held = [], [], 0
 
             def settle():
@@ -232,13 +233,12 @@ def scores(docs: DataFrame, training, rounds: int = ROUNDS, head: int = HEAD_WOR
                 tokens = _tokens(text)
                 ranks = look.ranks(tokens)
                 logs = np.where(ranks >= 0, look.log_count[np.maximum(ranks, 0)], 0.0) if len(v.words) else ranks * 0.0
-                tail = Counter(t for t, k in zip(tokens, ranks.tolist()) if k < 0)
                 cols["n_tokens"].append(len(tokens))
                 cols["n_head"].append(int((ranks >= 0).sum()))
                 cols["log_head"].append(float(logs.sum()))
                 cols["log_other"].append(float(logs[ranks >= v.n_out].sum()))
                 cols["n_other"].append(int((ranks >= v.n_out).sum() + (ranks < 0).sum()))
-                cols["tail"].append([{"piece": p, "m": m} for p, m in tail.items()])
+                tails.add(Counter(compress(tokens, (ranks < 0).tolist())))
                 x, y = look.pairs(tokens, ranks)
                 total = 0.0
                 while len(y) > SCORE_TOKENS:  # very long texts in pieces
@@ -257,7 +257,7 @@ def scores(docs: DataFrame, training, rounds: int = ROUNDS, head: int = HEAD_WOR
                 [batch.column(0), batch.column(1), pa.array(cols["n_tokens"], pa.int64()),
                  pa.array(cols["n_head"], pa.int64()), pa.array(cols["log_head"], pa.float64()),
                  pa.array(cols["log_other"], pa.float64()), pa.array(cols["n_other"], pa.int64()),
-                 pa.array(cols["log_model"], pa.float64()), pa.array(cols["tail"], kinds)], names)
+                 pa.array(cols["log_model"], pa.float64()), tails.array(pa.binary())], names)
 
     rows = with_row(docs.select("doc_id", "text")).select("_row", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

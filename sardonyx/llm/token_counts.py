@@ -17,14 +17,15 @@ other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
+from itertools import compress, repeat
+from operator import not_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sardonyx.llm.bpe import PieceEncoder
-from sardonyx.llm.common import arrow_map, stored, texts_of, with_row
+from sardonyx.llm.common import PieceLists, arrow_map, stored, texts_of, with_row
 
 HEAD_PIECES = 131_072
 HEAD_CHARS = 64
@@ -91,22 +92,20 @@ def token_counts(docs: DataFrame, tokenizer_json: str, head_pieces: int = HEAD_P
     head = {r["piece"]: r["k"] for r in frequent_pieces(pieces, head_pieces).select("piece", "k").collect()}
     sc = docs.sparkSession.sparkContext
     box, heads = sc.broadcast(tokenizer_json), sc.broadcast(head)
-    kinds = pa.list_(pa.struct([("piece", pa.string()), ("m", pa.int32())]))
 
     def split(batches):
         enc, known = PieceEncoder(box.value), heads.value
         for b in batches:
-            n_bytes, n_head, tails = [], [], []
+            n_bytes, n_head, tails = [], [], PieceLists()
             for text in texts_of(b):
                 got = enc.pieces(text.decode())
                 found = list(map(known.get, got, repeat(0)))
                 n_bytes.append(len(text))
                 n_head.append(sum(found))
-                tails.append([{"piece": p, "m": m} for p, m in
-                              Counter(p for p, k in zip(got, found) if not k).items()])
+                tails.add(Counter(compress(got, map(not_, found))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_head, pa.int64()),
-                 pa.array(tails, kinds)], ["_row", "doc_id", "n_bytes", "n_head", "tail"])
+                 tails.array(pa.string())], ["_row", "doc_id", "n_bytes", "n_head", "tail"])
 
     rows = with_row(docs.select("doc_id", "text")).select("_row", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

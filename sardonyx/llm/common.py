@@ -92,13 +92,14 @@ def keep_rows(docs: DataFrame, decide, name: str) -> DataFrame:
 
     ``docs`` is written once with a row handle (so that the handles hold in
     every later pass) under a name that no column has; ``decide`` sees
-    ``_row, doc_id, text`` and returns ``_row, kept`` among its columns.
+    ``_row, doc_id, text`` and returns ``_row, kept`` (never NULL) of every row.
     """
     handle = fresh(docs, "_row")
     rows = stored(with_row(docs, handle), name)
     narrow = rows.select(F.col(handle).alias("_row"), "doc_id", "text")
-    keep = decide(narrow).where("kept").select(F.col("_row").alias(handle))
-    return rows.join(keep, handle, "left_semi").select(docs.columns)
+    # the dropped are the fewer: a list small enough to be broadcast moves no text at all
+    drop = decide(narrow).where("not kept").select(F.col("_row").alias(handle))
+    return rows.join(drop, handle, "left_anti").select(docs.columns)
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:

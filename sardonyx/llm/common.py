@@ -129,6 +129,12 @@ def crc_mod(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def hash_share(column: str, most: int, total: int):
+    """A repeatable share of ids by hash, a little under ``most`` of ``total``, so that a limit of
+    ``most`` after it is a bound and not a choice of rows."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(0.97 * most / total * (1 << 30))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared checkpoint folder and read back."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -47,6 +47,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 BORDERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 TABLE_BORDER = ("table",)
 P_BORDER = frozenset("article aside body caption div html main section table td th".split())
+#: Tags, and roles, whose element is kept whole.
 WHOLE_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset(("#root", "body", "div", "section", "article", "main"))
 #: Points for a block of at least this many characters; shorter ones earn by length alone.
@@ -119,8 +120,10 @@ class Tree(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag], BORDERS.get(tag, TABLE_BORDER))
         node = Node(tag, self.at, _beside(tag, attrs))
+        node.whole = node.whole or any(k == "role" and v in WHOLE_TAGS or k == "itemprop" and v == "articleBody"
+                                       for k, v in attrs)
         self.at.kids.append(node)
-        if tag in WHOLE_TAGS and not node.cut:  # what holds an article is no sidebar
+        if node.whole and not node.cut:  # what holds an article is no sidebar
             up = self.at
             while up is not None and not up.whole:
                 if up.tag in ("form", "div", "section", "header"):
@@ -248,12 +251,13 @@ def main_text(html: str) -> str:
         for s in top.parent.kids:
             if isinstance(s, str) or s.cut or s is top:
                 continue
+            plain = s.chars > 0 and s.linked < s.chars / 4
             if top.whole:
-                more = s.tag == top.tag and value(s) >= least
+                more = s.tag == top.tag and value(s) >= least or s.tag == "h1"
             else:
-                more = value(s) >= max(10.0, least) and s.chars > 0 or (
-                    s.tag in ("p", "h1", "h2", "h3") and s.chars > 0 and s.linked < s.chars / 4)
-            if more:
+                more = value(s) >= (least if s.tag == top.tag else max(10.0, least)) or s.tag in (
+                    "p", "h1", "h2", "h3")
+            if more and plain:
                 kept.add(id(s))
     out = []
     for text, holder, _ in blocks:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sardonyx.llm.common import arrow_map, fresh, space_words, stored, texts_of
+from sardonyx.llm.common import arrow_map, fresh, hash_share, space_words, stored, texts_of
 
 FIT_ROWS = 30_000
 BUCKETS = 8192
@@ -94,7 +94,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str, most: int =
     known = labels.select("doc_id").where("doc_id is not null").distinct()
     total = known.count()
     if total > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30))).limit(most)
+        known = known.where(hash_share("doc_id", most, total)).limit(most)
     rows = (docs.select("doc_id", "text", F.col(domain).cast("string").alias("domain"))
             .join(F.broadcast(known), "doc_id").where("domain is not null").select("text", "domain"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from sardonyx.llm.common import arrow_map, crc_mod, fresh, texts_of
+from sardonyx.llm.common import arrow_map, crc_mod, fresh, hash_share, texts_of
 
 FIT_ROWS = 30_000
 TREES, DEPTH, BINS, RATE = 80, 4, 64, 0.15
@@ -160,9 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, held_out=None)
         known = known.where(~held_out)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = known.count()
-    if total > most:  # a share by hash, then the bound itself
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / total * (1 << 30))
-        known = known.where(share).limit(most)
+    if total > most:
+        known = known.where(hash_share("doc_id", most, total)).limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
 
     def run(batches):

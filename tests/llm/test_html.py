@@ -40,6 +40,10 @@ PARA = "This paragraph is long enough to earn points, with commas, and no links
     ("<p>one<br>two <b>three</b>\n four", "one two three four"),
     ("<script>var t='</p>';</script><style>p{}</style><p>seen</p><!-- not seen -->", "seen"),
     (f"<div class='has-sidebar no-ads'><p>{PARA}</p><div class='leftSidebar'>x</div></div>", PARA),
+    (f"<body><div><section><h2>a</h2><p>{PARA}</section><section><p>{PARA}</section></div><div>menu</div></body>",
+     f"a\n{PARA}\n{PARA}"),
+    (f"<body><div role=main><p>short<p>{PARA}</div><div><p>{PARA}</div></body>", f"short\n{PARA}"),
+    (f"<main><h1>T</h1><article><p>{PARA}</article><p><a href=x>more</a></main>", f"T\n{PARA}"),
     ("<div role=navigation>menu</div><p hidden>h</p><p>body</p>", "body"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<![foo]]>x</unknown>", "x"),
     ("<div>" * 20_000 + "deep", "deep"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"),

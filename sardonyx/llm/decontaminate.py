@@ -26,6 +26,7 @@ benchmark hits nothing.  Extra columns pass through ``remove`` untouched.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ class Automaton:
         n = len(words)
         if n < self.least or not self.vocab:
             return [], []
-        ids = np.fromiter(map(self.vocab.get, words, (-1 for _ in words)), np.int64, n)
+        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, n)
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         if self.least == 1:

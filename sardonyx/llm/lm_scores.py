@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ HEAD_WORDS, IN_WORDS, OUT_WORDS = 131_072, 8192, 2048
 BUCKETS = 256
 ROUNDS = 2
 #: Minibatch rows: the first and the largest, doubled every GROW_STEPS steps.
-BATCH, BATCH_MOST, GROW_STEPS = 256, 4096, 64
+BATCH, BATCH_MOST, GROW_STEPS = 512, 4096, 32
 FLUSH_WORDS = 150_000
 SCORE_TOKENS = 1 << 15
 AVERAGED = 16
@@ -78,6 +78,7 @@ class Vocabulary:
         self.n_in, self.n_out = min(n_in, len(words)), max(1, min(n_out, len(words)))
         self.other = float(n - counts[:self.n_out].sum())
         self.ids = self.n_in + BUCKETS + 1  # words, buckets, the start of a text
+        self.tables: Lookup | None = None
 
     def model(self) -> LogBilinear:
         counts = np.zeros(self.n_out)
@@ -85,7 +86,10 @@ class Vocabulary:
         return LogBilinear(self.ids, counts, self.other)
 
     def lookup(self) -> Lookup:
-        return Lookup(self)
+        """A worker's tables, built once for all of its tasks (the broadcast object lives as long)."""
+        if self.tables is None:
+            self.tables = Lookup(self)
+        return self.tables
 
 
 def _bucket(word: bytes) -> int:
@@ -102,7 +106,7 @@ class Lookup:
         self.log_count = np.log10(v.counts + 1.0)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.get, words, (-1 for _ in words)), np.int64, len(words))
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
     def pairs(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context ids ``(n, CONTEXT)`` and output ids of a text's tokens."""

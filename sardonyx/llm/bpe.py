@@ -19,9 +19,10 @@ import json
 import re
 import struct
 import unicodedata
+from functools import lru_cache
 
 #: Pieces remembered by one worker.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _FAST_END = 0x250
 
 
@@ -60,6 +61,12 @@ def load_json(path: str) -> str:
         return f.read()
 
 
+@lru_cache(maxsize=2)
+def encoder(tokenizer_json: str) -> PieceEncoder:
+    """A worker's encoder, with the pieces it remembers, for all of its tasks."""
+    return PieceEncoder(tokenizer_json)
+
+
 class PieceEncoder:
     """Cuts texts into pre-tokens and gives the ids of each."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sardonyx.llm.bpe import PieceEncoder
+from sardonyx.llm.bpe import encoder
 from sardonyx.llm.common import PieceLists, arrow_map, stored, texts_of, with_row
 
 HEAD_PIECES = 131_072
@@ -43,7 +43,7 @@ def piece_counts(docs: DataFrame, tokenizer_json: str) -> DataFrame:
             ["piece", "n"])
 
     def count(batches):
-        enc, seen = PieceEncoder(box.value), Counter()
+        enc, seen = encoder(box.value), Counter()
         for batch in batches:
             for text in texts_of(batch):
                 seen.update(enc.pieces(text.decode()))
@@ -62,7 +62,7 @@ def with_token_counts(pieces: DataFrame, tokenizer_json: str) -> DataFrame:
     box = pieces.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def ask(batches):
-        enc = PieceEncoder(box.value)
+        enc = encoder(box.value)
         for b in batches:
             k = [enc.count_of(p) for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k, pa.int64())],
@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, head_pieces: int = HEAD_P
     box, heads = sc.broadcast(tokenizer_json), sc.broadcast(head)
 
     def split(batches):
-        enc, known = PieceEncoder(box.value), heads.value
+        enc, known = encoder(box.value), heads.value
         for b in batches:
             n_bytes, n_head, tails = [], [], PieceLists()
             for text in texts_of(b):

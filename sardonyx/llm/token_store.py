@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sardonyx.llm.bpe import PieceEncoder
+from sardonyx.llm.bpe import encoder
 from sardonyx.llm.common import arrow_map, texts_of, with_row
 from sardonyx.session import scratch_dir
 
@@ -43,7 +43,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     def encode(batches):
         from pyspark import TaskContext
 
-        enc, part, pos, start = PieceEncoder(box.value), TaskContext.get().partitionId(), 0, 0
+        enc, part, pos, start = encoder(box.value), TaskContext.get().partitionId(), 0, 0
 
         def rows(ids, lengths, blobs):
             nonlocal pos, start

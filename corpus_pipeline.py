@@ -4,6 +4,8 @@ A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame.  All but the
 last return the columns of ``docs``; the last writes the token ids and returns
 one row per stored document.  ``run`` writes each stage's result below the
 shared checkpoint folder as Parquet and reads it back as the next one's input.
+The token ids themselves stay in an ORC folder there, which
+``token_store.store_of`` names and ``token_store.read_tokens`` reads.
 """
 
 from __future__ import annotations
@@ -56,7 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         with scratch_scope(spark) as scope:  # a stage's own tables go when its result is written
-            path = scope.keep(write_table(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            result = stage(spark, docs, sf_dir)
+            path = scope.keep(write_table(result, f"pipeline-{name}"))
+            if store := token_store.store_of(result):  # the product, not a table on the way to it
+                scope.keep(store)
         if before:
             delete_path(spark, before)
         docs, before = spark.read.parquet(path), path

@@ -27,6 +27,8 @@ from sardonyx.llm.common import arrow_map, texts_of, with_row
 from sardonyx.session import scratch_dir
 
 END_ID = 2
+#: Metadata key of a digest's column: the folder that holds the digested ids.
+STORE = "token_store"
 STRIPE_BYTES = 16 << 20
 #: Rows between two entries of a row index; rows are whole documents.
 INDEX_STRIDE = 1000
@@ -116,6 +118,17 @@ def token_digest(tokens: DataFrame) -> DataFrame:
 
 
 def store_and_digest(docs: DataFrame, tokenizer_json: str) -> DataFrame:
-    """Write ``docs`` as token ids below the checkpoint folder, read them back and digest them."""
+    """Write ``docs`` as token ids below the checkpoint folder, read them back and digest them.
+
+    The digest knows its store (``store_of``): the folder's path is metadata of ``ids_crc32``, which a
+    Parquet copy of the digest keeps.
+    """
     spark = docs.sparkSession
-    return token_digest(read_tokens(spark, write_tokens(docs, tokenizer_json, scratch_dir(spark, "token-ids"))))
+    path = write_tokens(docs, tokenizer_json, scratch_dir(spark, "token-ids"))
+    digest = token_digest(read_tokens(spark, path))
+    return digest.withMetadata("ids_crc32", {STORE: path})
+
+
+def store_of(digest: DataFrame) -> str | None:
+    """The folder of the token ids that ``store_and_digest`` digested; None for any other table."""
+    return next((f.metadata[STORE] for f in digest.schema.fields if STORE in f.metadata), None)

@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from sardonyx.llm import decontaminate, mixing, quality  # noqa: E402
+from sardonyx.llm import decontaminate, mixing, quality, token_store  # noqa: E402
 from sardonyx.llm.catalog import QUERIES, vocabulary  # noqa: E402
 from sardonyx.llm.common import alnum_words  # noqa: E402
 from tests.conftest import SF_SMALL  # noqa: E402
@@ -46,6 +46,16 @@ def test_run_against_plain_python(spark):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF_SMALL).collect()) == want
 
 
+def test_token_ids_stay_after_run(spark):
+    result = corpus_pipeline.run(spark, SF_SMALL)
+    back = token_store.read_tokens(spark, token_store.store_of(result))
+    stored, start, want = back.orderBy("part", "pos").collect(), 0, []
+    for r in stored:
+        want.append((r["doc_id"], start, len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())))
+        start += len(r["ids"])
+    assert want and sorted(tuple(r) for r in result.collect()) == sorted(want)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -3,7 +3,10 @@
 A page becomes a light tree of elements.  Elements that are never main text
 (scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, hidden parts) are cut first, by tag, role, or the words of
-class and id.  Every text block then passes points for its length and commas
+class and id.  Words never cut an ``article``, a ``main`` or a heading, nor a
+part that holds most of the page's unlinked text; only reader comments (also as
+articles inside an article) and consent notices may be longer than the text
+beside them.  Every text block then passes points for its length and commas
 to its ancestors: all to the parent, half to the next, less to those above,
 discounted by the share of its characters inside links.  The container with
 the best score (again discounted by link density) is kept with the siblings
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from sardonyx.llm.common import arrow_map, texts_of
 
 # ---- fixed values: tag names of HTML, and words that mark parts beside the main text
-DROPPED_TAGS = frozenset("""script style noscript template iframe object embed svg math canvas audio video
+DROPPED_TAGS = frozenset("""script style noscript template iframe object embed svg annotation annotation-xml canvas audio video
     head title nav header footer aside form button select textarea input dialog menu""".split())
 DROPPED_ROLES = frozenset("""navigation banner contentinfo complementary search dialog alertdialog alert
     menu menubar toolbar form""".split())
@@ -35,6 +38,17 @@ DROPPED_WORDS = frozenset("""ad ads adbox adslot advert adverts advertisement ad
     comment comments commentlist disqus respond replies notice notices cookie cookies consent gdpr popup
     modal overlay newsletter subscribe subscription signup login social share sharing related recommended
     recommendations pagination pager widget toolbar copyright disclaimer alert search banner""".split())
+#: First words of classes that describe what an element holds or is about.
+DESCRIBES = frozenset("has with no without category cat tag tagged topic type format status".split())
+#: Beside a class of these words, ``right-sidebar`` and the like are the page's layout.
+LAYOUT_WORDS = frozenset("layout template page site wrapper wrap".split())
+#: Words for parts that may well be longer than the main text, and what such a name may hold besides.
+LONG_WORDS = frozenset("comment comments commentlist disqus respond replies cookie cookies consent gdpr".split())
+LONG_NAMES = LONG_WORDS | DROPPED_WORDS | frozenset(
+    "list section area thread threads wrapper wrap container box bar body content item main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no class or id cuts.
+NEVER_BY_NAME = HEADINGS | {"html", "body", "article", "main"}
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary
     table tbody td tfoot th thead tr ul""".split())
@@ -60,21 +74,42 @@ _DECLARATION = re.compile(r"<!\[(?!CDATA\[)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "points", "chars", "linked", "whole")
+    __slots__ = ("tag", "parent", "kids", "cut", "named", "plain", "points", "chars", "linked", "whole")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.kids, self.cut = tag, parent, [], cut
+        self.named = self.plain = 0  # cut for a name alone (NAMED, LONG); characters outside links
         self.points, self.chars, self.linked, self.whole = 0.0, 0, 0, tag in WHOLE_TAGS
 
 
-def _names_beside(name: str) -> bool:
-    """One class or id; ``has-sidebar`` and the like describe what holds the part, not the part."""
+NAMED, LONG = 1, 2
+
+
+def _name_says(name: str, layout: bool) -> int:
+    """Whether a class or id names a part beside the text (NAMED), or one that may be longer than it (LONG).
+
+    ``has-sidebar``, ``category-social`` and the like describe what holds the part, not the part.
+    """
     words = [w.lower() for w in _WORDS.findall(name)]
-    return not DROPPED_WORDS.isdisjoint(words) and words[0] not in ("has", "with", "no", "without")
+    if DROPPED_WORDS.isdisjoint(words) or words[0] in DESCRIBES:
+        return 0
+    if layout and len(words) > 1 and "sidebar" in (words[0], words[-1]) and len(DROPPED_WORDS.intersection(words)) == 1:
+        return 0
+    return LONG if LONG_NAMES.issuperset(words) and not LONG_WORDS.isdisjoint(words) else NAMED
+
+
+def _named(attrs: list) -> int:
+    """What an element's classes and id say of it."""
+    names = [n for k, v in attrs if v and (k == "class" or k == "id") for n in v.split()]
+    if not names:
+        return 0
+    parts = [{w.lower() for w in _WORDS.findall(n)} for n in names]
+    layout = any(not LAYOUT_WORDS.isdisjoint(p) and DROPPED_WORDS.isdisjoint(p) for p in parts)
+    return max(_name_says(n, layout) for n in names)
 
 
 def _beside(tag: str, attrs: list) -> bool:
-    """Whether an element's tag, role, class or id marks it as beside the main text."""
+    """Whether an element's tag, role or state marks it as beside the main text, whatever its name."""
     if tag in DROPPED_TAGS:
         return True
     for k, v in attrs:
@@ -86,8 +121,6 @@ def _beside(tag: str, attrs: list) -> bool:
             return True
         if k == "style" and "display:none" in v.replace(" ", "").lower():
             return True
-        if (k == "class" or k == "id") and tag not in ("html", "body", "main") and any(map(_names_beside, v.split())):
-            return True
     return False
 
 
@@ -97,6 +130,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
+        self.most_named = 0
 
     def _close(self, tags, border) -> None:
         n = self.at
@@ -123,7 +157,12 @@ class Tree(HTMLParser):
         node.whole = node.whole or any(k == "role" and v in WHOLE_TAGS or k == "itemprop" and v == "articleBody"
                                        for k, v in attrs)
         self.at.kids.append(node)
-        if node.whole and not node.cut:  # what holds an article is no sidebar
+        named = 0 if node.cut or tag in ("html", "body") else _named(attrs)
+        if named and (not node.whole and tag not in NEVER_BY_NAME
+                      or named == LONG and node.whole and tag != "main" and self._inside_whole()):
+            node.cut, node.named = True, named
+            self.most_named = max(self.most_named, named)
+        if node.whole and not node.cut and not named:  # what holds an article is no sidebar
             up = self.at
             while up is not None and not up.whole:
                 if up.tag in ("form", "div", "section", "header"):
@@ -132,6 +171,12 @@ class Tree(HTMLParser):
         if tag not in VOID_TAGS:
             self.at = node
 
+    def _inside_whole(self) -> bool:
+        up = self.at
+        while up is not None and not up.whole:
+            up = up.parent
+        return up is not None
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
@@ -148,10 +193,36 @@ class Tree(HTMLParser):
         self.at.kids.append(data)
 
 
+def _spare(root: Node, most: int) -> None:
+    """Elements cut for a name (up to ``most``) come back if they hold most of the unlinked text."""
+    root.plain = 0
+    order, stack = [], [(root, False)]
+    while stack:
+        node, links = stack.pop()
+        order.append(node)
+        for kid in node.kids:
+            if isinstance(kid, str):
+                node.plain += 0 if links else len(kid.strip())
+            elif not kid.cut or 0 < kid.named <= most:
+                kid.plain = 0
+                stack.append((kid, links or kid.tag == "a"))
+    for node in reversed(order):  # kids before their parents
+        if node.parent is not None:
+            node.parent.plain += node.plain
+    for node in order:
+        if node.cut and 2 * node.plain > root.plain:
+            node.cut = False
+
+
 def parse(html: str) -> Node:
     t = Tree()
     t.feed(_DECLARATION.sub("<! [", html))
     t.close()
+    if t.most_named:
+        _spare(t.root, NAMED)
+    if t.most_named == LONG and not any(len(text) - linked >= LEAST_CHARS and holder.tag not in HEADINGS
+                                        for text, holder, linked in blocks_of(t.root)):
+        _spare(t.root, LONG)  # no other text is there
     return t.root
 
 
@@ -249,7 +320,7 @@ def main_text(html: str) -> str:
     if top.parent is not None:
         least = SIBLING_SHARE * value(best)
         for s in top.parent.kids:
-            if isinstance(s, str) or s.cut or s is top:
+            if isinstance(s, str) or s.cut or s.named or s is top:
                 continue
             plain = s.chars > 0 and s.linked < s.chars / 4
             if top.whole:

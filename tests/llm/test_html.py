@@ -52,6 +52,26 @@ def test_cases(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<article class='post category-social'><p>{PARA}</article>", PARA),
+    (f"<body><article id='search-engines'><p>{PARA}</article><div class=related>x</div></body>", PARA),
+    (f"<article><p>{PARA}<h2 id='related-work'>Related work</h2><p>last</article>", f"{PARA}\nRelated work\nlast"),
+    (f"<body><div class='layout right-sidebar'><p>{PARA}<p>{PARA}</div><div>menu</div></body>", f"{PARA}\n{PARA}"),
+    (f"<div class='right-sidebar'><p>{PARA}<p>{PARA}<div class='right-sidebar'>x</div></div>", f"{PARA}\n{PARA}"),
+    (f"<div role=main class='social-post'><p>{PARA}</div><div class=related><p>{PARA}{PARA}</div>", PARA),
+    (f"<div class='tag-search'><p>{PARA}</div><div class=search>x</div>", PARA),
+    (f"<div id='cookies-recipe'><p>{PARA}<p>{PARA}</div><p>By someone who bakes a lot", f"{PARA}\n{PARA}\nBy someone who bakes a lot"),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</article>", "So x=2 holds"),
+    # reader comments stay cut although they are longer than the text, or articles
+    (f"<div><p>{PARA}</div><div class='comments'>{f'<p>{PARA}' * 9}</div>", PARA),
+    (f"<article><p>{PARA}<article class='comment'><p>{PARA}{PARA}</article></article>", PARA),
+    (f"<article><p>{PARA}</article><div id=comments>{f'<article class=comment><p>{PARA}</article>' * 9}</div>", PARA),
+    (f"<h1>Thread</h1><div class='comments'><p>{PARA}</div>", f"Thread\n{PARA}"),
+])
+def test_names_do_not_cut_the_main_text(page, text):
+    assert main_text(page) == text
+
+
 def test_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x"), (2, "v", "<p>" + "long words " * 100_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")

@@ -6,13 +6,16 @@ fitting rule decides.  Every other url is judged by association rules: Spark's
 FP-growth runs over the token sets of the labelled urls (scheme, host labels
 and their parts, path parts, query keys) with their label as one more item,
 and each frequent set with the block label becomes a rule ``tokens -> block``.
+Sets of one or two tokens are counted one by one and need no share of the
+labels, so that a bad host of a few pages has its rule on tables of any size.
 Rules below the confidence limit go, as do rules that a shorter rule with at
 least the same confidence covers.  Matching uses an inverted index: a rule is
 filed under its rarest token only, each url looks its own tokens up, and a hit
 must hold all the rule's tokens.  A url without a matching rule is allowed.
 
-A label blocks a url if its quality is 0 or it is toxic.  Support is relative,
-with a floor of ``LEAST_COUNT`` urls, so a handful of labels yields no rule.
+A label blocks a url if its quality is 0 or it is toxic.  A rule needs
+``LEAST_COUNT`` blocked urls, so a handful of labels yields no rule; a set of
+three or more tokens also needs the share ``SUPPORT`` of the labelled urls.
 
 Defined results: NULL urls, or urls without ``://``, have empty host and path
 and are allowed; rows that repeat an id get a row each; a label that has only
@@ -87,6 +90,18 @@ def labelled_urls(urls: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("_bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
 
 
+def short_sets(transactions: DataFrame, least: int) -> DataFrame:
+    """``tokens, n_all, n_bad`` of the sets of one or two tokens with at least ``least`` blocked urls."""
+    rows = transactions.select(F.array_contains("items", BLOCK).cast("int").alias("bad"),
+                               F.array_sort(F.array_remove("items", BLOCK)).alias("t"))
+    ones = rows.select("bad", "t", F.posexplode("t").alias("at", "a"))
+    # from the token itself on: a token paired with itself is the set of one
+    pairs = ones.select("bad", "a", F.explode(F.slice("t", F.col("at") + 1, F.size("t"))).alias("b"))
+    return (pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_all"), F.sum("bad").alias("n_bad"))
+            .where(F.col("n_bad") >= least)
+            .select(F.array_distinct(F.array("a", "b")).alias("tokens"), "n_all", "n_bad"))
+
+
 def mine(transactions: DataFrame, support: float = SUPPORT, least: int = LEAST_COUNT,
          confidence: float = CONFIDENCE) -> DataFrame:
     """``key, tokens, n, rule_support, rule_confidence``: pruned rules, filed under their rarest token."""
@@ -105,7 +120,9 @@ def mine(transactions: DataFrame, support: float = SUPPORT, least: int = LEAST_C
         F.array_sort("items").alias("tokens"), F.col("freq").alias("n_all"))
     blocked = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(
         F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("n_bad"))
-    rules = (blocked.join(bare, "tokens")
+    short = stored(short_sets(transactions, least), "url-short-sets")
+    long = blocked.where(F.size("tokens") > 2).join(bare, "tokens").select("tokens", "n_all", "n_bad")
+    rules = (short.unionByName(long)
              .withColumn("rule_confidence", F.col("n_bad") / F.col("n_all"))
              .where(F.col("rule_confidence") >= confidence))
     rules = stored(rules.select("tokens", F.size("tokens").alias("n"),
@@ -116,7 +133,7 @@ def mine(transactions: DataFrame, support: float = SUPPORT, least: int = LEAST_C
     covered = smaller.join(rules.select("tokens", F.col("rule_confidence").alias("c")), "tokens").where(
         F.col("c") >= F.col("rule_confidence")).select(F.col("whole").alias("tokens")).distinct()
     kept = rules.join(covered, "tokens", "left_anti")
-    ones = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), F.col("freq").alias("f"))
+    ones = short.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("key"), F.col("n_all").alias("f"))
     rarest = (kept.select("tokens", "n", "rule_support", "rule_confidence", F.explode("tokens").alias("key"))
               .join(ones, "key").groupBy("tokens", "n", "rule_support", "rule_confidence")
               .agg(F.min_by("key", F.struct("f", "key")).alias("key")))

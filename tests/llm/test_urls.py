@@ -75,6 +75,18 @@ def test_mined_rule_blocks(spark):
     assert U.judge(pages, few).where("verdict = 'block'").count() == 0  # too few labels for a rule
 
 
+def test_a_small_bad_host_has_a_rule_among_many_labels(spark):
+    def items(bad, *tokens):
+        return F.array(*[F.lit(t) for t in (*tokens, *[U.BLOCK] * bad)])
+
+    n = F.col("id")
+    frame = spark.range(40_000).select(  # 30 pages of one host, and 30 that only two tokens together tell
+        F.when(n < 30, items(1, "host=org", "host=pills")).when(n < 60, items(1, "host=org", "path=win"))
+        .when(n < 300, items(0, "host=net", "path=win")).otherwise(items(0, "host=org")).alias("items"))
+    got = {tuple(r["tokens"]): (r["key"], r["rule_confidence"]) for r in U.mine(frame).collect()}
+    assert got == {("host=pills",): ("host=pills", 1.0), ("host=org", "path=win"): ("path=win", 1.0)}
+
+
 @pytest.mark.parametrize("quality, toxic, blocked", [(0, None, True), (None, 1, True), (1, 0, False), (None, None, None)])
 def test_labels(spark, quality, toxic, blocked):
     urls = spark.createDataFrame([(1, ["t"])], "page_id bigint, tokens array<string>")

@@ -6,14 +6,21 @@ document posteriors ``p`` over the domains; long texts are tempered by the
 square root of their length, so membership stays soft.  Document rates ``r``
 in ``[0, max_rate]`` minimise
 
-    1/2 |sum_i r_i t_i p_i - T|^2 / W^2  +  ridge/2 sum_i t_i (r_i - r0)^2 / W
-
-(``t``: tokens, ``W``: their sum, ``T``: target tokens per domain, ``r0`` the
-mean rate) by projected gradient descent.  A round is one pass: tasks replay
-the earlier rounds' residuals (one small vector each) to have their rows'
-current rates, and send back one sum per domain.  So no state is stored per
-document, a lost executor costs nothing but its rows, and the final rates are
-a function of the text that a map-only pass computes anew.
+    f(r) = 1/2 sum_d (sum_i r_i t_i p_id - T_d)^2 / (W N_d)
+
+(``t``: tokens, ``W``: their sum, ``T``: target tokens per domain, ``N``: the
+domains' natural tokens) by projected gradient descent with momentum from the
+mean rate, so small domains weigh as much as large ones.  A round is one pass:
+tasks replay the earlier rounds' gradients (one small vector each) to have
+their rows' current rates, and send back a few sums per domain.  So no state is
+stored per document, a lost executor costs nothing but its rows, and the final
+rates are a function of the text that a map-only pass computes anew.
+
+Rounds end when every domain is within ``TOLERANCE`` of its own target, or when
+the targets are proven out of reach: ``f`` is convex, so no rates bring it below
+``f(r) - gap`` with ``gap = max_s grad f(r) . (r - s)`` over all rates ``s``.
+If the gap is below ``GAP`` of ``f``, the best rates miss too and these are
+nearly as good.  What is still missing is in ``Mixer.miss`` and in the log.
 
 Without given weights the targets are the natural shares to the power
 ``TEMPER``; without a given budget it is the largest that rates of ``max_rate``
@@ -28,6 +35,7 @@ out; rows that repeat an id share its draw; other columns pass through ``mix``.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from dataclasses import dataclass, field
 
@@ -44,11 +52,13 @@ BUCKETS = 8192
 MOST_DOMAINS = 256
 SMOOTH = 0.1
 TEMPER = 0.7
-RIDGE = 1e-3
-ROUNDS = 40
-#: Rounds end when no domain's total is further from its target than this share of all tokens, or
-#: when a round brings them nearer by less than a twentieth of it (rates at their limit).
-TOLERANCE = 1e-4
+ROUNDS = 400
+#: Rounds end when every domain's total is this near its own target, as a share of that target.
+TOLERANCE = 0.005
+#: Targets are out of reach when no rates lower f by more than this share of it.
+GAP = 0.05
+
+_LOG = logging.getLogger(__name__)
 
 
 def _hashed(text: bytes) -> np.ndarray:
@@ -64,8 +74,11 @@ class Mixer:
     log_word: np.ndarray        # (BUCKETS, domains)
     max_rate: float = 1.0
     start: float = 1.0
-    step: float = 1.0
-    residuals: list[np.ndarray] = field(default_factory=list)
+    #: Each round's gradient over the domains, and the momentum after its step.
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
+    #: Each domain's total over its target, less 1 (without a target: over its total at the mean rate).
+    miss: dict[str, float] = field(default_factory=dict)
+    ended: str = "no targets"
 
     def memberships(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers and posteriors of some texts."""
@@ -83,10 +96,15 @@ class Mixer:
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         """The rates after all rounds so far."""
-        r = np.full(len(p), min(self.start, self.max_rate))
-        for g in self.residuals:
-            r = np.clip(r - self.step * (p @ g + RIDGE * (r - self.start)), 0.0, self.max_rate)
-        return r
+        return self.points(p)[0]
+
+    def points(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates after all rounds so far, and where the next round's gradient is taken."""
+        r = ahead = np.full(len(p), min(self.start, self.max_rate))
+        for g, momentum in self.steps:
+            new = np.clip(ahead - p @ g, 0.0, self.max_rate)
+            r, ahead = new, new + momentum * (new - r)
+        return r, ahead
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str, most: int = FIT_ROWS) -> Mixer:
@@ -138,23 +156,29 @@ def _members(docs: DataFrame, mixer: Mixer) -> DataFrame:
     return arrow_map(docs.select("text"), run, "t bigint, p array<double>")
 
 
-def _totals(members: DataFrame, mixer: Mixer) -> np.ndarray:
-    """Expected tokens per domain at the current rates, and the sum of tokens."""
-    box, k = members.sparkSession.sparkContext.broadcast(mixer), len(mixer.domains)
+def _totals(members: DataFrame, mixer: Mixer, gradient: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Expected tokens per domain at the current rates and at the point ahead, the sum of tokens, and
+    the least that ``gradient . totals`` can be."""
+    k = len(mixer.domains)
+    box = members.sparkSession.sparkContext.broadcast((mixer, np.zeros(k) if gradient is None else gradient))
 
     def run(batches):
-        sums = np.zeros(k + 1)
+        m, g = box.value
+        sums = np.zeros(2 * k + 2)
         for b in batches:
             t = b.column(0).to_numpy().astype(float)
             p = b.column(1).flatten().to_numpy().reshape(len(t), k)
-            sums[:k] += (t * box.value.rates(p)) @ p
-            sums[k] += t.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1)), pa.array(sums)], ["d", "n"])
-
-    out = np.zeros(k + 1)
+            r, ahead = m.points(p)
+            sums[:k] += (t * r) @ p
+            sums[k:2 * k] += (t * ahead) @ p
+            sums[2 * k] += t.sum()
+            sums[2 * k + 1] += m.max_rate * (t @ np.minimum(p @ g, 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k + 2)), pa.array(sums)], ["d", "n"])
+
+    out = np.zeros(2 * k + 2)
     for r in arrow_map(members, run, "d bigint, n double").groupBy("d").agg(F.sum("n").alias("n")).collect():
         out[r["d"]] = r["n"]
-    return out
+    return out[:k], out[k:2 * k], out[2 * k], out[2 * k + 1]
 
 
 def solve(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, float] | None = None,
@@ -165,8 +189,7 @@ def solve(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, fl
     if not mixer.domains:
         return mixer
     members = stored(_members(docs, mixer), "memberships")
-    natural = _totals(members, Mixer(mixer.domains, mixer.log_prior, mixer.log_word[:0]))
-    total, natural = natural[-1], natural[:-1]
+    natural, _, total, _ = _totals(members, Mixer(mixer.domains, mixer.log_prior, mixer.log_word[:0]))
     if total == 0:
         return mixer
     w = (natural / total) ** TEMPER if weights is None else np.array([weights.get(d, 0.0) for d in mixer.domains])
@@ -175,16 +198,34 @@ def solve(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, fl
     w = w / w.sum()
     if budget is None:
         budget = float(min(max_rate * natural[w > 0] / w[w > 0]))
-    mixer.start, mixer.step = budget / total, 1.0 / (1.0 + RIDGE)
-    last = np.inf
-    for _ in range(rounds):
-        off = (_totals(members, mixer)[:-1] - budget * w) / total
-        far = np.abs(off).max()
-        if far <= TOLERANCE or 0 <= last - far < TOLERANCE / 20:
+    mixer.start = budget / total
+    target, share = budget * w, np.maximum(natural, 1e-9)
+    own = np.where(target > 0, target, share * mixer.start)
+    last_f, last_slope, slope, k = np.inf, 0.0, None, 0
+    for done in range(rounds + 1):
+        at, ahead, _, least = _totals(members, mixer, slope)
+        off = at - target
+        mixer.miss = dict(zip(mixer.domains, (off / own).tolist()))
+        mixer.ended = f"stopped after {done} rounds"
+        f = float((off * off / share).sum() / 2)
+        if np.abs(off / own).max() <= TOLERANCE:
+            mixer.ended = "met"
+            break
+        # the pass before this one's rates: its slope is known now, and so is what any rates can gain on it
+        if slope is not None and last_slope - least <= GAP * last_f:
+            mixer.ended = "out of reach"
+            break
+        if done == rounds:
             break
-        last = far
-        # each domain's residual over its share of the tokens: a fixed diagonal scaling of the step
-        mixer.residuals.append(off / np.maximum(natural / total, 1e-6))
+        if f > last_f:  # the momentum led too far: stop and go on from here
+            k, ahead = 0, at
+            g, momentum = mixer.steps[-1]
+            mixer.steps[-1] = (g, 0.0)
+        mixer.steps.append(((ahead - target) / share, (k + 1) / (k + 4)))
+        slope, k = off / share, k + 1
+        last_f, last_slope = f, float(slope @ at)
+    _LOG.log(logging.INFO if mixer.ended == "met" else logging.WARNING, "mixing targets %s; miss of each domain's target: %s",
+             mixer.ended, {d: round(x, 5) for d, x in mixer.miss.items()})
     return mixer
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sardonyx.llm import mixing
 from tests.conftest import SF_CHECK
@@ -29,6 +30,29 @@ def test_expected_totals_meet_the_targets(tables, targets):
     assert np.abs((rate * t) @ p - budget * w).max() / t.sum() < 0.01
 
 
+@pytest.mark.parametrize("share, weight, rate, ended", [(0.4, 0.0002, 0.8, "met"), (0.9, 0.0004, 1.0, "out of reach")])
+def test_a_domain_of_a_ten_thousandth_of_the_tokens(spark, share, weight, rate, ended):
+    n = F.col("id")
+    docs = spark.range(4004).select(n.alias("doc_id"), F.when(n < 4, "few").otherwise("many").alias("lang"), F.when(
+        n < 4, " ".join(f"few{k}" for k in range(10))).otherwise(" ".join(f"many{k}" for k in range(100))).alias("text"))
+    known = docs.select("doc_id")
+    tokens = 4 * 10 + 4000 * 100
+    mixer = mixing.solve(docs, known, "lang", weights={"few": weight, "many": 1 - weight}, budget=share * tokens)
+    _, p = mixer.memberships([r["text"].encode() for r in docs.where("doc_id < 8").select("text").collect()])
+    want = [rate] * 4 + [share * tokens * (1 - weight) / 400_000] * 4
+    assert np.allclose(mixer.rates(p), want, rtol=0.006) and mixer.ended == ended
+    assert abs(mixer.miss["few"] - (rate * 40 / (weight * share * tokens) - 1)) < 0.006
+    assert abs(mixer.miss["many"]) <= mixing.TOLERANCE
+
+
+def test_overlapping_domains_go_on_until_met(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.col("id") % 2).alias("lang"), F.expr(
+        "array_join(concat(array_repeat('both', 30), array_repeat(concat('w', id % 2), cast(2 + id % 3 as int))), ' ')").alias("text"))
+    mixer = mixing.solve(docs, docs.select("doc_id"), "lang", weights={"a0": 0.55, "a1": 0.45}, budget=6000.0)
+    t, p = mixer.memberships([r["text"].encode() for r in docs.select("text").collect()])
+    assert mixer.ended == "met" and np.allclose((mixer.rates(p) * t) @ p, [3300, 2700], rtol=mixing.TOLERANCE)
+
+
 def test_classifier_on_the_language(tables):
     docs, known = tables
     got = mixing.plan(docs, known).join(docs.select("doc_id", "lang"), "doc_id").where("n_tokens > 20").collect()

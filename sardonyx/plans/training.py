@@ -82,11 +82,14 @@ def _head(kind: str, label: str, prefix: str, n_classes: int, iters: int, width:
                               standardization=True, tol=1e-9, **cols)
 
 
-def prepare_splits(corpus: DataFrame, num_features: int = HASH_FEATURES):
-    """Fit the shared vector on train; featurise train and val once (written tables)."""
+def prepare_splits(corpus: DataFrame, num_features: int = HASH_FEATURES, unique_keys: bool = True):
+    """Fit the shared vector on train; featurise train and val once (written tables).
+
+    ``unique_keys=False`` is for corpora keyed by content: copies share a key.
+    """
     # the corpus is a prepared table (a plain scan): no need to write the rank input
     d = dense_ids(corpus, ["split"], eligible=F.col("split").isin("train", "val"),
-                  materialize_input=False)
+                  materialize_input=False, unique_keys=unique_keys)
     d = minibatches(d, "row_no", batch_size_for("split"))
     d = _with_class_count(_with_class_count(d, "label", 2), "domain_idx", len(C.DOMAIN_LABELS))
     # document frequencies need no order: the fit reads the plain train split, without the rank
@@ -115,7 +118,7 @@ def _scored_epoch(both: DataFrame, s_model, d_model, epoch: int) -> DataFrame:
 
 def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int = C.NUM_EPOCHS,
                     kind: str = "logistic", iters_per_epoch: int = 3,
-                    num_features: int | None = None) -> TrainResult:
+                    num_features: int | None = None, unique_keys: bool = True) -> TrainResult:
     """G1 + G4 + S6: the epoch loop with best-by-val-F1 saving; returns the history.
 
     ``num_features`` is the width of the hashed vector; by default that of ``FEATURES_OF[kind]``.
@@ -124,11 +127,12 @@ def train_two_heads(corpus: DataFrame, out_dir: str | None = None, epochs: int =
     out_dir = out_dir or scratch_dir(spark, "model")
     with scratch_scope(spark):   # the feature table is dropped when the loop ends
         return _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch,
-                           num_features or FEATURES_OF[kind])
+                           num_features or FEATURES_OF[kind], unique_keys)
 
 
-def _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch, width) -> TrainResult:
-    feat, both = prepare_splits(corpus, width)
+def _epoch_loop(spark, corpus, out_dir, epochs, kind, iters_per_epoch, width,
+                unique_keys=True) -> TrainResult:
+    feat, both = prepare_splits(corpus, width, unique_keys)
     # Persist the feature rows once: every fit and every evaluation reuses them, and
     # a persisted input stops each classifier from caching its own copy.  A lost
     # executor re-reads its share from the written feature table.

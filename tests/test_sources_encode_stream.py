@@ -223,3 +223,15 @@ def test_vocabulary_cut_inside_a_tie(spark):
         got = build_vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"),
                                size=size + C.FIRST_TOKEN_ID).orderBy("token_id").collect()
         assert [(r["token"], r["n"]) for r in got] == want[:size]
+
+
+def test_batches_of_copies_that_share_a_key(spark):
+    from sardonyx.plans.training import prepare_splits
+
+    corpus = spark.range(0, 300, 1, 6).selectExpr(
+        "'train' as split", "md5(if(id < 200, 'copy', cast(id as string))) as row_key", "cast(id % 2 as int) as label",
+        "cast(id % 7 as int) as domain_idx", "if(id < 200, 'same text', concat('text ', id)) as text")
+    _, both = prepare_splits(corpus, 64, unique_keys=False)
+    sizes = {r["batch_id"]: r["count"] for r in both.groupBy("batch_id").count().collect()}
+    size = max(sizes.values())
+    assert sum(sizes.values()) == 300 and [sizes[k] for k in sorted(sizes)][:-1] == [size] * (len(sizes) - 1)

@@ -12,6 +12,7 @@ from sardonyx.llm import (
     decontaminate,
     exact_dedup,
     html_extract,
+    lexical_search,
     lm_scores,
     mixing,
     quality,
@@ -205,3 +206,28 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
     return ids.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
         "conv_id", *[F.coalesce(c, empty.get(c, F.lit(0))).alias(c) for c in found.columns if c != "_id"])
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_lexical_search", rf"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")},
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::HUGEINT AS len FROM sizes),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all({LOWER.format("text")},
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+held AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total),
+scores AS (SELECT item_id, h.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len))))
+             ::BIGINT AS score
+           FROM asked JOIN held h USING (term) JOIN weights USING (term) JOIN sizes s ON s.doc_id = h.doc_id, total
+           GROUP BY item_id, h.doc_id),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank,
+                  doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -326,20 +326,20 @@ def settle(open_chunks: DataFrame, rounds: int) -> DataFrame:
 
 # ---------------------------------------------------------------- traces
 
-PIECES = "conv string, pos bigint, state int, letters string"
-_PIECES = _arrow(conv=pa.string(), pos=pa.int64(), state=pa.int32(), letters=pa.string())
+PIECES = "conv string, pos bigint, state int, letters string, symbols string"
+_PIECES = _arrow(conv=pa.string(), pos=pa.int64(), state=pa.int32(), letters=pa.string(), symbols=pa.string())
 
 
 def traces(conversations: DataFrame, chunk: int = CHUNK, rounds: int = FIX_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """The ordered rows with their symbols, and ``conv, pos, state, letters`` of every chunk."""
+    """The ordered rows, and ``conv, pos, state, letters, symbols`` of every chunk."""
     rows = ordered(conversations)
-    marks = stored(faults(rows), "turn-symbols")
-    parts = chunks(marks, chunk)
+    parts = chunks(faults(rows), chunk)
     closed = parts.where("first_pid = last_pid").withColumn("end_vec", F.lit(_spell(END)))
     opened = parts.where("first_pid < last_pid")
     if not opened.isEmpty():
         closed = closed.unionByName(opened.join(settle(opened, rounds), ["conv", "pid"]))
-    variants = _arrow(conv=pa.string(), pos=pa.int64(), letters=pa.list_(pa.string()), ends=pa.list_(pa.int32()))
+    variants = _arrow(conv=pa.string(), pos=pa.int64(), symbols=pa.string(), letters=pa.list_(pa.string()),
+                      ends=pa.list_(pa.int32()))
 
     def trace(batches):
         def found():
@@ -349,7 +349,7 @@ def traces(conversations: DataFrame, chunk: int = CHUNK, rounds: int = FIX_ROUND
                     vector = vector or _read(r["end_vec"])
                     starts = (0,) if r["pos"] == r["first_pos"] else range(4)
                     ways = costs().trace(vector, r["symbols"], r["pos"] == r["last_pos"], starts)
-                    yield r["conv"], r["pos"], [w for w, _ in ways], [q for _, q in ways]
+                    yield r["conv"], r["pos"], r["symbols"], [w for w, _ in ways], [q for _, q in ways]
                     vector, _ = costs().back(vector, r["symbols"])
         yield from _batches(found(), variants)
 
@@ -359,24 +359,29 @@ def traces(conversations: DataFrame, chunk: int = CHUNK, rounds: int = FIX_ROUND
             for r in _records(batches):
                 if r["conv"] != conv:
                     conv, q = r["conv"], 0
-                yield conv, r["pos"], q, r["letters"][q]
+                yield conv, r["pos"], q, r["letters"][q], r["symbols"]
                 q = r["ends"][q]
         yield from _batches(found(), _PIECES)
 
-    ways = arrow_map(_by_segment(closed), trace, "conv string, pos bigint, letters array<string>, ends array<int>")
+    ways = arrow_map(_by_segment(closed), trace,
+                     "conv string, pos bigint, symbols string, letters array<string>, ends array<int>")
     # one record per chunk, streamed in order
     ways = ways.repartition("conv").sortWithinPartitions("conv", "pos")
-    return rows.join(marks.select("pos", "symbol"), "pos"), stored(arrow_map(ways, meet, PIECES), "turn-traces")
+    return rows, stored(arrow_map(ways, meet, PIECES), "turn-traces")
 
 
-def _edits(letters: str, state: int, rows: Iterator[dict]) -> Iterator[tuple]:
-    """``letter, row or None, repaired role or None`` of one chunk's edits, in order."""
-    for letter in letters:
-        row = next(rows) if letter != "I" else None
+def _edits(piece: dict, rows: Iterator[dict]) -> Iterator[tuple]:
+    """``letter, row or None, repaired role or None`` of one chunk's edits, in order; a row has its ``fault``."""
+    state, symbols = piece["state"], iter(piece["symbols"])
+    for letter in piece["letters"]:
+        row, role = None, 3
+        if letter != "I":
+            row = next(rows)
+            role, row["fault"] = divmod(ord(next(symbols)) - 65, 4)
         if letter == "D":
             yield letter, row, None
         elif letter == "K":
-            state = KEPT[state][(ord(row["symbol"]) - 65) // 4]
+            state = KEPT[state][role]
             yield letter, row, row["role"]
         else:
             state = WANTED[state]
@@ -385,9 +390,7 @@ def _edits(letters: str, state: int, rows: Iterator[dict]) -> Iterator[tuple]:
 
 def _events(rows: DataFrame, pieces: DataFrame, by: str) -> DataFrame:
     """Rows and the traces that apply to them, each trace before its rows, in order."""
-    both = (rows.select("conv", "pos", F.lit(None).cast("int").alias("state"),
-                        F.lit(None).cast("string").alias("letters"), "turn", "role", "text", "symbol")
-            .unionByName(pieces, allowMissingColumns=True))
+    both = rows.select("conv", "pos", "turn", "role", "text").unionByName(pieces, allowMissingColumns=True)
     both = both.withColumn("pid", F.shiftright("pos", 33))
     return both.repartition(by).sortWithinPartitions("conv", "pos", F.col("letters").isNull()).drop("pid")
 
@@ -396,7 +399,7 @@ def _edit_stream(batches) -> Iterator[tuple[str, tuple]]:
     """``conversation, edit`` over a sorted stream of traces and rows."""
     stream = _records(batches)
     for r in stream:
-        for edit in _edits(r["letters"], r["state"], stream):
+        for edit in _edits(r, stream):
             yield r, edit
 
 
@@ -411,7 +414,7 @@ def repair(conversations: DataFrame, chunk: int = CHUNK, rounds: int = FIX_ROUND
         def found():
             for piece, (letter, row, role) in _edit_stream(batches):
                 piece["n"] = piece.get("n", 0) + 1
-                fault = FAULTS[(ord(row["symbol"]) - 65) % 4] if row else ""
+                fault = FAULTS[row["fault"]] if row else ""
                 yield (piece["conv"], piece["pos"], piece["n"], letter, fault or None,
                        row["role"] if role is None else role, row["text"] if row else "")
         yield from _batches(found(), schema, 500)
@@ -443,7 +446,7 @@ class _Tally:
         self.letters.append(letter)
         self.cost += {"D": DELETE, "I": INSERT, "K": KEEP, "R": REROLE}[letter]
         if row is not None:
-            fault, first = (ord(row["symbol"]) - 65) % 4, row["role"][:1]
+            fault, first = row["fault"], row["role"][:1]
             self.faults[fault] += 1
             self.cost += TRUNCATED if fault == 3 and letter != "D" else 0
             if self.letter is not None and self.letter + first not in ("su", "ua", "au"):

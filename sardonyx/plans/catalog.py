@@ -21,6 +21,7 @@ from sardonyx.operators import losses as L
 from sardonyx.operators import metrics as MX
 from sardonyx.operators import scoring as S
 from sardonyx.operators.domains import domain_name, with_domain_index, with_lookup_domain
+from sardonyx.operators.permutation import epoch_minibatches
 from sardonyx.operators.ranking import batch_size_for, dense_ids, minibatches, preview
 from sardonyx.plans import evaluation as EV
 from sardonyx.plans import oracle as O
@@ -230,6 +231,40 @@ def minibatches_q(spark, sf_dir):
     return d.groupBy("split", "batch_id").agg(F.count(F.lit(1)).alias("batch_rows"))
 
 
+_ORDER_EPOCHS = 2
+_EPOCH_SQL = O.with_corpus(f"""
+, numbered AS (SELECT *, count(*) OVER (PARTITION BY split) AS n FROM ({_DENSE_SQL})),
+rows_epochs AS (SELECT *, unnest(range(1, {_ORDER_EPOCHS} + 1)) AS epoch FROM numbered),
+{O.epoch_order_ctes("rows_epochs")},
+placed AS (SELECT * REPLACE (CASE WHEN split = 'train' THEN position ELSE row_no END AS position) FROM shuffled),
+batched AS (SELECT *, position // CASE WHEN split = 'train' THEN {C.BATCH_SIZE} ELSE {2 * C.BATCH_SIZE} END AS batch_id
+            FROM placed)""")
+
+
+def _epoch_rows(spark, sf_dir) -> DataFrame:
+    """The numbered rows once per epoch; the numbers are written once and only counted and read."""
+    numbered = materialize(_numbered(spark, sf_dir).select("origin", "row_id", "split", "row_no"), "numbered")
+    sizes = numbered.groupBy("split").agg(F.count(F.lit(1)).alias("n"))   # one row per split
+    return epoch_minibatches(numbered.join(F.broadcast(sizes), "split"), _ORDER_EPOCHS)
+
+
+@register("epoch_order", _EPOCH_SQL + """
+SELECT origin, row_id, split, CAST(epoch AS INTEGER) AS epoch, position, batch_id FROM batched""")
+def epoch_order_q(spark, sf_dir):
+    """M7: the place and mini-batch of every row in each epoch, train in a new order every time."""
+    return _epoch_rows(spark, sf_dir).select("origin", "row_id", "split", "epoch", "position", "batch_id")
+
+
+@register("epoch_batches", _EPOCH_SQL + """
+SELECT CAST(epoch AS INTEGER) AS epoch, split, batch_id, count(*) AS batch_rows,
+       min(origin || ':' || CAST(row_id AS VARCHAR)) AS first_row FROM batched GROUP BY ALL""")
+def epoch_batches_q(spark, sf_dir):
+    """M7: the mini-batches of each epoch (the last short one is kept)."""
+    first = F.min(F.concat_ws(":", "origin", F.col("row_id").cast("string"))).alias("first_row")
+    return _epoch_rows(spark, sf_dir).groupBy("epoch", "split", "batch_id").agg(
+        F.count(F.lit(1)).alias("batch_rows"), first)
+
+
 # ---------------------------------------------------------------------------
 # Losses and predictions on fixed logits (embeddings x constant vectors)
 # ---------------------------------------------------------------------------

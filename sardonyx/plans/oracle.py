@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from sardonyx import config as C
+from sardonyx.operators import permutation as PM
 from sardonyx.sources.testbed import (BOUND_LOOKUP, BOUND_URL_RULES, DOMAIN_WEIGHTS,
                                       SARCASM_WEIGHTS)
 
@@ -317,3 +318,30 @@ es2 AS (SELECT epoch, split, loss, sarc_loss, {div('tn + tp', 'tn + fp + fn + tp
                     'tn + fp + fn + tp')} AS f1 FROM es),
 hist AS (SELECT CAST(epoch AS INTEGER) AS epoch, {cols}, CAST(NULL AS DOUBLE) AS epoch_time_sec
          FROM es2 GROUP BY epoch)"""
+
+
+def epoch_order_ctes(rows: str, seed: int = C.SEED) -> str:
+    """CTE ``shuffled`` = ``rows(..., row_no, n, epoch)`` with the row's ``position`` in the epoch's order.
+
+    The same bijection as ``operators.permutation``, one CTE per half round.
+    """
+    ctes = [f"""
+o0 AS (SELECT *, row_no AS x, CAST(floor(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a,
+              n // CAST(floor(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS b FROM {rows})"""]
+    last = "o0"
+    for w in range(PM.WINDOWS):
+        at = "0" if w % 2 == 0 else "n - a * b"
+        ctes.append(f"w{w} AS (SELECT *, {at} AS low, (x - ({at})) // b AS l, (x - ({at})) % b AS r FROM {last})")
+        last = f"w{w}"
+        for h in range(PM.HALF_ROUNDS):
+            number = w * PM.HALF_ROUNDS + h
+            digit, other, size = ("r", "l", "a") if h % 2 == 0 else ("l", "r", "b")
+            t = (f"(({digit} * {PM.MULTIPLIER} + epoch * 362437 + {PM.round_key(seed, number)})"
+                 f" % {PM.LARGE_PRIME} % {PM.SMALL_PRIME})")
+            ctes.append(f"h{number} AS (SELECT * REPLACE (({other} + ({t} * {t}) % {PM.LARGE_PRIME}) % {size} AS {other}) FROM {last})")
+            last = f"h{number}"
+        ctes.append(f"x{w} AS (SELECT * EXCLUDE (x, low, l, r), CASE WHEN x >= low AND x < low + a * b"
+                    f" THEN l * b + r + low ELSE x END AS x FROM {last})")
+        last = f"x{w}"
+    ctes.append(f"shuffled AS (SELECT * EXCLUDE (x, a, b), x AS position FROM {last})")
+    return ",\n".join(ctes)

@@ -4,14 +4,16 @@ A page becomes a light tree of elements.  Elements that are never main text
 (scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, hidden parts) are cut first, by tag, role, or the words of
 class and id.  Words never cut an ``article``, a ``main`` or a heading, nor a
-part that holds most of the page's unlinked text; only reader comments (also as
-articles inside an article) and consent notices may be longer than the text
-beside them.  Every text block then passes points for its length and commas
-to its ancestors: all to the parent, half to the next, less to those above,
-discounted by the share of its characters inside links.  The container with
+part that holds most of the page's unlinked text (nor does ``form`` cut that);
+only reader comments (also as articles inside an article) and consent notices
+may be longer than the text beside them.  On a paragraph and inside an article
+a name cuts by its last word alone.  Of an article's own header the headings stay.  Every text block then passes points for its length and commas
+to its nearest ``ANCESTORS``: all to the parent, half to the next, less to those
+above, discounted by the share of its characters inside links.  The container with
 the best score (again discounted by link density) is kept with the siblings
 that look like more of the same; inside an ``article`` or ``main`` the whole
-element is kept.  Its blocks, in page order, are the text.
+element is kept.  Its blocks, in page order, are the text.  Lengths and scores are
+summed up the tree once, so the work grows with the page, however deep it is.
 
 Defined results: NULL or empty html, and pages without any block, give the
 empty text; repeated rows give a row each; unclosed or stray tags never fail;
@@ -21,6 +23,7 @@ tags nest to any depth (no recursion).  Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -30,12 +33,12 @@ from sardonyx.llm.common import arrow_map, texts_of
 
 # ---- fixed values: tag names of HTML, and words that mark parts beside the main text
 DROPPED_TAGS = frozenset("""script style noscript template iframe object embed svg annotation annotation-xml canvas audio video
-    head title nav header footer aside form button select textarea input dialog menu""".split())
+    head title nav header footer aside button select textarea input dialog menu""".split())
 DROPPED_ROLES = frozenset("""navigation banner contentinfo complementary search dialog alertdialog alert
-    menu menubar toolbar form""".split())
+    menu menubar toolbar""".split())
 DROPPED_WORDS = frozenset("""ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored
     promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer
-    comment comments commentlist disqus respond replies notice notices cookie cookies consent gdpr popup
+    comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup
     modal overlay newsletter subscribe subscription signup login social share sharing related recommended
     recommendations pagination pager widget toolbar copyright disclaimer alert search banner""".split())
 #: First words of classes that describe what an element holds or is about.
@@ -43,9 +46,16 @@ DESCRIBES = frozenset("has with no without category cat tag tagged topic type fo
 #: Beside a class of these words, ``right-sidebar`` and the like are the page's layout.
 LAYOUT_WORDS = frozenset("layout template page site wrapper wrap".split())
 #: Words for parts that may well be longer than the main text, and what such a name may hold besides.
-LONG_WORDS = frozenset("comment comments commentlist disqus respond replies cookie cookies consent gdpr".split())
+LONG_WORDS = frozenset("comment comments commentlist disqus respond reply replies cookie cookies consent gdpr".split())
 LONG_NAMES = LONG_WORDS | DROPPED_WORDS | frozenset(
     "list section area thread threads wrapper wrap container box bar body content item main".split())
+#: Last words that say nothing of what an element holds.
+PLAIN_ENDS = LONG_NAMES - DROPPED_WORDS | frozenset("block inner left right top bottom link links button buttons".split())
+#: First words that mark a part whatever follows.
+FIRM_WORDS = LONG_WORDS | frozenset("""ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored
+    promo promotion newsletter subscribe sidebar""".split())
+#: In an article only the headings of parts so named stay.
+HEADER_WORDS = frozenset("header masthead".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that no class or id cuts.
 NEVER_BY_NAME = HEADINGS | {"html", "body", "article", "main"}
@@ -66,46 +76,66 @@ WHOLE_TAGS = frozenset(("article", "main"))
 CONTAINERS = frozenset(("#root", "body", "div", "section", "article", "main"))
 #: Points for a block of at least this many characters; shorter ones earn by length alone.
 LEAST_CHARS = 25
+#: Levels above a block that get points of it.
+ANCESTORS = 8
 SIBLING_SHARE = 0.2
 WHOLE_BONUS = 25.0
 
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 _DECLARATION = re.compile(r"<!\[(?!CDATA\[)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "named", "plain", "points", "chars", "linked", "whole")
+    __slots__ = ("tag", "parent", "kids", "cut", "named", "plain", "points", "chars", "linked", "titles", "whole",
+                 "inside", "holds", "quiet", "p")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.kids, self.cut = tag, parent, [], cut
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.kids, self.cut = tag, parent, [], False
         self.named = self.plain = 0  # cut for a name alone (NAMED, LONG); characters outside links
-        self.points, self.chars, self.linked, self.whole = 0.0, 0, 0, tag in WHOLE_TAGS
+        self.points, self.chars, self.linked, self.titles = 0.0, 0, 0, 0  # titles: characters inside h1
+        self.whole = tag in WHOLE_TAGS
+        self.inside = parent is not None and (parent.inside or parent.whole)
+        self.holds = False  # an article or main
+        self.quiet = False  # only headings in it are text
+        # the open paragraph that a block would end
+        self.p = self if tag == "p" else None if parent is None or tag in P_BORDER else parent.p
 
 
 NAMED, LONG = 1, 2
 
 
-def _name_says(name: str, layout: bool) -> int:
+def _name_says(name: str, layout: bool, by_end: bool) -> int:
     """Whether a class or id names a part beside the text (NAMED), or one that may be longer than it (LONG).
 
     ``has-sidebar``, ``category-social`` and the like describe what holds the part, not the part.
+    ``by_end``: only the last word that says something counts (``social-contract`` is a contract),
+    or a first word that is firm (``ad-300x250``).
     """
     words = [w.lower() for w in _WORDS.findall(name)]
     if DROPPED_WORDS.isdisjoint(words) or words[0] in DESCRIBES:
         return 0
+    if by_end and words[0] not in FIRM_WORDS and next((w for w in reversed(words) if w not in PLAIN_ENDS and not w.isdigit()), "") not in DROPPED_WORDS:
+        return 0
     if layout and len(words) > 1 and "sidebar" in (words[0], words[-1]) and len(DROPPED_WORDS.intersection(words)) == 1:
         return 0
     return LONG if LONG_NAMES.issuperset(words) and not LONG_WORDS.isdisjoint(words) else NAMED
 
 
-def _named(attrs: list) -> int:
+def _named(attrs: list, by_end: bool) -> int:
     """What an element's classes and id say of it."""
     names = [n for k, v in attrs if v and (k == "class" or k == "id") for n in v.split()]
     if not names:
         return 0
     parts = [{w.lower() for w in _WORDS.findall(n)} for n in names]
     layout = any(not LAYOUT_WORDS.isdisjoint(p) and DROPPED_WORDS.isdisjoint(p) for p in parts)
-    return max(_name_says(n, layout) for n in names)
+    return max(_name_says(n, layout, by_end) for n in names)
+
+
+def _is_header(attrs: list) -> bool:
+    """Whether a class or id says that an element is the header of what holds it."""
+    return any(words and words[-1].lower() in HEADER_WORDS for k, v in attrs if v and (k == "class" or k == "id")
+               for words in map(_WORDS.findall, v.split()))
 
 
 def _beside(tag: str, attrs: list) -> bool:
@@ -119,7 +149,7 @@ def _beside(tag: str, attrs: list) -> bool:
             continue
         if k == "role" and v.lower() in DROPPED_ROLES:
             return True
-        if k == "style" and "display:none" in v.replace(" ", "").lower():
+        if k == "style" and _HIDDEN.search(v):
             return True
     return False
 
@@ -131,12 +161,19 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
         self.most_named = 0
+        self.open: Counter[str] = Counter()  # so that nothing is looked for that is not there
+
+    def _up_to(self, node: Node) -> None:
+        """End the open elements inside ``node``."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags, border) -> None:
         n = self.at
-        while n.parent is not None:
+        while n.parent is not None and any(self.open[t] > 0 for t in tags):
             if n.tag in tags:
-                self.at = n.parent
+                self._up_to(n.parent)
                 n = self.at
                 continue
             if n.tag in border:
@@ -144,50 +181,46 @@ class Tree(HTMLParser):
             n = n.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
-            n = self.at
-            while n.parent is not None and n.tag not in P_BORDER:
-                if n.tag == "p":
-                    self.at = n.parent
-                    break
-                n = n.parent
+        if tag in CLOSES_P and self.at.p is not None:
+            self._up_to(self.at.p.parent)
         if tag in CLOSES:
             self._close(CLOSES[tag], BORDERS.get(tag, TABLE_BORDER))
-        node = Node(tag, self.at, _beside(tag, attrs))
+        node = Node(tag, self.at)
+        node.quiet = node.inside and (tag == "header" or tag not in NEVER_BY_NAME and _is_header(attrs))
+        node.cut = not (node.quiet and tag == "header") and _beside(tag, attrs)
         node.whole = node.whole or any(k == "role" and v in WHOLE_TAGS or k == "itemprop" and v == "articleBody"
                                        for k, v in attrs)
         self.at.kids.append(node)
-        named = 0 if node.cut or tag in ("html", "body") else _named(attrs)
+        named = 0 if node.cut or node.quiet or tag in ("html", "body") else _named(attrs, tag == "p" or node.inside)
+        if tag == "form" or any(k == "role" and v == "form" for k, v in attrs):
+            named = max(named, NAMED)
         if named and (not node.whole and tag not in NEVER_BY_NAME
-                      or named == LONG and node.whole and tag != "main" and self._inside_whole()):
+                      or named == LONG and node.whole and tag != "main" and node.inside):
             node.cut, node.named = True, named
             self.most_named = max(self.most_named, named)
         if node.whole and not node.cut and not named:  # what holds an article is no sidebar
             up = self.at
-            while up is not None and not up.whole:
+            while up is not None and not up.whole and not up.holds:
                 if up.tag in ("form", "div", "section", "header"):
                     up.cut = False
-                up = up.parent
+                up.holds, up = True, up.parent
         if tag not in VOID_TAGS:
             self.at = node
-
-    def _inside_whole(self) -> bool:
-        up = self.at
-        while up is not None and not up.whole:
-            up = up.parent
-        return up is not None
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if self.open[tag] <= 0:
+            return
         n = self.at
         while n.parent is not None and n.tag != tag:
             if tag not in BLOCK_TAGS and n.tag in BLOCK_TAGS or n.tag == "table" and tag in ("p", "li"):
                 return
             n = n.parent
         if n.parent is not None:
-            self.at = n.parent
+            self._up_to(n.parent)
 
     def handle_data(self, data):
         self.at.kids.append(data)
@@ -240,11 +273,11 @@ def blocks_of(root: Node) -> list[tuple[str, Node, int]]:
         run.clear()
         linked = 0
 
-    # (node, next kid, nearest block, links around)
-    stack = [[root, 0, root, 0]]
+    # (node, next kid, nearest block, links around, inside an article's header but not in a heading)
+    stack = [[root, 0, root, 0, False]]
     while stack:
         top = stack[-1]
-        node, k, holder, links = top
+        node, k, holder, links, quiet = top
         if k == len(node.kids):
             stack.pop()
             if node is holder:
@@ -253,9 +286,10 @@ def blocks_of(root: Node) -> list[tuple[str, Node, int]]:
         top[1] += 1
         kid = node.kids[k]
         if isinstance(kid, str):
-            run.append(kid)
-            if links:
-                linked += len(kid.strip())
+            if not quiet:
+                run.append(kid)
+                if links:
+                    linked += len(kid.strip())
         elif kid.cut:
             if kid.tag in BLOCK_TAGS:
                 end(holder)
@@ -263,13 +297,23 @@ def blocks_of(root: Node) -> list[tuple[str, Node, int]]:
             run.append(" ")
         elif kid.tag in BLOCK_TAGS:
             end(holder)
-            stack.append([kid, 0, kid, links])
+            stack.append([kid, 0, kid, links, kid.tag not in HEADINGS and (quiet or kid.quiet)])
         else:
-            stack.append([kid, 0, holder, links + (kid.tag == "a")])
+            stack.append([kid, 0, holder, links + (kid.tag == "a"), quiet])
     return out
 
 
-def _score(blocks: list[tuple[str, Node, int]]) -> list[Node]:
+def _uncut(root: Node) -> list[Node]:
+    """The elements that are not cut, parents before their kids."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [kid for kid in node.kids if not isinstance(kid, str) and not kid.cut]
+    return order
+
+
+def _score(root: Node, blocks: list[tuple[str, Node, int]]) -> list[Node]:
     """Passes points up; the nodes that have any, in order of first touch."""
     touched: dict[int, Node] = {}
     for text, holder, linked in blocks:
@@ -283,15 +327,18 @@ def _score(blocks: list[tuple[str, Node, int]]) -> list[Node]:
                 up = up.parent
         elif holder.tag not in CONTAINERS and holder.parent is not None:
             up = holder.parent
-        while up is not None:
+        while up is not None and level < ANCESTORS:
             touched.setdefault(id(up), up)
             up.points += points / (1, 2, 6)[level] if level < 3 else points / (3 * level)
             up, level = up.parent, level + 1
-        up = holder
-        while up is not None:
-            up.chars += n
-            up.linked += linked
-            up = up.parent
+        holder.chars += n
+        holder.linked += linked
+        holder.titles += n if holder.tag == "h1" else 0
+    for node in reversed(_uncut(root)):  # kids before their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+            node.parent.titles += node.titles
     return list(touched.values())
 
 
@@ -307,7 +354,7 @@ def main_text(html: str) -> str:
     def value(n: Node) -> float:
         return (n.points + WHOLE_BONUS * (n.whole and n.chars > 0)) * (1 - n.linked / max(n.chars, 1))
 
-    scored = [n for n in _score(blocks) if n.tag != "html"]
+    scored = [n for n in _score(root, blocks) if n.tag != "html"]
     if any(n.tag == "body" for n in scored):  # a fragment has its root for a body
         scored = [n for n in scored if n is not root]
     nodes = scored or [root]
@@ -318,8 +365,9 @@ def main_text(html: str) -> str:
     kept = {id(whole or best)}
     top = whole or best
     if top.parent is not None:
-        least = SIBLING_SHARE * value(best)
+        least, before = SIBLING_SHARE * value(best), True
         for s in top.parent.kids:
+            before = before and s is not top
             if isinstance(s, str) or s.cut or s.named or s is top:
                 continue
             plain = s.chars > 0 and s.linked < s.chars / 4
@@ -328,16 +376,13 @@ def main_text(html: str) -> str:
             else:
                 more = value(s) >= (least if s.tag == top.tag else max(10.0, least)) or s.tag in (
                     "p", "h1", "h2", "h3")
+            more = more or before and 0 < s.titles == s.chars  # the page's title alone
             if more and plain:
                 kept.add(id(s))
-    out = []
-    for text, holder, _ in blocks:
-        up = holder
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+    for node in _uncut(root):  # what a kept element holds is kept
+        if node.parent is not None and id(node.parent) in kept:
+            kept.add(id(node))
+    return "\n".join(text for text, holder, _ in blocks if id(holder) in kept)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import duckdb
 import pytest
@@ -72,6 +73,41 @@ def test_names_do_not_cut_the_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    # a form around the page, and one beside the text
+    (f"<body><form id='aspnetForm'><div class='content'><p>{PARA}</p><p>{PARA}</p></div><input><button>x</button></form>",
+     f"{PARA}\n{PARA}"),
+    (f"<body><div role=form><p>{PARA}</p><p>{PARA}</p></div>", f"{PARA}\n{PARA}"),
+    (f"<body><form action=search>search here</form><div><p>{PARA}<p>{PARA}</div></body>", f"{PARA}\n{PARA}"),
+    # an article's own title, and one above the text
+    (f"<article><header><h1>Title</h1><p>by me</p></header><p>{PARA}</article>", f"Title\n{PARA}"),
+    (f"<article><header class='entry-header'><div><h2>Title <b>two</b></h2></div>by me</header><p>{PARA}</article>",
+     f"Title two\n{PARA}"),
+    (f"<main><div class='entry-header'><h1>Title</h1><span>by me</span></div><p>{PARA}</main>", f"Title\n{PARA}"),
+    (f"<body><div class='top'><h1>Head</h1></div><div class='body'><p>{PARA}<p>{PARA}</div></body>", f"Head\n{PARA}\n{PARA}"),
+    (f"<body><header><h1>Site</h1></header><article><p>{PARA}</article>", PARA),
+    # a name is what its last word says
+    (f"<main><p class='social-contract'>{PARA}<p class='social-share'>share<p>{PARA}</main>", f"{PARA}\n{PARA}"),
+    (f"<article><p>{PARA}<div class='ad-300x250'>buy</div><div class='post-comments'>{PARA}</div></article>", PARA),
+    (f"<article><p>{PARA}</article><div class='discussion'><div class='reply'><p>{PARA}{PARA}</div></div>", PARA),
+    (f"<div style='visibility: hidden'>x</div><div style='DISPLAY : none'>x</div><p>{PARA}", PARA),
+])
+def test_contract_parts(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x" * 20_000, "<div>x" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<p>y</p>" * 20_000,
+    "<div>" * 20_000 + "<article></article>" * 20_000, "<p><div>" + "<b>" * 20_000 + "<h1>t</h1>" * 20_000,
+    "<div><em>x" * 20_000 + "</section></em>" * 20_000, "<ul><li>" * 20_000, "<form>x<table><tr><td>" * 10_000,
+    "<article>x" * 20_000, f"<p>{PARA}" * 5_000])
+def test_work_grows_with_the_page(page):
+    """Deep and broad pages of some 0.2 MB; by blocks times depth each would take minutes."""
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 12
+
+
 def test_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x"), (2, "v", "<p>" + "long words " * 100_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")

@@ -1,4 +1,6 @@
-from itertools import combinations
+import random
+import time
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,54 @@ def test_mining_against_all_token_sets(spark):
     assert all(r["key"] in r["tokens"] for r in got) and ("a",) in want
 
 
+def test_random_mining_against_all_token_sets(spark):
+    """Equal tokens, tokens of every url, and tokens that block alone are left out without changing a rule."""
+    rng = random.Random(4)
+    for round_ in range(3):
+        rows = []
+        for _ in range(250):
+            t = {"all"} | {x for x in "abcdef" if rng.random() < 0.4}
+            t |= {"a2", "a3"} if "a" in t else set()
+            bad = rng.random() < (0.9 if {"b", "c"} <= t else 0.95 if {"d", "e", "f"} <= t else 0.1)
+            rows.append((int(bad or "p" in t), sorted(t)))
+        rows += [(1, ["all", "p", "b", "q"])] * 30 + [(1, ["all", "p", "d"])] * 20
+        frame = spark.createDataFrame([(t + [U.BLOCK] * b,) for b, t in rows], "items array<string>")
+        got = {}
+        for r in U.mine(frame, support=0.01, least=6, confidence=0.8).collect():
+            for s in product(*r["choices"]):
+                got[tuple(sorted(s))] = round(r["rule_confidence"], 9)
+        want = {s: round(c, 9) for s, c in _mined(rows, 6, 0.8).items()}
+        assert got == want and ("p",) in want and any(len(s) == 3 for s in want) == any(len(s) == 3 for s in got)
+
+
+@pytest.mark.parametrize("all_bad", [True, False])
+def test_long_shared_paths(spark, all_bad):
+    """Thirty path parts that stand together, and thirty that mostly do, are no 2^30 sets."""
+    n = F.col("id")
+    deep = [F.lit(f"path=d{k}") for k in range(30)]
+    loose = [F.when((n + k) % 31 != 0, F.lit(f"path=l{k}")).otherwise(F.lit("path=x")) for k in range(30)]
+    bad = F.when((n < 60) & (F.lit(all_bad) | (n % 2 == 0)), F.array(F.lit(U.BLOCK))).otherwise(F.array().cast("array<string>"))
+    tokens = F.when(n < 30, F.array(F.lit("host=a"), *deep)).when(
+        (n < 60) & F.lit(all_bad), F.array(F.lit("host=a"), *loose)).otherwise(F.array(F.lit("host=a"), F.lit("host=b")))
+    frame = spark.range(3000).select(F.array_distinct(F.concat(tokens, bad)).alias("items"))
+    start = time.time()
+    rules = U.mine(frame, least=12).collect()
+    assert time.time() - start < 60
+    if all_bad:
+        assert {"path=d0"} in [set(r["tokens"]) for r in rules] and len(rules[0]["choices"][0]) >= 1
+        assert any(len(r["choices"][0]) == 30 for r in rules)
+    else:
+        assert rules == []
+
+
+def test_any_of_equal_tokens_matches(spark):
+    urls = spark.createDataFrame([(1, ["a", "x"]), (2, ["a2", "x"]), (3, ["a"]), (4, ["x"]), (5, [])], "_row bigint, tokens array<string>")
+    rules = spark.createDataFrame([("a", ["a", "x"], [["a", "a2"], ["x"]], 2, 0.1, 0.9)],
+                                  "key string, tokens array<string>, choices array<array<string>>, n int, "
+                                  "rule_support double, rule_confidence double")
+    assert {r["_row"]: r["_best"]["mined"] for r in U.matched(urls, rules).collect()} == {1: "a x", 2: "a x"}
+
+
 def test_mined_rule_blocks(spark):
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(
         F.lit("http://"), F.when(F.col("id") % 4 == 0, "pills-win").otherwise("fine"), F.lit(".example.org/en/"),

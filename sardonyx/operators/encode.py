@@ -4,20 +4,28 @@ The vocabulary is a word count over the train split (partial aggregation
 before the shuffle, so a very frequent token costs one row per partition),
 cut to a fixed size: it is bounded by that size and can be broadcast.
 Encoding tokenises the whole text, keeps the first ``max_len - 2`` tokens
-(the encoder's truncation), looks ids up through the broadcast vocabulary
-and regroups the ids per row in position order.
+(the encoder's truncation) and looks their ids up inside the array: the
+vocabulary is one constant, a list of small maps by the token's hash, so no
+token is exploded, shuffled or regrouped.  A vocabulary too large for a
+constant is joined instead, which regroups the ids per row.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sardonyx import config as C
 from sardonyx.functions.text import tokens
+from sardonyx.session import materialize
 
+#: Tokens of a vocabulary that is carried as a constant (a few MB); a larger one is joined.
+CONSTANT_TOKENS = 65_536
+#: Maps in that constant; each holds a handful of tokens, since a map is searched from its start.
+BUCKETS = 1 << 13
 
 #: Leading characters that split a tie of equally frequent tokens.
 PREFIX = 3
@@ -39,6 +47,7 @@ def build_vocabulary(df: DataFrame, text: str = "text", size: int = C.VOCAB_SIZE
     n_words = size - C.FIRST_TOKEN_ID
     counts = (df.select(F.explode(tokens(text)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(counts, "word-counts")   # read by the histogram, the prefixes and the result
     hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
     above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     reachable = (hist.withColumn("_above", F.coalesce(F.sum("_k").over(above), F.lit(0)))
@@ -59,14 +68,49 @@ def build_vocabulary(df: DataFrame, text: str = "text", size: int = C.VOCAB_SIZE
                       .cast("int").alias("token_id"))
 
 
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS))
+
+
+def id_lookup(vocab: DataFrame):
+    """``token -> id`` (NULL if unknown) as a column function over a constant of the whole vocabulary."""
+    maps: list[dict] = [{} for _ in range(BUCKETS)]
+    # at most CONSTANT_TOKENS rows
+    for r in vocab.select(_bucket(F.col("token")).alias("b"), "token", "token_id").collect():
+        maps[r["b"]][r["token"]] = r["token_id"]
+    constant = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), "array<map<string,int>>")
+    return lambda t: F.element_at(F.element_at(constant, (_bucket(t) + 1).cast("int")), t)
+
+
+def _framed(ids: Column, max_len: int) -> tuple[Column, Column]:
+    """``input_ids`` and ``attention_mask`` of at most ``max_len - 2`` token ids."""
+    n = F.size(ids)
+    pad = F.lit(max_len - 2) - n
+    return (F.concat(F.array(F.lit(C.CLS_ID)), ids, F.array(F.lit(C.SEP_ID)), F.array_repeat(F.lit(C.PAD_ID), pad)),
+            F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad)))
+
+
 def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "text",
            max_len: int = C.MAX_SEQ_LENGTH, carry: Sequence[str] = ()) -> DataFrame:
     """``input_ids[max_len]``, ``attention_mask[max_len]``, ``n_tokens`` per row.
 
     ``keys`` identify a row; ``carry`` columns are kept.  Unknown tokens map
-    to UNK; rows without tokens encode as ``[CLS, SEP, PAD...]``.
+    to UNK; rows without tokens (and NULL texts) encode as ``[CLS, SEP, PAD...]``.
     """
     keep = [*keys, *carry]
+    if vocab.limit(CONSTANT_TOKENS + 1).count() > CONSTANT_TOKENS:
+        return _encode_by_join(df, vocab, keep, text, max_len)
+    look_up = id_lookup(vocab)
+    t = df.select(*keep, tokens(text).alias("_toks"))
+    none = F.array().cast("array<int>")
+    ids = F.transform(F.slice("_toks", 1, max_len - 2), lambda x: F.coalesce(look_up(x), F.lit(C.UNK_ID)))
+    t = t.select(*keep, F.size("_toks").alias("n_tokens"), F.coalesce(ids, none).alias("_ids"))
+    input_ids, mask = _framed(F.col("_ids"), max_len)
+    return t.select(*keep, "n_tokens", input_ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def _encode_by_join(df: DataFrame, vocab: DataFrame, keep: Sequence[str], text: str, max_len: int) -> DataFrame:
+    """The encoding by a join of single tokens, for vocabularies of any size."""
     # Tokenise once per row (the array feeds both the count and the explode).  The
     # regroup is keyed by a per-row handle taken in the same map stage (stable on a
     # task retry), so rows with NULL or repeated keys never merge.
@@ -74,18 +118,12 @@ def encode(df: DataFrame, vocab: DataFrame, keys: Sequence[str], text: str = "te
     t = t.select(*keep, "_rid", F.size("_toks").alias("n_tokens"),
                  F.slice("_toks", 1, max_len - 2).alias("_kept"))
     d = t.select(*keep, "_rid", "n_tokens", F.posexplode_outer("_kept").alias("pos", "token"))
-    # any vocabulary may be given, so the planner decides by its size (ours, of VOCAB_SIZE rows, is broadcast)
     j = d.join(vocab.select("token", "token_id"), "token", "left")
     pair = F.when(F.col("pos").isNotNull(),
                   F.struct("pos", F.coalesce("token_id", F.lit(C.UNK_ID)).alias("id")))
     g = j.groupBy("_rid").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"),
                               *[F.first(c).alias(c) for c in [*keep, "n_tokens"]])
-    ids = F.col("_pairs.id")   # field of every struct, in position order
-    n = F.size("_pairs")
-    pad = F.lit(max_len - 2) - n
-    input_ids = F.concat(F.array(F.lit(C.CLS_ID)), ids, F.array(F.lit(C.SEP_ID)),
-                         F.array_repeat(F.lit(C.PAD_ID), pad))
-    mask = F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad))
+    input_ids, mask = _framed(F.col("_pairs.id"), max_len)   # field of every struct, in position order
     return g.select(*keep, "n_tokens", input_ids.alias("input_ids"), mask.alias("attention_mask"))
 
 

@@ -160,7 +160,9 @@ def class_cap(df: DataFrame, label: str, max_samples: int | None = None,
         return sizes.select(label, F.least(F.col("n"), F.lit(per_class)).alias("_quota"))
 
     if unique_keys:
-        cuts = cutoff_keys(df, label, quota, ["_quota"], key, elig)
+        # what feeds the rows (a join, text rules) runs once for the passes over the keys
+        keys = df.filter(elig).select(label, key)
+        cuts = cutoff_keys(materialize(keys, "cap-keys") if materialize_input else keys, label, quota, ["_quota"], key)
         flag = elig & F.coalesce(F.col(key) < F.col("_cut__quota"), F.lit(False))
         return df.join(cuts, label, "left").withColumn(out, flag).select(*df.columns, out)
     ranked = two_level_rank(df, [label], key, "_cap_rank", elig, per_stratum=quota,

@@ -75,6 +75,21 @@ def test_encoding_shapes(spark):
     assert set(v.values()) == {0}
 
 
+def test_encoding_without_a_shuffle_equals_the_join(spark, monkeypatch):
+    from sardonyx.operators import encode as EN
+    texts = ["a b c", None, "", "été ÜBER 中文 x1", 'quote " back\\slash', "a " * 200, "unknown words only"]
+    df = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts * 3)], "id bigint, text string").repartition(4)
+    vocab = build_vocabulary(spark.createDataFrame([("a b c été über 中文 x1 quote back slash " + " ".join(f"w{i}" for i in range(3000)),)],
+                                                   "text string"))
+    plan = encode(df, vocab, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition above
+    fast = sorted(map(repr, encode(df, vocab, ["id"]).collect()))
+    monkeypatch.setattr(EN, "CONSTANT_TOKENS", 100)
+    joined = encode(df, vocab, ["id"])
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert fast == sorted(map(repr, joined.collect())) and len(fast) == 21
+
+
 def test_vocabulary_order(spark):
     df = spark.createDataFrame([("b a a c c",)], "text string")
     got = [(r["token"], r["token_id"]) for r in build_vocabulary(df).orderBy("token_id").collect()]

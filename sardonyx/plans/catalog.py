@@ -727,12 +727,55 @@ SELECT conv_id, turn, {O.strip('text')} AS text, TRUE AS equals_batch FROM conve
 WHERE lower({O.strip('text')}) <> '{C.STOP_WORD}' AND length({O.strip('text')}) >= {C.MIN_PROMPT_CHARS}""")
 def score_stream_checks_q(spark, sf_dir):
     """The rows that pass the guard, each compared with its batch record."""
+    return _compared(spark, sf_dir, score_stream_q(spark, sf_dir), T.table(spark, sf_dir, "conversations"))
+
+
+def _compared(spark, sf_dir, stream: DataFrame, rows: DataFrame) -> DataFrame:
+    """Streamed records, each compared with the record of the same row scored as a batch."""
     from sardonyx.plans.training import score
-    stream = score_stream_q(spark, sf_dir)
-    batch = score(best_model(spark, sf_dir), S.prompt_guard(T.table(spark, sf_dir, "conversations"), "text"),
-                  keep=["conv_id", "turn", "text"])
+    batch = score(best_model(spark, sf_dir), S.prompt_guard(rows, "text"), keep=["conv_id", "turn", "text"])
     fields = ["sarcasm_score", "is_sarcastic", "domain", "domain_confidence"]
     b = batch.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("text").alias("_x"),
                      F.struct(*fields).alias("_b"))
     j = stream.join(b, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")) & (F.col("text") == F.col("_x")), "left")
     return j.select("conv_id", "turn", "text", F.coalesce(F.struct(*fields) == F.col("_b"), F.lit(False)).alias("equals_batch"))
+
+
+def _with_stops(spark, sf_dir) -> DataFrame:
+    """The conversations in which one row of sixteen (by md5) says the stop word."""
+    conv = T.table(spark, sf_dir, "conversations")
+    digit = F.substring(F.md5(F.concat_ws(":", "conv_id", "turn")), 1, 1)
+    return conv.withColumn("text", F.when(digit == "0", F.lit(f" {C.STOP_WORD.title()} ")).otherwise(F.col("text")))
+
+
+_STOPS_SQL = f"""
+WITH said AS (SELECT conv_id, turn, CASE WHEN substr(md5(conv_id || ':' || turn), 1, 1) = '0'
+                     THEN ' {C.STOP_WORD.title()} ' ELSE text END AS text FROM conversations),
+open AS (SELECT *, min(CASE WHEN lower({O.strip('text')}) = '{C.STOP_WORD}' THEN turn END)
+                OVER (PARTITION BY conv_id) AS ended FROM said)"""
+
+
+@register("open_sessions", _STOPS_SQL + """
+SELECT conv_id, turn, role, text FROM open JOIN conversations USING (conv_id, turn) WHERE ended IS NULL OR turn < ended"""
+          .replace("text FROM open", "open.text AS text FROM open"))
+def open_sessions_q(spark, sf_dir):
+    """P14 on a table: the rows before their conversation's stop word."""
+    from sardonyx.streaming.sessions import open_rows
+    return open_rows(_with_stops(spark, sf_dir)).select("conv_id", "turn", "role", "text")
+
+
+@register("score_stream_sessions", _STOPS_SQL + f"""
+SELECT conv_id, turn, {O.strip('text')} AS text, TRUE AS equals_batch FROM open
+WHERE (ended IS NULL OR turn < ended) AND length({O.strip('text')}) >= {C.MIN_PROMPT_CHARS}""")
+def score_stream_sessions_q(spark, sf_dir):
+    """P14 + I9: turns arrive in several micro-batches; what follows a stop word is not scored, and every
+    scored row is compared with its batch record."""
+    from sardonyx.streaming.scoring import run_available
+    source = scratch_dir(spark, "said")
+    rows = _with_stops(spark, sf_dir)
+    for k, part in enumerate((F.col("turn") < 2, F.col("turn").between(2, 4), F.col("turn") > 4)):
+        # files are taken in the order of their times; a conversation's turns of one part are in one file
+        rows.where(part).repartition("conv_id").write.parquet(f"{source}/{k}")
+    stream = run_available(spark, f"{source}/*", _CONV_SCHEMA, best_model(spark, sf_dir), keep=["conv_id", "turn", "text"],
+                           session="conv_id", max_files_per_trigger=4)
+    return _compared(spark, sf_dir, stream, rows)

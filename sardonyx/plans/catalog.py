@@ -7,9 +7,11 @@ rounded to 6 decimals on both sides (reduction order can change last bits).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sardonyx import config as C
@@ -28,6 +30,7 @@ from sardonyx.plans import oracle as O
 from sardonyx.plans.corpus import (corpus, flag_forum, flag_headlines, flagged_corpus,
                                    stage_counts)
 from sardonyx.plans.epochs import logit_path_history
+from sardonyx.plans.training import RANK
 from sardonyx.session import folder_mark, materialize, path_exists, scratch_dir, scratch_scope, write_table
 from sardonyx.sources import files as FS
 from sardonyx.sources import testbed as T
@@ -779,3 +782,114 @@ def score_stream_sessions_q(spark, sf_dir):
     stream = run_available(spark, f"{source}/*", _CONV_SCHEMA, best_model(spark, sf_dir), keep=["conv_id", "turn", "text"],
                            session="conv_id", max_files_per_trigger=4)
     return _compared(spark, sf_dir, stream, rows)
+
+
+# ---------------------------------------------------------------------------
+# What must hold of training, the shared vector, the saved model and the evaluation
+# ---------------------------------------------------------------------------
+
+@register("training_invariants", f"""
+SELECT CAST(e AS INTEGER) AS epoch, TRUE AS loss_falls, TRUE AS in_range, TRUE AS best_is_first_maximum,
+       TRUE AS hidden_weights FROM range(1, {C.NUM_EPOCHS} + 1) AS t(e)""")
+def training_invariants_q(spark, sf_dir):
+    """G1 + G4: an epoch goes on from the last one's weights, so the train loss falls; the saved epoch is the
+    first with the best validation F1; both heads have a hidden layer of 256."""
+    r = trained(spark, sf_dir)
+    s, d = (len(m.weights) for m in r.model.stages[-2:])
+    width = r.model.stages[-3].getK()
+    hidden = (s, d) == tuple((width + 1) * C.HEAD_HIDDEN + (C.HEAD_HIDDEN + 1) * n for n in (2, len(C.DOMAIN_LABELS)))
+    h = r.history.withColumn("_one", F.lit(1))   # one row per epoch
+    before = Window.partitionBy("_one").orderBy("epoch")
+    shares = [F.col(c).between(0, 1) for c in ("train_acc", "train_f1", "val_acc", "val_f1")]
+    best = F.max("val_f1").over(Window.partitionBy("_one"))
+    ahead = F.coalesce(F.max("val_f1").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # the log is rounded to 4 decimals: a later epoch with the same rounded F1 may be the one saved
+    first = (F.col("epoch") != F.lit(r.best_epoch)) | ((F.col("val_f1") == best) & (ahead <= best))
+    return h.select(
+        "epoch", (F.col("train_loss") <= F.coalesce(F.lag("train_loss").over(before), F.lit(1e9)) + 0.01).alias("loss_falls"),
+        reduce(lambda a, b: a & b, shares).alias("in_range"), first.alias("best_is_first_maximum"),
+        F.lit(hidden).alias("hidden_weights"))
+
+
+@register("reload_checks", O.with_corpus(
+    "SELECT origin, row_id, TRUE AS equals_memory FROM corpus WHERE split = 'test'"))
+def reload_checks_q(spark, sf_dir):
+    """S6 + S7: the published model, read again, gives every test row the record of the one in memory."""
+    from sardonyx.plans.training import load_model, score
+    r = trained(spark, sf_dir)
+    rows = labelled_corpus(spark, sf_dir).filter(F.col("split") == "test").select("origin", "row_id", "text")
+    fields = ["sarcasm_score", "is_sarcastic", "domain", "domain_confidence"]
+    memory, saved = (score(m, rows, keep=["origin", "row_id"]).select("origin", "row_id", F.struct(*fields).alias(n))
+                     for m, n in ((r.model, "a"), (load_model(r.model_path), "b")))
+    return memory.join(saved, ["origin", "row_id"], "left").select(
+        "origin", "row_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("equals_memory"))
+
+
+@register("shared_vector_checks", O.with_corpus(f"""
+SELECT origin, row_id, {RANK} AS width, TRUE AS finite, TRUE AS no_longer FROM corpus"""))
+def shared_vector_checks_q(spark, sf_dir):
+    """T5: every text's dense vector; as a projection it is no longer than the TF-IDF row (of length 1)."""
+    from pyspark.ml.functions import vector_to_array
+    stages = trained(spark, sf_dir).model.stages[:-2]
+    rows = labelled_corpus(spark, sf_dir).select("origin", "row_id", F.coalesce("text", F.lit("")).alias("text"))
+    for stage in stages:
+        rows = stage.transform(rows)
+    columns = stages[-1].pc.toArray()   # V, each component stretched to a mean square of 1
+    stretch = [float(x) for x in (columns ** 2).sum(axis=0)]
+    z = vector_to_array("features")
+    length = sum((z[k] * z[k] / s for k, s in enumerate(stretch) if s > 0), F.lit(0.0))
+    return rows.select("origin", "row_id", F.size(z).alias("width"),
+                       F.forall(z, lambda x: ~F.isnan(x) & (F.abs(x) < 1e9)).alias("finite"),
+                       (length <= 1.0 + 1e-6).alias("no_longer"))
+
+
+@register("evaluation_checks", f"""
+SELECT name, TRUE AS agrees FROM (VALUES ('accuracy'), ('f1_weighted'), ('recall'), ('mean_domain_accuracy'),
+  ('histogram_rows'), ('confusion_rows'), ('report_accuracy')) AS t(name)""")
+def evaluation_checks_q(spark, sf_dir):
+    """G5 + G6: values of both evaluations against plain SQL over the same written scored table."""
+    scored = materialize_small(_test_scored(spark, sf_dir))
+    full, final = EV.full_evaluation(scored, trained(spark, sf_dir).history), EV.final_test(scored)
+    view = f"scored_{uuid.uuid4().hex[:8]}"
+    scored.createOrReplaceTempView(view)
+    plain = spark.sql(f"""
+        WITH s AS (SELECT *, cast(score > 0.5 AS int) AS p FROM {view}),
+        c AS (SELECT k, count_if(label = k AND p = k) AS hit, count_if(label = k) AS sup, count_if(p = k) AS said
+              FROM s LATERAL VIEW explode(array(0, 1)) e AS k GROUP BY k)
+        SELECT 'accuracy' AS name, avg(cast(label = p AS double)) AS value FROM s
+        UNION ALL SELECT 'f1_weighted', sum(sup * CASE WHEN sup + said = 0 THEN 0 ELSE 2.0D * hit / (sup + said) END) / sum(sup) FROM c
+        UNION ALL SELECT 'recall', count_if(label = 1 AND p = 1) / cast(count_if(label = 1) AS double) FROM s
+        UNION ALL SELECT 'report_accuracy', count_if(label = p) / cast(count(*) AS double) FROM s
+        UNION ALL SELECT 'mean_domain_accuracy', avg(a) FROM (
+            SELECT coalesce(avg(cast(label = p AS double)), 0) AS a FROM range({len(C.DOMAIN_LABELS)}) d LEFT JOIN s ON s.domain_idx = d.id GROUP BY d.id)
+        UNION ALL SELECT 'histogram_rows', count(*) FROM s UNION ALL SELECT 'confusion_rows', count(*) FROM s""")
+    at = {"accuracy": (full, "overall", "all", "accuracy"), "f1_weighted": (final, "overall", "all", "f1_weighted"),
+          "recall": (full, "report", C.CLASS_NAMES[1], "recall"), "report_accuracy": (final, "report", "accuracy", "f1_score"),
+          "mean_domain_accuracy": (full, "domain_mean", "all", "mean_accuracy"),
+          "histogram_rows": (full, "histogram", None, "n"), "confusion_rows": (full, "confusion", None, "n")}
+    said = reduce(DataFrame.unionByName, [
+        rows.filter((F.col("section") == section) & (F.col("metric") == metric)
+                    & (F.lit(row is None) | (F.col("name") == F.lit(row))))
+        .agg(F.sum("value").alias("said")).select(F.lit(name).alias("name"), "said")
+        for name, (rows, section, row, metric) in at.items()])
+    return plain.join(said, "name", "left").select(
+        "name", F.coalesce(F.abs(F.col("value") - F.col("said")) < 2e-6, F.lit(False)).alias("agrees"))
+
+
+_FIRST_TEXT = "conv_id, turn"
+
+
+@register("predict_one", f"""
+SELECT conv_id, turn, {len(C.DOMAIN_LABELS)} AS n_domains, TRUE AS equals_batch FROM conversations
+ORDER BY {_FIRST_TEXT} LIMIT 1""")
+def predict_one_q(spark, sf_dir):
+    """The one-text call, for the first turn of the first conversation, against its batch record."""
+    from sardonyx.plans.training import predict
+    row = T.table(spark, sf_dir, "conversations").orderBy(*_FIRST_TEXT.split(", ")).first()
+    if row is None:
+        return spark.createDataFrame([], "conv_id bigint, turn bigint, n_domains int, equals_batch boolean")
+    said = predict(best_model(spark, sf_dir), spark, row["text"])
+    known = score_batch_q(spark, sf_dir).filter((F.col("conv_id") == row["conv_id"]) & (F.col("turn") == row["turn"]))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.lit(said[k]) for k in (
+        "sarcasm_score", "is_sarcastic", "domain", "domain_confidence")])
+    return known.select("conv_id", "turn", F.lit(len(said["all_domain_scores"])).alias("n_domains"), same.alias("equals_batch"))

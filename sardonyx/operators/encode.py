@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sardonyx import config as C
@@ -26,6 +26,8 @@ from sardonyx.session import materialize
 CONSTANT_TOKENS = 65_536
 #: Maps in that constant; each holds a handful of tokens, since a map is searched from its start.
 BUCKETS = 1 << 13
+#: Characters of a sub-word piece at most; longer ones of a vocabulary are not matched.
+PIECE_CHARS = 16
 
 #: Leading characters that split a tie of equally frequent tokens.
 PREFIX = 3
@@ -82,11 +84,68 @@ def id_lookup(vocab: DataFrame):
     return lambda t: F.element_at(F.element_at(constant, (_bucket(t) + 1).cast("int")), t)
 
 
-def _framed(ids: Column, max_len: int) -> tuple[Column, Column]:
+def tokenizer_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``token, token_id`` of a public tokenizer's JSON file (``model.vocab``), read by Spark."""
+    vocab = F.from_json(F.get_json_object("value", "$.model.vocab"), "map<string,int>")
+    return spark.read.text(path, wholetext=True).select(F.explode(vocab).alias("token", "token_id"))
+
+
+def word_pieces(word: Column, look_up, unknown: int, continued: str = "", end: str = "",
+                longest: int = PIECE_CHARS) -> Column:
+    """The ids of a word's pieces, the longest match first from the left; ``[unknown]`` if some rest has none.
+
+    ``continued`` stands before a piece that does not start its word in the vocabulary (``##``),
+    ``end`` after one that ends it (``</w>``).
+    """
+    size = F.length(word)
+
+    def at(state: Column, i: Column) -> Column:
+        """At the place where a piece must start, the longest one there."""
+        def longer(found: Column, back: Column) -> Column:
+            n = F.least(F.lit(longest), size - i + 1) - back   # lengths from the longest down
+            text = F.concat(F.when(i > 1, continued).otherwise(""), F.substring(word, i, n),
+                            F.when(i + n > size, end).otherwise(""))
+            there = F.struct(n.alias("n"), look_up(text).alias("id"))
+            return F.when((found["n"] == 0) & (n > 0) & there["id"].isNotNull(), there).otherwise(found)
+        none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("id"))
+        piece = F.aggregate(F.sequence(F.lit(0), F.lit(longest - 1)), none, longer)
+        step = F.struct((i + piece["n"]).cast("int").alias("next"), (state["bad"] | (piece["n"] == 0)).alias("bad"),
+                        F.concat(state["ids"], F.array(piece["id"])).alias("ids"))
+        return F.when((state["next"] == i) & ~state["bad"], step).otherwise(state)
+
+    start = F.struct(F.lit(1).alias("next"), F.lit(False).alias("bad"), F.array().cast("array<int>").alias("ids"))
+    whole = F.array(F.lit(unknown))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), start, at,
+                       lambda s: F.when(s["bad"], whole).otherwise(s["ids"]))
+
+
+def encode_pieces(df: DataFrame, pieces: DataFrame, keys: Sequence[str], text: str = "text",
+                  max_len: int = C.MAX_SEQ_LENGTH, carry: Sequence[str] = (), continued: str = "", end: str = "",
+                  unknown: int = 0, first: int = 0, last: int = 0, pad: int = 0) -> DataFrame:
+    """T1-T4 in sub-words: ``input_ids[max_len]`` and ``attention_mask[max_len]`` over a given vocabulary.
+
+    The words are those of the corpus vocabulary; a row's ids are the pieces of its words up to
+    ``max_len - 2``, between ``first`` and ``last``.  The pieces must fit a constant.
+    """
+    if pieces.limit(CONSTANT_TOKENS + 1).count() > CONSTANT_TOKENS:
+        raise ValueError(f"more than {CONSTANT_TOKENS} pieces do not fit a constant")
+    look_up = id_lookup(pieces)
+    room = max_len - 2
+    # every word has a piece at least, so the first ``room`` words hold the first ``room`` pieces
+    words = F.slice(F.coalesce(tokens(text), F.array().cast("array<string>")), 1, room)
+    t = df.select(*keys, *carry, words.alias("_words"))
+    ids = F.flatten(F.transform("_words", lambda w: word_pieces(w, look_up, unknown, continued, end)))
+    t = t.select(*keys, *carry, F.slice(ids, 1, room).alias("_ids"))
+    input_ids, mask = _framed(F.col("_ids"), max_len, first, last, pad)
+    return t.select(*keys, *carry, input_ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def _framed(ids: Column, max_len: int, first: int = C.CLS_ID, last: int = C.SEP_ID,
+            fill: int = C.PAD_ID) -> tuple[Column, Column]:
     """``input_ids`` and ``attention_mask`` of at most ``max_len - 2`` token ids."""
     n = F.size(ids)
     pad = F.lit(max_len - 2) - n
-    return (F.concat(F.array(F.lit(C.CLS_ID)), ids, F.array(F.lit(C.SEP_ID)), F.array_repeat(F.lit(C.PAD_ID), pad)),
+    return (F.concat(F.array(F.lit(first)), ids, F.array(F.lit(last)), F.array_repeat(F.lit(fill), pad)),
             F.concat(F.array_repeat(F.lit(1), n + 2), F.array_repeat(F.lit(0), pad)))
 
 

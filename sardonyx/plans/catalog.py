@@ -893,3 +893,29 @@ def predict_one_q(spark, sf_dir):
     same = reduce(lambda a, b: a & b, [F.col(k) == F.lit(said[k]) for k in (
         "sarcasm_score", "is_sarcastic", "domain", "domain_confidence")])
     return known.select("conv_id", "turn", F.lit(len(said["all_domain_scores"])).alias("n_domains"), same.alias("equals_batch"))
+
+
+@register("score_in_order", f"""
+SELECT conv_id, turn, row_number() OVER () - 1 AS position, {len(C.DOMAIN_LABELS)} AS n_domains FROM conversations""")
+def score_in_order_q(spark, sf_dir):
+    """I8: batch records with the place of their text in the input."""
+    from sardonyx.plans.training import score
+    from sardonyx.sources.positions import read_in_order
+    conv = read_in_order(spark, f"{sf_dir}/conversations.parquet")
+    s = score(best_model(spark, sf_dir), conv, keep=["conv_id", "turn", "position"])
+    return s.select("conv_id", "turn", "position", F.size("all_domain_scores").alias("n_domains"))
+
+
+#: A public vocabulary of 49,408 pieces with word ends; ids of its start and end tokens.
+PIECES, PIECES_END, PIECES_FIRST, PIECES_LAST = "word_bpe_49k.json", "</w>", 49406, 49407
+
+
+@register("subword_sequences")
+def subword_sequences_q(spark, sf_dir):
+    """T1-T4 in sub-words of a public vocabulary, longest match first, over the whole corpus."""
+    import public_tokenizers
+    pieces = EN.tokenizer_pieces(spark, public_tokenizers.path(PIECES))
+    e = EN.encode_pieces(labelled_corpus(spark, sf_dir), pieces, ["origin", "row_id"], carry=["split"], end=PIECES_END,
+                         unknown=PIECES_LAST, first=PIECES_FIRST, last=PIECES_LAST, pad=PIECES_LAST)
+    return e.select("origin", "row_id", "split", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("attention_mask", ",").alias("attention_mask"))

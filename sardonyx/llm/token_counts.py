@@ -6,8 +6,9 @@
 2. Every document's pre-token frequencies meet that table.  The most frequent
    pieces (at most ``HEAD_PIECES`` of at most ``HEAD_CHARS`` characters, so a
    few MB whatever the corpus) are broadcast and summed where the text is
-   read: no piece so frequent that it would be a hot join key is shuffled.
-   The other frequencies are joined by piece and summed per document.
+   read, and so are the MD5 sums of the ``HEAD_LONG`` most frequent longer ones
+   (separator lines): no piece so frequent that it would be a hot join key is
+   shuffled.  The other frequencies are joined by piece and summed per document.
 
 Nothing holds the ids of a text.  Defined results: a NULL or empty text has 0
 bytes and 0 tokens; rows that repeat an id are counted as rows of their own;
@@ -17,6 +18,7 @@ other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import md5
 from itertools import compress, repeat
 from operator import not_
 
@@ -29,6 +31,7 @@ from sardonyx.llm.common import PieceLists, arrow_map, stored, texts_of, with_ro
 
 HEAD_PIECES = 131_072
 HEAD_CHARS = 64
+HEAD_LONG = 16_384
 #: A task hands partial counts on when it holds this many distinct pieces.
 FLUSH_PIECES = 150_000
 
@@ -71,19 +74,39 @@ def with_token_counts(pieces: DataFrame, tokenizer_json: str) -> DataFrame:
     return arrow_map(pieces.select("piece", "n"), ask, "piece string, n bigint, k bigint")
 
 
-def frequent_pieces(pieces: DataFrame, most: int = HEAD_PIECES) -> DataFrame:
-    """The pieces above a count level that at most ``most`` short pieces reach."""
-    short = pieces.where(F.length("piece") <= HEAD_CHARS)
+def _above_level(pieces: DataFrame, most: int) -> DataFrame:
+    """The pieces above a count level that at most ``most`` of them reach."""
     level = F.floor(F.log2("n") * 8).cast("int")
     # at most 8 x 63 levels
-    sizes = short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    sizes = pieces.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
     total, lowest = 0, 1 << 30
     for r in sizes:
         total += r["count"]
         if total > most:
             break
         lowest = r["level"]
-    return short.where(level >= lowest)
+    return pieces.where(level >= lowest)
+
+
+def frequent_pieces(pieces: DataFrame, most: int = HEAD_PIECES) -> DataFrame:
+    """The most frequent of the short pieces, ``most`` at most."""
+    return _above_level(pieces.where(F.length("piece") <= HEAD_CHARS), most)
+
+
+def frequent_long(pieces: DataFrame, value: str, most: int = HEAD_LONG) -> dict[bytes, int]:
+    """``value`` of the most frequent of the longer pieces by their MD5 sum, ``most`` at most."""
+    long = _above_level(pieces.where(F.length("piece") > HEAD_CHARS), most)
+    return {bytes(r["h"]): r["v"] for r in long.select(F.unhex(F.md5("piece")).alias("h"), F.col(value).alias("v")).collect()}
+
+
+def take_long(tail: Counter, known: dict[bytes, int]) -> list[tuple[int, int]]:
+    """Take the frequent long pieces out of a document's other pieces: their times and values."""
+    out = []
+    for p in [p for p in tail if len(p) > HEAD_CHARS] if known else ():
+        v = known.get(md5(p if isinstance(p, bytes) else p.encode()).digest())
+        if v is not None:
+            out.append((tail.pop(p), v))
+    return out
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, head_pieces: int = HEAD_PIECES) -> DataFrame:
@@ -91,7 +114,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, head_pieces: int = HEAD_P
     pieces = stored(with_token_counts(piece_counts(docs, tokenizer_json), tokenizer_json), "pieces")
     head = {r["piece"]: r["k"] for r in frequent_pieces(pieces, head_pieces).select("piece", "k").collect()}
     sc = docs.sparkSession.sparkContext
-    box, heads = sc.broadcast(tokenizer_json), sc.broadcast(head)
+    box, heads, longs = sc.broadcast(tokenizer_json), sc.broadcast(head), sc.broadcast(frequent_long(pieces, "k"))
 
     def split(batches):
         enc, known = encoder(box.value), heads.value
@@ -100,9 +123,10 @@ def token_counts(docs: DataFrame, tokenizer_json: str, head_pieces: int = HEAD_P
             for text in texts_of(b):
                 got = enc.pieces(text.decode())
                 found = list(map(known.get, got, repeat(0)))
+                tail = Counter(compress(got, map(not_, found)))
                 n_bytes.append(len(text))
-                n_head.append(sum(found))
-                tails.add(Counter(compress(got, map(not_, found))))
+                n_head.append(sum(found) + sum(m * k for m, k in take_long(tail, longs.value)))
+                tails.add(tail)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_bytes, pa.int64()), pa.array(n_head, pa.int64()),
                  tails.array(pa.string())], ["_row", "doc_id", "n_bytes", "n_head", "tail"])

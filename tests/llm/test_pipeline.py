@@ -63,5 +63,5 @@ def test_stages_return_the_columns_of_documents(spark):
 
 
 def test_every_operator_has_a_query():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5

@@ -116,3 +116,21 @@ def test_cluster_conf_sizes_partitions_to_input():
     assert conf["spark.sql.adaptive.enabled"] == "true"
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert int(cluster_conf(10)["spark.sql.shuffle.partitions"]) == 200   # floor for small inputs
+
+
+@pytest.mark.parametrize("flag", [stratified_split, lambda d, **a: class_cap(d, "label", 20, **a)])
+def test_rows_of_a_class_stay_in_their_partitions(spark, tmp_path, flag):
+    """The cut-off keys go to the rows: no class is gathered in one task, whatever the planner's estimates."""
+    _frame(spark, 60, 0, parts=4).write.parquet(str(tmp_path / "rows"))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        rows = spark.read.parquet(str(tmp_path / "rows"))
+        parts = rows.rdd.getNumPartitions()
+        out = flag(rows, materialize_input=False).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert parts > 1 and len(out) == 60 and len({r["p"] for r in out}) == parts

@@ -66,3 +66,25 @@ def test_whole_table(spark):
         ids = [x for w in r["w"][:126] for x in plain(w, vocab, catalog.PIECES_LAST, "", catalog.PIECES_END)][:126]
         want = [catalog.PIECES_FIRST, *ids, catalog.PIECES_LAST]
         assert got[r["origin"], r["row_id"]] == ",".join(map(str, want + [catalog.PIECES_LAST] * (128 - len(want))))
+
+
+def test_lists_are_cut_as_whole_columns():
+    """A batch's distinct words are cut once; lists of no words, sliced batches and empty batches hold their place."""
+    import pyarrow as pa
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, piece):
+            Counted.asked += 1
+            return super().get(piece)
+
+    class Box:
+        value = Counted({"a": 1, "b": 2, "a</w>": 3, "ab</w>": 4})
+
+    cut = EN.piece_cutter(Box, 3, 9, end="</w>")
+    words = pa.array([["ab"], [], ["ba", "x", "aab", "ab"], ["a", ""]] + [["ab"] * 50] * 100, pa.list_(pa.string()))
+    assert cut(words).to_pylist() == [[4], [], [2, 3, 9], [3, 9]] + [[4, 4, 4]] * 100
+    assert Counted.asked < 20
+    assert cut(words.slice(2, 2)).to_pylist() == [[2, 3, 9], [3, 9]]
+    assert cut(words.slice(1, 1)).to_pylist() == [[]] and cut(words.slice(0, 0)).to_pylist() == []

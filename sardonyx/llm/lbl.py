@@ -63,11 +63,11 @@ class LogBilinear:
         self.params, self.mixed = p, None
 
     def _levels(self, y: np.ndarray):
-        """Class of each output id, and the rows of each class in turn."""
+        """Class of each output id, the rows in the order of their classes, and each class's part of them."""
         cls = np.where(y < self.n_out, y // CLASS_WORDS, self.classes)
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # a radix sort
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        return cls, [(c, order[a:b]) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        return cls, order, [(c, a, b) for c, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if b > a]
 
     def contexts(self, x: np.ndarray) -> np.ndarray:
         """Context vectors, from the words' vectors at each place (mixed once for all of the vocabulary)."""
@@ -78,13 +78,16 @@ class LogBilinear:
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probabilities; ``x`` (n, CONTEXT) context ids, ``y`` output ids (n_out or more: other)."""
         p, q = self.params, self.contexts(x)
-        cls, groups = self._levels(y)
+        cls, order, groups = self._levels(y)
         out = _log_softmax_at(q @ p["top"].T, p["top_bias"], cls)
-        for c, rows in groups:
-            s, bias = q[rows] @ p["out"][c].T, p["out_bias"][c]
+        q, y = q.take(order, axis=0), y.take(order)
+        within = np.zeros(len(y))
+        for c, a, b in groups:
+            s, bias = q[a:b] @ p["out"][c].T, p["out_bias"][c]
             if (c + 1) * CLASS_WORDS > self.n_out:
                 s, bias = s[:, :self.n_out - c * CLASS_WORDS], bias[:self.n_out - c * CLASS_WORDS]
-            out[rows] += _log_softmax_at(s, bias, y[rows] - c * CLASS_WORDS)
+            within[a:b] = _log_softmax_at(s, bias, y[a:b] - c * CLASS_WORDS)
+        out[order] += within
         return out
 
     def trainer(self, seed: int) -> Trainer:
@@ -96,7 +99,21 @@ def _log_softmax_at(s: np.ndarray, bias: np.ndarray, y: np.ndarray) -> np.ndarra
     if s.size and s.max() > 80:  # else nothing overflows and one pass less is needed
         s -= s.max(axis=1, keepdims=True)
     at = s[np.arange(len(y)), y]
-    return (at - np.log(np.exp(s, out=s).sum(axis=1))).astype(np.float64)
+    return (at - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))).astype(np.float64)
+
+
+def _blocks(groups: list) -> list[list]:
+    """Neighbouring classes of similar numbers of rows, so that filling them up adds few rows."""
+    out, most, total = [], 0, 0
+    for g in groups:
+        n = g[2] - g[1]
+        if out and max(most, n) * (len(out[-1]) + 1) <= 1.5 * (total + n) + 64:
+            out[-1].append(g)
+            most, total = max(most, n), total + n
+        else:
+            out.append([g])
+            most, total = n, n
+    return out
 
 
 class Trainer:
@@ -107,7 +124,7 @@ class Trainer:
         self.params = {k: v.copy() for k, v in model.params.items()}
         self.seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in self.params.items()}
         self.top_noise = self._noise(model.top_noise)
-        self.out_noise = [self._noise(x) for x in model.out_noise]
+        self.out_noise = [np.stack(x) for x in zip(*map(self._noise, model.out_noise))]
 
     @staticmethod
     def _noise(logs):
@@ -121,33 +138,62 @@ class Trainer:
         weight = (self.rng.multinomial(DRAWS, share) * (NOISE / DRAWS)).astype(np.float32)
         near = q @ r.T  # in place from here: scores, minus log odds, probability of data
         np.subtract(shift - b, near, out=near)
-        np.exp(np.clip(near, -30, 30, out=near), out=near)
+        np.exp(np.minimum(near, 30, out=near), out=near)
         near += 1
         np.reciprocal(near, out=near)
-        rows = np.arange(len(y))
-        at_target = near[rows, y]
+        flat, at = near.reshape(-1), np.arange(0, near.size, near.shape[1]) + y  # the targets' places
+        beyond = flat.take(at) - 1
         g = np.multiply(near, weight, out=near)
-        g[rows, y] += at_target - 1
-        return g @ r, g.T @ q, g.sum(axis=0)
+        flat[at] += beyond
+        return g @ r, g.T @ q, np.ones(len(y), np.float32) @ g
+
+    def _nce_block(self, q, y, groups):
+        """``_nce`` of neighbouring classes at once: their rows stand below each other, filled up to the largest."""
+        of = [c for c, _, _ in groups]
+        size = np.array([b - a for _, a, b in groups])
+        real = np.arange(size.max()) < size[:, None]
+        place = np.array([a for _, a, _ in groups])[:, None] + np.arange(size.max())
+        place[~real] = groups[0][1]
+        rows, r = q[place], self.params["out"][of]
+        rows[~real] = 0
+        share, shift = self.out_noise
+        weight = (self.rng.multinomial(DRAWS, share[of]) * (NOISE / DRAWS)).astype(np.float32)
+        near = rows @ r.transpose(0, 2, 1)
+        np.subtract((shift[of] - self.params["out_bias"][of])[:, None], near, out=near)
+        np.exp(np.minimum(near, 30, out=near), out=near)
+        near += 1
+        np.reciprocal(near, out=near)
+        target = np.where(real, y[place] - np.array(of)[:, None] * CLASS_WORDS, 0).ravel()
+        flat, at = near.reshape(-1), np.arange(0, near.size, CLASS_WORDS) + target
+        beyond = (flat.take(at) - 1) * real.ravel()
+        g = np.multiply(near, weight[:, None], out=near)
+        flat[at] += beyond
+        return (g @ r)[real], g.transpose(0, 2, 1) @ rows, (real[:, None].astype(np.float32) @ g)[:, 0]
 
     def _step(self, key, grad, at=...):
-        seen = self.seen[key]
-        seen[at] += grad * grad
-        self.params[key][at] -= RATE * grad / np.sqrt(seen[at])
+        seen = self.seen[key][at] + grad * grad
+        self.seen[key][at] = seen
+        self.params[key][at] -= RATE * grad / np.sqrt(seen)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         m, p, n = self.model, self.params, np.float32(len(y))
         e = [p["embed"].take(x[:, j], axis=0) for j in range(CONTEXT)]
         q = sum(e[j] @ p["mix"][j] for j in range(CONTEXT))
-        cls, groups = m._levels(y)
+        cls, order, groups = m._levels(y)
         dq, dr, db = self._nce(q, p["top"], p["top_bias"], self.top_noise, cls)
         self._step("top", dr / n)
         self._step("top_bias", db / n)
-        for c, rows in groups:
-            dqc, dr, db = self._nce(q[rows], p["out"][c], p["out_bias"][c], self.out_noise[c], y[rows] - c * CLASS_WORDS)
-            dq[rows] += dqc
-            self._step("out", dr / n, c)
-            self._step("out_bias", db / n, c)
+        if groups:
+            qs, ys, dqs = q.take(order, axis=0), y.take(order), np.zeros_like(q)
+            of, drs, dbs = [c for c, _, _ in groups], [], []
+            for some in _blocks(groups):
+                at, end = some[0][1], some[-1][2]
+                dqs[at:end], dr, db = self._nce_block(qs, ys, some)
+                drs.append(dr)
+                dbs.append(db)
+            dq[order] += dqs
+            self._step("out", np.concatenate(drs) / n, of)
+            self._step("out_bias", np.concatenate(dbs) / n, of)
         mix = np.stack([e[j].T @ dq for j in range(CONTEXT)])
         de = np.concatenate([dq @ p["mix"][j].T for j in range(CONTEXT)])
         self._step("mix", mix / n)

@@ -102,22 +102,24 @@ class Lookup:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.rank = {w: k for k, w in enumerate(v.words)}
-        self.context = np.array([k if k < v.n_in else v.n_in + _bucket(w) for k, w in enumerate(v.words)], np.int64)
-        self.log_count = np.log10(v.counts + 1.0)
+        # one place more, which -1 reads: words outside the head
+        self.context = np.array([*(k if k < v.n_in else v.n_in + _bucket(w) for k, w in enumerate(v.words)), -1], np.int64)
+        self.target = np.minimum(np.append(np.arange(len(v.words)), v.n_out), v.n_out)
+        self.log_count = np.append(np.log10(v.counts + 1.0), 0.0)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
     def pairs(self, words: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Context ids ``(n, CONTEXT)`` and output ids of a text's tokens."""
-        ids = np.zeros(len(words), np.int64)
-        known = ranks >= 0
-        ids[known] = self.context[ranks[known]]
-        for k in np.flatnonzero(~known).tolist():
-            ids[k] = self.v.n_in + _bucket(words[k])
-        padded = np.concatenate([np.full(CONTEXT, self.v.ids - 1), ids])
-        x = np.stack([padded[CONTEXT - 1 - j:len(padded) - 1 - j] for j in range(CONTEXT)], axis=1)
-        return x, np.where(known & (ranks < self.v.n_out), ranks, self.v.n_out)
+        ids = self.context[ranks]
+        unknown = np.flatnonzero(ranks < 0)
+        if len(unknown):
+            ids[unknown] = [self.v.n_in + _bucket(words[k]) for k in unknown.tolist()]
+        x = np.empty((len(words), CONTEXT), np.int64)
+        for j in range(CONTEXT):
+            x[:j + 1, j], x[j + 1:, j] = self.v.ids - 1, ids[:max(len(ids) - 1 - j, 0)]
+        return x, self.target[ranks]
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -236,14 +238,15 @@ def scores(docs: DataFrame, training, rounds: int = ROUNDS, head: int = HEAD_WOR
             for text in texts_of(batch):
                 tokens = _tokens(text)
                 ranks = look.ranks(tokens)
-                logs = np.where(ranks >= 0, look.log_count[np.maximum(ranks, 0)], 0.0) if len(v.words) else ranks * 0.0
+                logs, head = look.log_count[ranks], ranks >= 0
+                x, y = look.pairs(tokens, ranks)
                 cols["n_tokens"].append(len(tokens))
-                cols["n_head"].append(int((ranks >= 0).sum()))
+                cols["n_head"].append(int(np.count_nonzero(head)))
                 cols["log_head"].append(float(logs.sum()))
-                cols["log_other"].append(float(logs[ranks >= v.n_out].sum()))
-                cols["n_other"].append(int((ranks >= v.n_out).sum() + (ranks < 0).sum()))
-                tails.add(Counter(compress(tokens, (ranks < 0).tolist())))
-                x, y = look.pairs(tokens, ranks)
+                other = y == v.n_out
+                cols["log_other"].append(float(logs[other].sum()))
+                cols["n_other"].append(int(np.count_nonzero(other)))
+                tails.add(Counter(compress(tokens, (~head).tolist())))
                 total = 0.0
                 while len(y) > SCORE_TOKENS:  # very long texts in pieces
                     total += model.log_probs(x[:SCORE_TOKENS], y[:SCORE_TOKENS]).sum() / np.log(10)

@@ -77,3 +77,26 @@ def test_empty(spark):
     one = documents(spark).where("doc_id = 9")
     got = lm_scores.scores(one, crc_mod("doc_id", 7) > 100).collect()  # nothing to learn from
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(2, 0, 0, 0.0)]
+
+
+def test_classes_are_stepped_in_blocks():
+    """One step over neighbouring classes at once: the gradients of every class by itself, in few blocks."""
+    from sardonyx.llm.lbl import CLASS_WORDS, LogBilinear, _blocks
+    rng = np.random.default_rng(5)
+    counts = np.sort(rng.integers(1, 500, 20 * CLASS_WORDS - 11))[::-1]
+    model = LogBilinear(300, counts.astype(float), 900.0)
+    y = np.minimum((len(counts) + 200) * rng.random(3000) ** 1.5, len(counts)).astype(np.int64)
+    q = rng.standard_normal((3000, 24)).astype(np.float32)
+    _, order, groups = model._levels(y)
+    q, y = q[order], y[order]
+    blocks = _blocks(groups)
+    assert [g for b in blocks for g in b] == groups and len(groups) >= 20 and len(blocks) <= 8
+    one, all_ = model.trainer(3), model.trainer(3)
+    for b in blocks:
+        dq, dr, db = all_._nce_block(q, y, b)
+        at = b[0][1]
+        for k, (c, start, end) in enumerate(b):
+            noise = one.out_noise[0][c], one.out_noise[1][c]
+            want = one._nce(q[start:end], one.params["out"][c], one.params["out_bias"][c], noise, y[start:end] - c * CLASS_WORDS)
+            for got, expected in zip((dq[start - at:end - at], dr[k], db[k]), want):
+                assert np.allclose(got, expected, rtol=1e-4, atol=1e-4)

@@ -88,3 +88,38 @@ def test_lists_are_cut_as_whole_columns():
     assert Counted.asked < 20
     assert cut(words.slice(2, 2)).to_pylist() == [[2, 3, 9], [3, 9]]
     assert cut(words.slice(1, 1)).to_pylist() == [[]] and cut(words.slice(0, 0)).to_pylist() == []
+
+
+@pytest.mark.parametrize("continued, end", [("##", ""), ("", "</w>"), ("", "")])
+def test_pieces_of_any_length(spark, continued, end):
+    """Pieces beyond ``PIECE_CHARS`` are matched too, at the start, inside and at the end of a word."""
+    rng = random.Random(7)
+    vocab = {a + c + b: i for i, (a, c, b) in enumerate(
+        [(a, c, b) for a in {"", continued} for c in "ab" for b in {"", end}], 10)}
+    long = ["".join(rng.choice("ab") for _ in range(n)) for n in range(EN.PIECE_CHARS - 2, 3 * EN.PIECE_CHARS)]
+    for piece in long + [p[:EN.PIECE_CHARS] + "b" * 9 for p in long if len(p) > EN.PIECE_CHARS]:   # shared first characters
+        vocab.setdefault(rng.choice(["", continued]) + piece + rng.choice(["", end]), len(vocab) + 10)
+    words = ["".join(rng.choice(long)[:rng.randint(10, 60)] for _ in range(rng.randint(1, 3))) for _ in range(300)] + long
+    df = spark.createDataFrame(list(enumerate(words)), "id bigint, text string")
+    pieces = spark.createDataFrame([*vocab.items(), (None, 5)], "token string, token_id int")
+    got = EN.encode_pieces(df, pieces, ["id"], max_len=200, continued=continued, end=end, unknown=1, first=2, last=3, pad=0)
+    capped = 0
+    for r in got.collect():
+        want = plain(words[r["id"]], vocab, 1, continued, end, longest=1000)
+        assert list(r["input_ids"]) == [2, *want, 3] + [0] * (198 - len(want)), words[r["id"]]
+        capped += want != plain(words[r["id"]], vocab, 1, continued, end)
+    assert capped > 100
+
+
+def test_long_pieces_of_the_public_vocabulary(spark):
+    import public_tokenizers
+
+    from sardonyx.plans import catalog
+    pieces = EN.tokenizer_pieces(spark, public_tokenizers.path(catalog.PIECES))
+    words = ["interdisciplinary", "telecommunications", "artificialintelligence", "telecommunicationsx"]
+    known = {r["token"]: r["token_id"] for r in pieces.collect()}
+    df = spark.createDataFrame([(" ".join(words),)], "text string")
+    ids = EN.encode_pieces(df, pieces, [], end=catalog.PIECES_END).first()["input_ids"]
+    rest = plain(words[3], known, 0, "", catalog.PIECES_END, longest=1000)
+    assert list(ids[1:4]) == [known[w + "</w>"] for w in words[:3]]
+    assert list(ids[4:4 + len(rest)]) == rest
